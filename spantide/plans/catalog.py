@@ -92,3 +92,67 @@ def q_unsupported_language(spark, sf):
     langs = spark.createDataFrame([(x,) for x in SUPPORTED_LANGUAGES], "lang string")
     return (_docs(spark, sf).select("doc_id", "lang")
             .join(F.broadcast(langs), "lang", "left_anti"))
+
+
+# ---- spans --------------------------------------------------------------------------
+
+from spantide.operators import spans as A  # noqa: E402
+from spantide.sources import annotations as S10  # noqa: E402
+
+
+def _digit_merged(spark, sf):
+    s = G.sentences(_docs(spark, sf))
+    lab = A.label_spans(s, F.col("text").rlike("[0-9]"), "digit")
+    return s, A.merge_consecutive(lab, "digit", ord_col="sent_no")
+
+
+@query("merged_labelled")
+def q_merged_labelled(spark, sf):
+    return _digit_merged(spark, sf)[1]
+
+
+@query("context_both")
+def q_context_both(spark, sf):
+    s, m = _digit_merged(spark, sf)
+    m = m.withColumn("span_no", F.col("first_no")).select("doc_id", "span_no", "begin", "end", "content")
+    return A.add_context(m, s, prepend=True, append=True)
+
+
+@query("context_next")
+def q_context_next(spark, sf):
+    s, m = _digit_merged(spark, sf)
+    m = m.withColumn("span_no", F.col("first_no")).select("doc_id", "span_no", "begin", "end", "content")
+    return A.add_context(m, s, prepend=False, append=True)
+
+
+@query("covered_sentences")
+def q_covered_sentences(spark, sf):
+    s, m = _digit_merged(spark, sf)
+    m = m.withColumn("span_no", F.col("first_no"))
+    return (A.covered(s.select("doc_id", "sent_no", "begin", "end"), m, outer_key="span_no")
+            .select("doc_id", "span_no", "o_begin", "o_end", "sent_no", "begin", "end"))
+
+
+@query("reannotate")
+def q_reannotate(spark, sf):
+    d = _docs(spark, sf)
+    existing = (G.sentences(d).select("doc_id", F.lit("sentence").alias("type"), "begin", "end")
+                .unionByName(G.paragraphs_blank(d).select("doc_id", F.lit("paragraph").alias("type"), "begin", "end")))
+    new = (G.paragraphs_list(d.where(F.col("lang") == "de"))
+           .select("doc_id", F.lit("paragraph").alias("type"), "begin", "end"))
+    return G.reannotate(existing, new)
+
+
+@query("chunking_records")
+def q_chunking_records(spark, sf):
+    """L1: page record + sentences of its main text, packed per page."""
+    pg = _pages(spark, sf)
+    rec = P.page_record(pg).select("page_id", "title", "hostname", "text")
+    sents = G.sentences(rec, id_col="page_id", text_col="text")
+    packed = S10.pack(sents.withColumn("type", F.lit("sentence")), "sentences")
+    out = rec.join(packed, rec.page_id == packed.doc_id, "left")
+    return out.select(
+        "page_id", "title", "hostname",
+        F.coalesce(F.size("sentences"), F.lit(0)).cast("long").alias("n_sentences"),
+        F.coalesce(F.array_join(F.transform("sentences", lambda a: F.concat_ws(":", a["begin"], a["end"])), ","),
+                   F.lit("")).alias("spans"))

@@ -23,8 +23,9 @@ def _lines(src: str, text: str = "text", rstrip_newlines: bool = False) -> str:
     FROM {src} s, unnest(string_split({t}, chr(10))) WITH ORDINALITY AS t(line, n)"""
 
 
-ORACLE["sentences"] = f"""
-WITH o AS ({_lines("documents")})
+def sql_sentences(src: str) -> str:
+    return f"""
+WITH o AS ({_lines(src)})
 SELECT doc_id,
        CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS BIGINT) AS sent_no,
        CAST(line_begin + length(line) - length(regexp_replace(line, '^{WS}+', '')) AS BIGINT) AS "begin",
@@ -33,11 +34,10 @@ SELECT doc_id,
 FROM o WHERE regexp_matches(line, '{NONWS}')
 """
 
-_FULL = f"(SELECT page_id AS doc_id, {P.sql_full_text('html')} AS text FROM pages)"
 
-ORACLE["paragraphs_blank"] = f"""
-WITH src AS {_FULL},
-o AS ({_lines("src")}),
+def sql_paragraphs_blank(src: str) -> str:
+    return f"""
+WITH o AS ({_lines(src)}),
 nb AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS grp
        FROM o WHERE regexp_matches(line, '{NONWS}')),
 g AS (SELECT doc_id, min(line_begin) AS b, max(line_begin + length(line)) AS e,
@@ -48,10 +48,11 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS BI
 FROM g
 """
 
-ORACLE["paragraphs_list"] = f"""
-WITH src AS {_FULL},
-o AS ({_lines("src", rstrip_newlines=True)}),
-f AS (SELECT *, starts_with(line, '- ') AS is_list FROM o WHERE length(line) > 0),
+
+def sql_paragraphs_list(src: str, marker: str = "- ") -> str:
+    return f"""
+WITH o AS ({_lines(src, rstrip_newlines=True)}),
+f AS (SELECT *, starts_with(line, '{marker}') AS is_list FROM o WHERE length(line) > 0),
 s AS (SELECT *, NOT (is_list AND coalesce(lag(is_list) OVER (PARTITION BY doc_id ORDER BY line_no), false)) AS st
       FROM f),
 i AS (SELECT *, sum(CAST(st AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY line_no {ROWS}) - 1 AS par_no FROM s),
@@ -62,9 +63,17 @@ n AS (SELECT *, lead(b) OVER (PARTITION BY doc_id ORDER BY par_no) AS nxt FROM g
 e AS (SELECT *, CASE WHEN il AND nxt IS NOT NULL THEN nxt - 1 ELSE last_end END AS e FROM n)
 SELECT e.doc_id, CAST(par_no AS BIGINT) AS par_no, CAST(b AS BIGINT) AS "begin", CAST(e AS BIGINT) AS "end",
        substr(src.text, CAST(b + 1 AS BIGINT), CAST(e - b AS BIGINT)) AS text
-FROM e JOIN src ON e.doc_id = src.doc_id
+FROM e JOIN {src} src ON e.doc_id = src.doc_id
 """
 
+
+ORACLE["sentences"] = sql_sentences("documents")
+
+_FULL = f"(SELECT page_id AS doc_id, {P.sql_full_text('html')} AS text FROM pages)"
+_MAIN = f"(SELECT page_id AS doc_id, {P.sql_main_text_tags('html')} AS text FROM pages)"
+ORACLE["paragraphs_blank"] = sql_paragraphs_blank(_FULL)
+ORACLE["paragraphs_list"] = sql_paragraphs_list(_FULL)
+
 _rec_sel, _rec_txt = P.sql_page_record("html", "url")
 ORACLE["page_titles"] = f"""
 WITH x AS (SELECT page_id, html, url, {_rec_txt} AS txt FROM pages)
@@ -97,3 +106,74 @@ ORACLE["unsupported_language"] = """
 SELECT lang, doc_id FROM documents
 WHERE lang IS NULL OR lang NOT IN ('en', 'de', 'nl', 'fr', 'it', 'nb', 'sl', 'hr')
 """
+
+from spantide.functions.text import sql_normalise_lines as _norm  # noqa: E402
+
+_S_DOCS = f"({sql_sentences('documents')})"
+
+
+def _sql_merged(sent_src: str, text_src: str) -> str:
+    return f"""
+    SELECT g.doc_id, 'digit' AS label, CAST(b AS BIGINT) AS "begin", CAST(e AS BIGINT) AS "end",
+           {_norm('substr(d.text, CAST(b + 1 AS BIGINT), CAST(e - b AS BIGINT))')} AS content,
+           CAST(f AS BIGINT) AS first_no, CAST(la AS BIGINT) AS last_no
+    FROM (SELECT doc_id, min("begin") AS b, max("end") AS e, min(sent_no) AS f, max(sent_no) AS la
+          FROM (SELECT *, sent_no - row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) AS grp
+                FROM {sent_src} x WHERE regexp_matches(text, '[0-9]')) y
+          GROUP BY doc_id, grp) g
+    JOIN {text_src} d ON d.doc_id = g.doc_id"""
+
+
+ORACLE["merged_labelled"] = _sql_merged(_S_DOCS, "documents")
+
+
+def _sql_context(prepend: bool, append: bool) -> str:
+    parts = (["p.text"] if prepend else []) + ["m.content"] + (["n.text"] if append else [])
+    return f"""
+WITH s AS {_S_DOCS},
+m AS (SELECT doc_id, first_no AS span_no, "begin", "end", content FROM ({_sql_merged('s', 'documents')}) z),
+c AS (SELECT m.doc_id, m.span_no, min(s.sent_no) AS f, max(s.sent_no) AS la
+      FROM m JOIN s ON s.doc_id = m.doc_id AND s."begin" >= m."begin" AND s."end" <= m."end"
+      GROUP BY m.doc_id, m.span_no)
+SELECT m.doc_id, m.span_no, m."begin", m."end", m.content,
+       CASE WHEN c.f IS NOT NULL THEN {_norm(f"concat_ws(chr(10), {', '.join(parts)})")} END AS content_context
+FROM m LEFT JOIN c ON c.doc_id = m.doc_id AND c.span_no = m.span_no
+LEFT JOIN s p ON p.doc_id = m.doc_id AND p.sent_no = c.f - 1
+LEFT JOIN s n ON n.doc_id = m.doc_id AND n.sent_no = c.la + 1
+"""
+
+
+ORACLE["context_both"] = _sql_context(True, True)
+ORACLE["context_next"] = _sql_context(False, True)
+
+ORACLE["covered_sentences"] = f"""
+WITH s AS {_S_DOCS},
+m AS (SELECT doc_id, first_no AS span_no, "begin", "end" FROM ({_sql_merged('s', 'documents')}) z)
+SELECT m.doc_id, m.span_no, m."begin" AS o_begin, m."end" AS o_end, s.sent_no, s."begin", s."end"
+FROM m JOIN s ON s.doc_id = m.doc_id AND s."begin" >= m."begin" AND s."end" <= m."end"
+"""
+
+ORACLE["reannotate"] = f"""
+WITH ex AS (
+  SELECT doc_id, 'sentence' AS type, "begin", "end" FROM {_S_DOCS} a
+  UNION ALL
+  SELECT doc_id, 'paragraph' AS type, "begin", "end" FROM ({sql_paragraphs_blank('documents')}) b
+), nw AS (
+  SELECT doc_id, 'paragraph' AS type, "begin", "end"
+  FROM ({sql_paragraphs_list("(SELECT * FROM documents WHERE lang = 'de')")}) c
+)
+SELECT * FROM ex WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.doc_id = ex.doc_id AND nw.type = ex.type)
+UNION ALL SELECT * FROM nw
+"""
+
+_REC_SRC = f"(SELECT page_id AS doc_id, {P.sql_main_text_tags('html')} AS text FROM pages)"
+ORACLE["chunking_records"] = f"""
+WITH x AS (SELECT page_id, html, url, {_rec_txt} AS txt FROM pages),
+r AS (SELECT page_id, {_rec_sel} FROM x),
+s AS ({sql_sentences(_REC_SRC)}),
+a AS (SELECT doc_id, count(*) AS n, string_agg(CAST("begin" AS VARCHAR) || ':' || CAST("end" AS VARCHAR), ','
+                                               ORDER BY "begin", "end") AS spans
+      FROM s GROUP BY doc_id)
+SELECT r.page_id, r.title, r.hostname, CAST(coalesce(a.n, 0) AS BIGINT) AS n_sentences, coalesce(a.spans, '') AS spans
+FROM r LEFT JOIN a ON a.doc_id = r.page_id
+"""
