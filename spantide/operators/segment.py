@@ -16,9 +16,10 @@ from spantide.functions.text import NONWS, lstrip_len, rstrip, strip
 _ALL_BEFORE = (Window.unboundedPreceding, Window.currentRow)
 
 
-def by_doc(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text)`` hash-partitioned on ``doc_id``: the one exchange per corpus."""
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def by_doc(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           keep: tuple = ()) -> DataFrame:
+    """``(doc_id, text, *keep)`` hash-partitioned on ``doc_id``: the one exchange per corpus."""
+    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
             .repartition("doc_id"))
 
 
@@ -30,18 +31,20 @@ def lines(docs: DataFrame, strip_trailing_newlines: bool = False) -> DataFrame:
     text = F.col("text")
     if strip_trailing_newlines:
         text = F.regexp_replace(text, r"\n+\z", "")
-    x = docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
+    x = docs.select("doc_id", *keep, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(*_ALL_BEFORE)
     step = F.length("line") + 1
     return x.withColumn("line_begin", F.sum(step).over(w) - step)
 
 
-def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              keep: tuple = ()) -> DataFrame:
     """G1: one sentence per non-blank line, offsets of its stripped part.
 
-    Output ``(doc_id, sent_no, begin, end, text)``; ``sent_no`` counts from 0.
+    Output ``(doc_id, sent_no, begin, end, text, *keep)``; ``sent_no`` counts from 0.
     """
-    d = by_doc(docs, id_col, text_col)
+    d = by_doc(docs, id_col, text_col, keep)
     x = lines(d)
     nonblank = F.col("line").rlike(NONWS)
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(*_ALL_BEFORE)
@@ -54,6 +57,7 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         (F.col("line_begin") + lstrip_len("line")).cast("long").alias("begin"),
         (F.col("line_begin") + F.length(rstrip("line"))).cast("long").alias("end"),
         strip("line").alias("text"),
+        *keep,
     )
 
 

@@ -156,3 +156,71 @@ def q_chunking_records(spark, sf):
         F.coalesce(F.size("sentences"), F.lit(0)).cast("long").alias("n_sentences"),
         F.coalesce(F.array_join(F.transform("sentences", lambda a: F.concat_ws(":", a["begin"], a["end"])), ","),
                    F.lit("")).alias("spans"))
+
+
+# ---- terms --------------------------------------------------------------------------
+
+from spantide.operators import terms as T  # noqa: E402
+
+
+def _supported_docs(spark, sf):
+    return _docs(spark, sf).where(F.col("lang").isin(*SUPPORTED_LANGUAGES))
+
+
+def _tokens(spark, sf):
+    s = G.sentences(_supported_docs(spark, sf), keep=("lang",))
+    return T.tokens(s)
+
+
+def _vocab(spark, sf):
+    b = table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")
+    return T._ngrams(b, 2, lowercase=False).select(F.col("gram").alias("term")).distinct()
+
+
+@query("tokens")
+def q_tokens(spark, sf):
+    return _tokens(spark, sf).drop("ws_after", "lang")
+
+
+@query("candidate_terms")
+def q_candidate_terms(spark, sf):
+    return T.filter_terms(T.candidate_runs(_tokens(spark, sf)), remove_stopwords=False).drop("lang")
+
+
+@query("terms_pipeline")
+def q_terms_pipeline(spark, sf):
+    return T.filter_terms(T.candidate_runs(_tokens(spark, sf))).drop("lang")
+
+
+@query("stopword_filtered")
+def q_stopword_filtered(spark, sf):
+    """T9 rejects: candidate terms that are, as a whole, a stopword of their language."""
+    c = T.filter_terms(T.candidate_runs(_tokens(spark, sf)), remove_stopwords=False)
+    sw = F.broadcast(T.stopword_table(spark))
+    return (c.withColumn("word", F.lower("term")).join(sw, ["lang", "word"], "left_semi")
+             .select("doc_id", "term", "lang"))
+
+
+@query("known_word_terms")
+def q_known_word_terms(spark, sf):
+    toks = _tokens(spark, sf)
+    terms = T.filter_terms(T.candidate_runs(toks))
+    return T.known_word_terms(terms, toks, min_df=2).select("doc_id", "term", "lemma")
+
+
+@query("term_lemmas")
+def q_term_lemmas(spark, sf):
+    """T12 at corpus level: each (language, term, lemma) with its document count."""
+    t = T.filter_terms(T.candidate_runs(_tokens(spark, sf)))
+    return t.groupBy("lang", "term", "lemma").agg(F.count("*").alias("n_docs"))
+
+
+@query("term_frequency")
+def q_term_frequency(spark, sf):
+    return T.term_frequency(_docs(spark, sf), _vocab(spark, sf), max_ngram_len=2)
+
+
+@query("term_idf")
+def q_term_idf(spark, sf):
+    r = T.term_idf(_docs(spark, sf), _vocab(spark, sf), max_ngram_len=2)
+    return r.select("term", "df", F.round("idf", 6).alias("idf"))

@@ -177,3 +177,125 @@ a AS (SELECT doc_id, count(*) AS n, string_agg(CAST("begin" AS VARCHAR) || ':' |
 SELECT r.page_id, r.title, r.hostname, CAST(coalesce(a.n, 0) AS BIGINT) AS n_sentences, coalesce(a.spans, '') AS spans
 FROM r LEFT JOIN a ON a.doc_id = r.page_id
 """
+
+
+# ---- terms ---------------------------------------------------------------------------
+
+from spantide.functions.lexicon import stopword_rows as _sw_rows  # noqa: E402
+from spantide.functions.lexicon import lexicon_keys_by_pos as _lex  # noqa: E402
+from spantide.operators import terms as T  # noqa: E402
+
+
+def _ql(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _inlist(xs):
+    return "(" + ", ".join(_ql(x) for x in xs) + ")"
+
+
+_SUPPORTED = "('en', 'de', 'nl', 'fr', 'it', 'nb', 'sl', 'hr')"
+_POS_CASES = "\n".join(f"WHEN lang || '|' || lower(piece) IN {_inlist(keys)} THEN '{pos}'"
+                       for pos, keys in _lex().items())
+_SW_VALUES = ", ".join(f"({_ql(a)}, {_ql(b)})" for a, b in _sw_rows())
+
+
+def _strip(e):
+    return f"regexp_replace({e}, '^{WS}+|{WS}+\\z', '', 'g')"
+
+
+_TOKENS_CTE = f"""
+sd AS (SELECT * FROM documents WHERE lang IN {_SUPPORTED}),
+s AS ({sql_sentences('sd')}),
+s2 AS (SELECT s.*, d.lang FROM s JOIN sd d ON d.doc_id = s.doc_id),
+p AS (SELECT s2.doc_id, s2.sent_no, s2.lang, s2."begin" AS sb, t.piece, t.n AS pn
+      FROM s2, unnest(regexp_extract_all(s2.text, {_ql(T.PIECE_RE)})) WITH ORDINALITY AS t(piece, n)),
+q AS (SELECT *, regexp_matches(piece, {_ql(T.WS_RE)}) AS ws,
+             sum(length(piece)) OVER (PARTITION BY doc_id, sent_no ORDER BY pn {ROWS}) - length(piece) AS rel,
+             CASE WHEN lead(regexp_matches(piece, {_ql(T.WS_RE)})) OVER (PARTITION BY doc_id, sent_no ORDER BY pn)
+                  THEN lead(piece) OVER (PARTITION BY doc_id, sent_no ORDER BY pn) ELSE '' END AS ws_after
+      FROM p),
+tk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY pn) - 1 AS tok_no FROM q WHERE NOT ws),
+tp AS (SELECT *, CASE WHEN regexp_matches(piece, {_ql(T.NUM_RE)}) THEN 'NUM'
+                      WHEN NOT regexp_matches(piece, {_ql(T.WORDTOK_RE)}) THEN
+                           CASE WHEN regexp_matches(piece, {_ql(T.PUNCT_RE)}) THEN 'PUNCT' ELSE 'SYM' END
+                      {_POS_CASES}
+                      WHEN regexp_matches(piece, {_ql(T.CAP_RE)}) AND tok_no > 0 THEN 'PROPN'
+                      ELSE 'NOUN' END AS pos
+       FROM tk),
+tl AS (SELECT *, CASE WHEN pos IN {_inlist(T.FUNCTION_POS)} THEN lower(piece) ELSE piece END AS lemma FROM tp)"""
+
+ORACLE["tokens"] = f"""
+WITH {_TOKENS_CTE}
+SELECT doc_id, sent_no, CAST(tok_no AS BIGINT) AS tok_no, CAST(sb + rel AS BIGINT) AS "begin",
+       CAST(sb + rel + length(piece) AS BIGINT) AS "end", piece AS text, lemma, pos
+FROM tl
+"""
+
+_CANDS_CTE = f"""{_TOKENS_CTE},
+r AS (SELECT *, sum(CAST(pos IN {_inlist(T.RUN_BREAK)} AS BIGINT))
+                  OVER (PARTITION BY doc_id, sent_no ORDER BY tok_no {ROWS}) AS run FROM tl),
+rt AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_no, run ORDER BY tok_no) - 1 AS k,
+              count(*) OVER (PARTITION BY doc_id, sent_no, run) AS n
+       FROM r WHERE pos NOT IN {_inlist(T.RUN_BREAK)}),
+c AS (SELECT doc_id, sent_no, run, lang, tok_no AS anchor, v.variant,
+             CASE WHEN v.variant <= 1 THEN k ELSE 0 END AS a,
+             CASE WHEN v.variant = 0 OR v.variant = 3 THEN k ELSE n - 1 END AS b
+      FROM rt, (VALUES (0), (1), (2), (3)) v(variant) WHERE pos IN ('NOUN', 'PROPN')),
+ct AS (SELECT c.doc_id, c.sent_no, c.anchor, c.variant, c.lang, c.b - c.a + 1 AS n_tokens,
+              {_strip("string_agg(rt.piece || rt.ws_after, '' ORDER BY rt.k)")} AS term,
+              {_strip("string_agg(rt.lemma, ' ' ORDER BY rt.k)")} AS lemma
+       FROM c JOIN rt ON rt.doc_id = c.doc_id AND rt.sent_no = c.sent_no AND rt.run = c.run
+                      AND rt.k BETWEEN c.a AND c.b
+       WHERE c.b - c.a + 1 <= 10
+       GROUP BY c.doc_id, c.sent_no, c.anchor, c.variant, c.lang, c.a, c.b),
+d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY sent_no, anchor, variant) AS rn
+                      FROM ct) z WHERE rn = 1),
+cl AS (SELECT * FROM d1 WHERE regexp_matches(term, {_ql(T.ASCII_RE)})
+                         AND NOT regexp_matches({_strip('term')}, {_ql(T.FORBIDDEN_RE)})),
+sw(lang, word) AS (VALUES {_SW_VALUES}),
+tm AS (SELECT * FROM cl WHERE NOT EXISTS (SELECT 1 FROM sw WHERE sw.lang = cl.lang AND sw.word = lower(cl.term)))"""
+
+_TERM_COLS = "doc_id, term, lemma, sent_no, CAST(anchor AS BIGINT) AS anchor, CAST(variant AS INTEGER) AS variant, CAST(n_tokens AS BIGINT) AS n_tokens"
+
+ORACLE["candidate_terms"] = f"WITH {_CANDS_CTE}\nSELECT {_TERM_COLS} FROM cl"
+ORACLE["terms_pipeline"] = f"WITH {_CANDS_CTE}\nSELECT {_TERM_COLS} FROM tm"
+ORACLE["stopword_filtered"] = f"""WITH {_CANDS_CTE}
+SELECT doc_id, term, lang FROM cl
+WHERE EXISTS (SELECT 1 FROM sw WHERE sw.lang = cl.lang AND sw.word = lower(cl.term))"""
+ORACLE["term_lemmas"] = f"""WITH {_CANDS_CTE}
+SELECT lang, term, lemma, count(*) AS n_docs FROM tm GROUP BY lang, term, lemma"""
+ORACLE["known_word_terms"] = f"""WITH {_CANDS_CTE},
+kw AS (SELECT lang, lower(piece) AS w FROM tl GROUP BY lang, lower(piece) HAVING count(DISTINCT doc_id) >= 2),
+tw AS (SELECT tm.doc_id, tm.term, tm.lang, u.w FROM tm, unnest(string_split(lower(tm.term), ' ')) AS u(w) WHERE u.w <> '')
+SELECT doc_id, term, lemma FROM tm
+WHERE NOT EXISTS (SELECT 1 FROM tw WHERE tw.doc_id = tm.doc_id AND tw.term = tm.term
+                  AND NOT EXISTS (SELECT 1 FROM kw WHERE kw.lang = tw.lang AND kw.w = tw.w))"""
+
+_SK = T.SK_TOKEN_RE
+
+
+def _sql_ngrams(src: str, id_col: str, max_n: int, lower: bool) -> str:
+    txt = "lower(text)" if lower else "text"
+    return f"""
+    SELECT {id_col} AS doc_id, array_to_string(t[i + 1:i + n], ' ') AS gram
+    FROM (SELECT {id_col}, regexp_extract_all({txt}, {_ql(_SK)}) AS t FROM {src}) x,
+         range(1, {max_n} + 1) AS r1(n), range(0, CAST(len(t) AS BIGINT) - n + 1) AS r2(i)"""
+
+
+_VOCAB = f"(SELECT DISTINCT gram AS term FROM ({_sql_ngrams('benchmark', 'item_id', 2, False)}) v)"
+
+ORACLE["term_frequency"] = f"""
+WITH v AS {_VOCAB},
+g AS ({_sql_ngrams('documents', 'doc_id', 2, False)})
+SELECT v.term, CAST(count(g.gram) AS BIGINT) AS tf FROM v LEFT JOIN g ON g.gram = v.term GROUP BY v.term
+"""
+
+ORACLE["term_idf"] = f"""
+WITH v AS {_VOCAB},
+g AS ({_sql_ngrams('documents', 'doc_id', 3, True)}),
+n AS (SELECT count(*) AS n FROM documents)
+SELECT v.term, CAST(count(DISTINCT g.doc_id) AS BIGINT) AS df,
+       round(ln((1 + n.n) / (1 + count(DISTINCT g.doc_id))) + 1, 6) AS idf
+FROM v CROSS JOIN n LEFT JOIN g ON g.gram = v.term GROUP BY v.term, n.n
+"""
