@@ -85,8 +85,12 @@ def _tok_struct() -> Column:
 
 
 def span_text(span: Column) -> Column:
-    """Text of a token array: tokens with their following whitespace, stripped."""
-    return strip(F.array_join(F.transform(span, lambda t: F.concat(t["text"], t["ws_after"])), ""))
+    """Text of a token array: each token with the whitespace that follows it, except
+    after the last one. Tokens never start or end with whitespace, so this equals
+    the stripped covered text without a regex pass."""
+    last = F.size(span) - 1
+    return F.array_join(F.transform(span, lambda t, i: F.when(i < last, F.concat(t["text"], t["ws_after"]))
+                                    .otherwise(t["text"])), "")
 
 
 def candidate_runs(toks: DataFrame, max_ngram: int = 10) -> DataFrame:
@@ -114,27 +118,31 @@ def candidate_runs(toks: DataFrame, max_ngram: int = 10) -> DataFrame:
                          for v, (a, b) in enumerate([(k, k), (k, n - 1), (F.lit(0), n - 1), (F.lit(0), k)])])
 
     nouns = F.filter(F.sequence(F.lit(0), n - 1), lambda k: r[k]["pos"].isin("NOUN", "PROPN"))
-    cand = F.flatten(F.transform(nouns, lambda k: F.transform(
+    spans = F.flatten(F.transform(nouns, lambda k: F.filter(F.transform(
         variants(k), lambda v: F.struct(r[k]["tok_no"].alias("anchor"), v["variant"].alias("variant"),
-                                        v["a"].alias("a"), v["b"].alias("b")))))
-    c = runs.select("doc_id", "sent_no", "lang", "r", F.explode(cand).alias("c"))
-    c = c.where(F.col("c.b") - F.col("c.a") + 1 <= max_ngram)
+                                        v["a"].alias("a"), v["b"].alias("b"))),
+        lambda x: x["b"] - x["a"] + 1 <= max_ngram)))
+    # slice inside the row, so exploded rows carry at most max_ngram tokens each
+    cand = F.transform(spans, lambda x: F.struct(
+        x["anchor"].alias("anchor"), x["variant"].alias("variant"),
+        F.slice(r, x["a"] + 1, x["b"] - x["a"] + 1).alias("span")))
+    c = runs.select("doc_id", "sent_no", "lang", F.explode(cand).alias("c"))
     return c.select("doc_id", "sent_no", F.col("c.anchor").alias("anchor"),
-                    F.col("c.variant").cast("int").alias("variant"), "lang",
-                    F.slice("r", F.col("c.a") + 1, F.col("c.b") - F.col("c.a") + 1).alias("span"))
+                    F.col("c.variant").cast("int").alias("variant"), "lang", F.col("c.span").alias("span"))
 
 
 def distinct_first(c: DataFrame, text_col: str = "term") -> DataFrame:
     """One row per ``(doc_id, stripped text)``, the first in (sentence, anchor,
-    variant) order wins; case-sensitive. A hash aggregate, no sort."""
-    rest = [x for x in c.columns if x not in ("doc_id", text_col, "sent_no", "anchor", "variant")]
-    g = c.groupBy("doc_id", text_col).agg(F.min(F.struct("sent_no", "anchor", "variant", *rest)).alias("_m"))
-    return g.select("doc_id", text_col, "_m.*")
+    variant) order wins; case-sensitive. The window is keyed ``(doc_id, term)`` and so
+    reuses the ``doc_id`` partitioning (a local sort, no exchange)."""
+    w = Window.partitionBy("doc_id", text_col).orderBy("sent_no", "anchor", "variant")
+    return c.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def is_clean_text(text: Column) -> Column:
-    """T5: ASCII only, non-empty, no punctuation/digit other than - and ', no tab."""
-    return text.rlike(ASCII_RE) & ~strip(text).rlike(FORBIDDEN_RE)
+def is_clean_text(text: Column, stripped: bool = True) -> Column:
+    """T5: ASCII only, non-empty, no punctuation/digit other than - and ', no tab
+    (the character test is on the stripped text; span texts already are)."""
+    return text.rlike(ASCII_RE) & ~(text if stripped else strip(text)).rlike(FORBIDDEN_RE)
 
 
 def trim_invalid(span: Column) -> Column:
@@ -151,25 +159,39 @@ def stopword_table(spark) -> DataFrame:
     return spark.createDataFrame(stopword_rows(), "lang string, word string")
 
 
-def filter_terms(cands: DataFrame, max_ngram: int = 10, remove_stopwords: bool = True) -> DataFrame:
+def filter_terms(cands: DataFrame, max_ngram: int = 10, remove_stopwords: bool = True,
+                 trim: bool = True) -> DataFrame:
     """T10 -> T5 -> T6/T7 -> T8 -> T9 -> T10 -> T12 over candidate spans.
 
-    Output ``(doc_id, term, lemma, sent_no, anchor, variant, n_tokens, lang)``.
+    ``trim=False`` is for candidates that provably contain no invalid-POS token at
+    their edges (``candidate_runs``): trimming and the second de-duplication are
+    then no-ops and are skipped. Output
+    ``(doc_id, term, lemma, sent_no, anchor, variant, n_tokens, lang)``.
     """
+    # lemmas are non-empty tokens without whitespace, so the joined string is stripped
+    lemma = F.array_join(F.transform("span", lambda t: t["lemma"]), " ")
     c = cands.withColumn("term", span_text(F.col("span")))
+    if not trim:
+        c = c.select("doc_id", "term", lemma.alias("lemma"), "sent_no", "anchor", "variant",
+                     F.size("span").cast("long").alias("n_tokens"), "lang")
     c = distinct_first(c)
     c = c.where(is_clean_text(F.col("term")))
-    c = c.withColumn("span", trim_invalid(F.col("span"))).where(F.size("span") > 0)
-    c = c.where(F.size("span") <= max_ngram)
-    c = c.withColumn("term", span_text(F.col("span")))
+    if trim:
+        c = c.withColumn("_t", trim_invalid(F.col("span"))).where(F.size("_t") > 0)
+        c = c.withColumn("term", F.when(F.size("_t") == F.size("span"), F.col("term"))
+                                  .otherwise(span_text(F.col("_t"))))
+        c = c.withColumn("span", F.col("_t")).drop("_t").where(F.size("span") <= max_ngram)
+    else:
+        c = c.where(F.col("n_tokens") <= max_ngram)
     if remove_stopwords:
         sw = F.broadcast(stopword_table(cands.sparkSession))      # fixed lists, bounded size
         c = (c.withColumn("_lw", F.lower("term"))
               .join(sw.withColumnRenamed("word", "_lw"), ["lang", "_lw"], "left_anti").drop("_lw"))
-    c = distinct_first(c)
-    lemma = strip(F.array_join(F.transform("span", lambda t: t["lemma"]), " "))
-    return c.select("doc_id", "term", lemma.alias("lemma"), "sent_no", "anchor", "variant",
-                    F.size("span").cast("long").alias("n_tokens"), "lang")
+    if trim:
+        c = distinct_first(c)
+        c = c.select("doc_id", "term", lemma.alias("lemma"), "sent_no", "anchor", "variant",
+                     F.size("span").cast("long").alias("n_tokens"), "lang")
+    return c
 
 
 def known_word_terms(terms: DataFrame, toks: DataFrame, min_df: int = 2) -> DataFrame:
