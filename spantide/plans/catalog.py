@@ -224,3 +224,26 @@ def q_term_frequency(spark, sf):
 def q_term_idf(spark, sf):
     r = T.term_idf(_docs(spark, sf), _vocab(spark, sf), max_ngram_len=2)
     return r.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+# ---- dictionary matching ------------------------------------------------------------
+
+from spantide.operators import match as D  # noqa: E402
+
+
+def _bench_dictionary(spark, sf):
+    """Global dictionary: word bigrams of the benchmark passages, first lemma wins."""
+    b = table(spark, sf, "benchmark")
+    toks = F.regexp_extract_all("text", F.lit(T.SK_TOKEN_RE), F.lit(0))
+    g = b.select("item_id", toks.alias("t")).select(
+        "item_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - 2, F.lit(-1))),
+                                            lambda i: F.array_join(F.slice("t", i + 1, 2), " "))).alias("pos", "term"))
+    g = g.where(F.size(F.split("term", " ")) == 2)
+    g = g.select("term", F.col("term").alias("lemma"), (F.col("item_id") * 100000 + F.col("pos")).alias("ord"))
+    return D.dedupe_dictionary(g)
+
+
+@query("term_occurrences")
+def q_term_occurrences(spark, sf):
+    s = G.sentences(_docs(spark, sf))
+    return D.match_terms(s, _bench_dictionary(spark, sf))

@@ -299,3 +299,24 @@ SELECT v.term, CAST(count(DISTINCT g.doc_id) AS BIGINT) AS df,
        round(ln((1 + n.n) / (1 + count(DISTINCT g.doc_id))) + 1, 6) AS idf
 FROM v CROSS JOIN n LEFT JOIN g ON g.gram = v.term GROUP BY v.term, n.n
 """
+
+
+# ---- dictionary matching ---------------------------------------------------------------
+
+_C = r"[\p{L}\-_+]"
+
+ORACLE["term_occurrences"] = f"""
+WITH s AS ({sql_sentences('documents')}),
+sl AS (SELECT doc_id, sent_no, "begin" AS sb, lower(text) AS t FROM s),
+bt AS (SELECT item_id, regexp_extract_all(text, {_ql(T.SK_TOKEN_RE)}) AS t FROM benchmark),
+bg AS (SELECT lower(array_to_string(t[i + 1:i + 2], ' ')) AS term FROM bt, range(0, CAST(len(t) AS BIGINT) - 1) AS r(i)),
+dict AS (SELECT DISTINCT term, length(term) AS L FROM bg),
+lens AS (SELECT DISTINCT L FROM dict),
+pos AS (SELECT sl.*, lens.L, p FROM sl, lens, range(1, CAST(length(sl.t) AS BIGINT) - lens.L + 2) AS r(p)),
+hit AS (SELECT pos.*, dict.term FROM pos JOIN dict ON dict.L = pos.L AND dict.term = substr(pos.t, pos.p, pos.L))
+SELECT doc_id, sent_no, CAST(sb + p - 1 AS BIGINT) AS "begin", CAST(sb + p - 1 + L AS BIGINT) AS "end",
+       term, term AS lemma, 1.0::DOUBLE AS score
+FROM hit
+WHERE (p = 1 OR NOT regexp_matches(substr(t, p - 1, 1), '{_C}'))
+  AND (p + L > length(t) OR NOT regexp_matches(substr(t, p + L, 1), '{_C}'))
+"""
