@@ -247,3 +247,20 @@ def _bench_dictionary(spark, sf):
 def q_term_occurrences(spark, sf):
     s = G.sentences(_docs(spark, sf))
     return D.match_terms(s, _bench_dictionary(spark, sf))
+
+
+# ---- pipelines L3 / L4 ----------------------------------------------------------------
+
+from spantide.plans import pipelines as L  # noqa: E402
+
+
+@query("contact_paragraphs")
+def q_contact_paragraphs(spark, sf):
+    return L.contact_paragraphs(_docs(spark, sf))
+
+
+@query("qa_paragraphs")
+def q_qa_paragraphs(spark, sf):
+    """L4 on page main text; the data holds no '?', so the marker is ','."""
+    main = _pages(spark, sf).select(F.col("page_id").alias("doc_id"), P.main_text_tags_expr("html").alias("text"))
+    return L.question_paragraphs(main, marker=",")

@@ -320,3 +320,45 @@ FROM hit
 WHERE (p = 1 OR NOT regexp_matches(substr(t, p - 1, 1), '{_C}'))
   AND (p + L > length(t) OR NOT regexp_matches(substr(t, p + L, 1), '{_C}'))
 """
+
+
+# ---- pipelines L3 / L4 ------------------------------------------------------------------
+
+from spantide.plans import pipelines as _L  # noqa: E402
+
+
+def _nwords(e):
+    return f"len(list_filter(regexp_split_to_array({e}, '{WS}+'), lambda w: w <> ''))"
+
+
+def _sql_ctx_pipeline(units_sql: str, roots_sql: str, pred: str, label: str, prepend: bool, text_src: str,
+                      unit_no: str) -> str:
+    parts = (["p.text"] if prepend else []) + ["m.content"] + ["n.text"]
+    return f"""
+WITH u AS ({units_sql}),
+r AS ({roots_sql}),
+lab AS (SELECT *, par_no - row_number() OVER (PARTITION BY doc_id ORDER BY par_no) AS grp FROM r WHERE {pred}),
+g AS (SELECT doc_id, min("begin") AS b, max("end") AS e, min(par_no) AS f FROM lab GROUP BY doc_id, grp),
+m AS (SELECT g.doc_id, CAST(f AS BIGINT) AS span_no, CAST(b AS BIGINT) AS "begin", CAST(e AS BIGINT) AS "end",
+             {_norm('substr(d.text, CAST(b + 1 AS BIGINT), CAST(e - b AS BIGINT))')} AS content
+      FROM g JOIN {text_src} d ON d.doc_id = g.doc_id),
+c AS (SELECT m.doc_id, m.span_no, min(u.{unit_no}) AS f, max(u.{unit_no}) AS la
+      FROM m JOIN u ON u.doc_id = m.doc_id AND u."begin" >= m."begin" AND u."end" <= m."end"
+      GROUP BY m.doc_id, m.span_no)
+SELECT m.doc_id, m.span_no, m."begin", m."end", m.content,
+       CASE WHEN c.f IS NOT NULL THEN {_norm(f"concat_ws(chr(10), {', '.join(parts)})")} END AS content_context
+FROM m LEFT JOIN c ON c.doc_id = m.doc_id AND c.span_no = m.span_no
+LEFT JOIN u p ON p.doc_id = m.doc_id AND p.{unit_no} = c.f - 1
+LEFT JOIN u n ON n.doc_id = m.doc_id AND n.{unit_no} = c.la + 1
+"""
+
+
+_G5 = f"regexp_replace(regexp_replace(text, '[\\n\\t]', ' ', 'g'), '^{WS}+|{WS}+\\z', '', 'g')"
+ORACLE["contact_paragraphs"] = _sql_ctx_pipeline(
+    sql_sentences("documents"), sql_paragraphs_blank("documents"),
+    f"(regexp_matches({_G5}, {_ql(_L.EMAIL_RE)}) OR regexp_matches({_G5}, {_ql(_L.PHONE_RE)}))",
+    "contact", True, "documents", "sent_no")
+
+ORACLE["qa_paragraphs"] = _sql_ctx_pipeline(
+    sql_paragraphs_list(_MAIN), sql_paragraphs_list(_MAIN),
+    f"contains(text, ',') AND {_nwords('text')} >= 2", "question", False, _MAIN, "par_no")
