@@ -6,7 +6,7 @@ once and never tuned per run. Oracle SQL for the same names is in ``oracle.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spantide.operators import pages as P
@@ -264,3 +264,127 @@ def q_qa_paragraphs(spark, sf):
     """L4 on page main text; the data holds no '?', so the marker is ','."""
     main = _pages(spark, sf).select(F.col("page_id").alias("doc_id"), P.main_text_tags_expr("html").alias("text"))
     return L.question_paragraphs(main, marker=",")
+
+
+# ---- classification -------------------------------------------------------------------
+
+from spantide.operators import classify as C  # noqa: E402
+from spantide.operators import qa as Q  # noqa: E402
+
+K_CLASSES = 10
+
+
+@query("clean_text")
+def q_clean_text(spark, sf):
+    return _docs(spark, sf).select("doc_id", C.clean_text("text").alias("cleaned"))
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    lab = table(spark, sf, "labels").select(F.col("quality").alias("label"))
+    return C.class_weights(lab).select(F.col("label").cast("long").alias("label"), "n",
+                                       F.round("weight", 6).alias("weight"))
+
+
+@query("pos_weights")
+def q_pos_weights(spark, sf):
+    r = C.pos_weights(table(spark, sf, "labels"), ["quality", "toxic"])
+    return r.select("pos", F.col("n_pos").cast("long").alias("n_pos"), F.round("weight", 6).alias("weight"))
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return C.stratified_split(lab, "label", "doc_id", 0.1, 2022)
+
+
+@query("empty_defaults")
+def q_empty_defaults(spark, sf):
+    d = _docs(spark, sf).select("doc_id", C.clean_text("text").alias("cleaned"))
+    s = d.withColumn("label", L.contact_rule("cleaned"))
+    s = s.withColumn("proba_1", F.col("label").cast("double")).withColumn("proba_0", 1.0 - F.col("label"))
+    return C.with_empty_defaults(s, "cleaned", "label", ["proba_0", "proba_1"]).drop("cleaned")
+
+
+def _scores(spark, sf):
+    e = table(spark, sf, "embeddings")
+    x = F.transform(F.slice("embedding", 1, K_CLASSES), lambda v: v.cast("double"))
+    return e.select("vec_id", "label", x.alias("x"))
+
+
+@query("threshold_predictions")
+def q_threshold_predictions(spark, sf):
+    s = _scores(spark, sf)
+    return s.select("vec_id", F.col("label").cast("long").alias("label"), C.argmax("x").cast("long").alias("pred"),
+                    F.array_join(C.threshold("x"), "").alias("multi_label"))
+
+
+@query("accuracy")
+def q_accuracy(spark, sf):
+    s = _scores(spark, sf).withColumn("pred", C.argmax("x"))
+    return s.agg(F.count("*").alias("n"),
+                 F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 6).alias("accuracy"))
+
+
+@query("class_report")
+def q_class_report(spark, sf):
+    s = _scores(spark, sf).withColumn("pred", C.argmax("x"))
+    r = C.class_report(s, "label", "pred")
+    return r.select("cls", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")],
+                    F.col("support").cast("long").alias("support"))
+
+
+@query("mean_loss")
+def q_mean_loss(spark, sf):
+    """Mean cross-entropy of softmax(x) and mean BCE with positive weights
+    ``N/positives - 1`` on one-hot targets, over every element."""
+    s = _scores(spark, sf)
+    lse = F.log(F.aggregate(F.transform("x", lambda v: F.exp(v)), F.lit(0.0), lambda a, b: a + b))
+    ce = s.select((lse - F.element_at("x", F.col("label") + 1)).alias("ce"))
+    el = s.select("label", F.posexplode("x").alias("j", "v"))
+    pw = C.pos_weights(s.select(*[(F.col("label") == j).cast("int").alias(f"c{j}") for j in range(K_CLASSES)]),
+                       [f"c{j}" for j in range(K_CLASSES)]).select(F.col("pos").alias("j"), "weight")
+    el = el.join(F.broadcast(pw), "j")      # K_CLASSES rows
+    y = (F.col("label") == F.col("j")).cast("double")
+    bce = (F.col("weight") * y * F.log1p(F.exp(-F.col("v"))) + (1 - y) * F.log1p(F.exp(F.col("v"))))
+    b = el.agg(F.round(F.avg(bce), 6)).scalar()          # scalar subquery, one value
+    return ce.agg(F.count("*").alias("n"), F.round(F.avg("ce"), 6).alias("ce_loss")).withColumn("bce_loss", b)
+
+
+# ---- questions and answers ----------------------------------------------------------------
+
+@query("qg_sentences")
+def q_qg_sentences(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.explode(Q.split_sentences("text")).alias("sentence"))
+
+
+@query("segments")
+def q_segments(spark, sf):
+    return Q.segments(_docs(spark, sf))
+
+
+@query("qg_inputs")
+def q_qg_inputs(spark, sf):
+    return Q.qg_inputs(Q.segments(_docs(spark, sf)))
+
+
+def _conv_pairs(spark, sf):
+    c = table(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = (c.withColumn("next_role", F.lead("role").over(w)).withColumn("next_text", F.lead("text").over(w))
+          .where((F.col("role") == "user") & (F.col("next_role") == "assistant")))
+    return c.select("conv_id", "turn", F.col("text").alias("question"), F.col("next_text").alias("answer"))
+
+
+@query("best_pairs")
+def q_best_pairs(spark, sf):
+    p = _conv_pairs(spark, sf).withColumn("question", Q.clean_question("question"))
+    p = p.withColumn("score", F.length("answer").cast("long"))
+    return Q.rank_pairs(p, "conv_id", "score", "turn", 10).select(
+        "conv_id", F.col("rank").cast("long").alias("rank"), "turn", "question", "answer", "score")
+
+
+@query("qa_negatives")
+def q_qa_negatives(spark, sf):
+    return Q.negatives(_conv_pairs(spark, sf), ["conv_id", "turn"]).select(
+        "conv_id", "turn", "question", "answer", "label")

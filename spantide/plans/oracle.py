@@ -362,3 +362,111 @@ ORACLE["contact_paragraphs"] = _sql_ctx_pipeline(
 ORACLE["qa_paragraphs"] = _sql_ctx_pipeline(
     sql_paragraphs_list(_MAIN), sql_paragraphs_list(_MAIN),
     f"contains(text, ',') AND {_nwords('text')} >= 2", "question", False, _MAIN, "par_no")
+
+
+# ---- classification -------------------------------------------------------------------
+
+from spantide.operators import classify as _C  # noqa: E402
+from spantide.operators import qa as _Q  # noqa: E402
+
+
+def _sql_clean(e):
+    return (f"array_to_string(list_filter(list_transform(regexp_split_to_array({e}, '[\\n\\t]'), lambda s: {_strip('s')}), "
+            f"lambda s: s <> '' AND {_nwords('s')} > 6 AND NOT regexp_matches(s, {_ql(_C.NUMPUNCT_RE)})), chr(10))")
+
+
+ORACLE["clean_text"] = f"SELECT doc_id, {_sql_clean('text')} AS cleaned FROM documents"
+ORACLE["class_weights"] = """
+SELECT CAST(quality AS BIGINT) AS label, count(*) AS n, round(1.0 / count(*), 6) AS weight FROM labels GROUP BY quality"""
+ORACLE["pos_weights"] = """
+WITH n AS (SELECT count(*) AS n FROM labels),
+p AS (SELECT 0 AS pos, sum(quality) AS s FROM labels UNION ALL SELECT 1, sum(toxic) FROM labels)
+SELECT CAST(pos AS BIGINT) AS pos, CAST(s AS BIGINT) AS n_pos,
+       CASE WHEN s > 0 THEN round(n.n / s - 1, 6) END AS weight FROM p, n"""
+ORACLE["stratified_split"] = """
+SELECT doc_id, quality AS label,
+       row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || '2022'), doc_id)
+         <= ceil(count(*) OVER (PARTITION BY quality) * 0.1) AS is_val
+FROM labels"""
+_CL = _sql_clean("text")
+_RULE = f"CAST(regexp_matches(c, {_ql(_L.EMAIL_RE)}) OR regexp_matches(c, {_ql(_L.PHONE_RE)}) AS INTEGER)"
+ORACLE["empty_defaults"] = f"""
+WITH d AS (SELECT doc_id, {_CL} AS c FROM documents)
+SELECT doc_id, CASE WHEN c = '' THEN 0 ELSE {_RULE} END AS label,
+       CASE WHEN c = '' THEN -1.0 ELSE CAST({_RULE} AS DOUBLE) END AS proba_1,
+       CASE WHEN c = '' THEN -1.0 ELSE 1.0 - {_RULE} END AS proba_0
+FROM d"""
+_X = "list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE))"
+_SC = f"(SELECT vec_id, label, {_X} AS x FROM embeddings)"
+_ARGMAX = "(list_position(x, list_max(x)) - 1)"
+ORACLE["threshold_predictions"] = f"""
+SELECT vec_id, CAST(label AS BIGINT) AS label, CAST({_ARGMAX} AS BIGINT) AS pred,
+       array_to_string(list_transform(x, lambda v: CAST(1.0 / (1.0 + exp(-v)) >= 0.5 AS INTEGER)), '') AS multi_label
+FROM {_SC} s"""
+ORACLE["accuracy"] = f"""
+SELECT count(*) AS n, round(avg(CAST({_ARGMAX} = label AS DOUBLE)), 6) AS accuracy FROM {_SC} s"""
+ORACLE["class_report"] = f"""
+WITH p AS (SELECT label, {_ARGMAX} AS pred FROM {_SC} s),
+u AS (SELECT label AS cls, 1 AS sup, 0 AS np, CAST(label = pred AS INTEGER) AS tp FROM p
+      UNION ALL SELECT pred, 0, 1, 0 FROM p),
+g AS (SELECT cls, sum(sup) AS support, sum(np) AS n_pred, sum(tp) AS tp FROM u GROUP BY cls),
+per AS (SELECT CAST(cls AS VARCHAR) AS cls,
+               CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
+               CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, support FROM g),
+pf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM per)
+SELECT cls, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM pf
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+                 round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM pf"""
+ORACLE["mean_loss"] = f"""
+WITH s AS {_SC},
+ce AS (SELECT count(*) AS n, round(avg(ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[label + 1]), 6) AS ce_loss FROM s),
+el AS (SELECT s.label, t.j - 1 AS j, t.v FROM s, unnest(s.x) WITH ORDINALITY AS t(v, j)),
+nn AS (SELECT count(*) AS n FROM s),
+pw AS (SELECT j, CASE WHEN sum(CAST(label = j AS INTEGER)) > 0 THEN nn.n / sum(CAST(label = j AS INTEGER)) - 1 END AS w
+       FROM el, nn GROUP BY j, nn.n),
+b AS (SELECT round(avg(pw.w * CAST(el.label = el.j AS DOUBLE) * ln(1 + exp(-el.v))
+                       + (1 - CAST(el.label = el.j AS DOUBLE)) * ln(1 + exp(el.v))), 6) AS bce_loss
+      FROM el JOIN pw ON pw.j = el.j)
+SELECT ce.n, ce.ce_loss, b.bce_loss FROM ce, b"""
+
+# ---- questions and answers ---------------------------------------------------------------
+
+_SPLIT = lambda e: f"list_distinct(list_transform(regexp_extract_all({e}, {_ql(_Q.SENTENCE_RE)}), lambda s: regexp_replace(s, '^ +| +\\z', '', 'g')))"
+ORACLE["qg_sentences"] = f"""
+SELECT doc_id, u.sentence FROM documents, unnest({_SPLIT('text')}) AS u(sentence)"""
+_SEGS = f"""
+WITH RECURSIVE p AS (
+  SELECT doc_id, CAST(t.i - 1 AS BIGINT) AS i, t.s, CAST({_nwords('t.s')} AS BIGINT) AS n
+  FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: length(s) > 0) AS ls FROM documents) d,
+       unnest(d.ls) WITH ORDINALITY AS t(s, i)
+), r(doc_id, i, cur, seg) AS (
+  SELECT doc_id, i, n, CAST(0 AS BIGINT) FROM p WHERE i = 0
+  UNION ALL
+  SELECT p.doc_id, p.i, CASE WHEN r.cur >= {_Q.MAX_SEGMENT_TOKENS} THEN p.n ELSE r.cur + p.n END,
+         CASE WHEN r.cur >= {_Q.MAX_SEGMENT_TOKENS} THEN r.seg + 1 ELSE r.seg END
+  FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1
+), segs AS (
+  SELECT p.doc_id, r.seg AS seg_no, string_agg(p.s, ' ' ORDER BY p.i) AS text, CAST(sum(p.n) AS BIGINT) AS n_tokens
+  FROM p JOIN r ON r.doc_id = p.doc_id AND r.i = p.i GROUP BY p.doc_id, r.seg
+)"""
+ORACLE["segments"] = _SEGS + "\nSELECT doc_id, CAST(seg_no AS BIGINT) AS seg_no, text, n_tokens FROM segs"
+ORACLE["qg_inputs"] = _SEGS + f"""
+SELECT doc_id, CAST(seg_no AS BIGINT) AS seg_no, u.answer,
+       '{_Q.ANSWER_TOKEN} ' || u.answer || ' {_Q.CONTEXT_TOKEN} ' || text AS qg_input
+FROM segs, unnest({_SPLIT('text')}) AS u(answer)"""
+_PAIRS = """
+WITH c AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr,
+                     lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations),
+pr AS (SELECT conv_id, turn, text AS question, nt AS answer FROM c WHERE role = 'user' AND nr = 'assistant')"""
+ORACLE["best_pairs"] = _PAIRS + """
+SELECT conv_id, CAST(rank AS BIGINT) AS rank, turn, question, answer, score FROM (
+  SELECT conv_id, turn, split_part(question, '?', 1) || '?' AS question, answer, CAST(length(answer) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY conv_id ORDER BY length(answer) DESC, turn) AS rank FROM pr) z
+WHERE rank <= 10"""
+_H = "md5(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) || ':' || '2022')"
+ORACLE["qa_negatives"] = _PAIRS + f""",
+h AS (SELECT *, {_H} AS hh, CAST(('0x' || substr({_H}, 1, 8))::BIGINT % 64 AS BIGINT) AS b FROM pr),
+s AS (SELECT *, coalesce(lead(answer) OVER (PARTITION BY b ORDER BY hh), first(answer) OVER (PARTITION BY b ORDER BY hh ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS sw FROM h),
+f AS (SELECT *, NOT (CAST(('0x' || substr(hh, 1, 8))::BIGINT % 2 AS BIGINT) = 0) AND sw <> answer AS flip FROM s)
+SELECT conv_id, turn, question, CASE WHEN flip THEN sw ELSE answer END AS answer, CASE WHEN flip THEN 0 ELSE 1 END AS label FROM f"""
