@@ -388,3 +388,64 @@ def q_best_pairs(spark, sf):
 def q_qa_negatives(spark, sf):
     return Q.negatives(_conv_pairs(spark, sf), ["conv_id", "turn"]).select(
         "conv_id", "turn", "question", "answer", "label")
+
+
+# ---- sources, sinks and the feed (write to the shared folder, read back) ---------------------
+
+from spantide.session import scratch_path  # noqa: E402
+from spantide.sources import files as S  # noqa: E402
+from spantide.streaming import feed as L7  # noqa: E402
+
+
+@query("tsv_roundtrip")
+def q_tsv_roundtrip(spark, sf):
+    """S12 writer -> S3 and S4 readers (+C2) on documents joined with labels."""
+    d = _docs(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    path = scratch_path(spark, "tsv")
+    S.write_training_tsv(d, path, label_cols=("quality", "toxic"))
+    one = S.read_base64_tsv(spark, path, first_col=3)
+    multi = S.read_base64_tsv(spark, path, first_col=3, multi_label=True)
+    return (one.select(F.lit("multi_class").alias("reader"), "text", F.col("label").cast("string").alias("labels"))
+               .unionByName(multi.select(F.lit("multi_label").alias("reader"), "text",
+                                         F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))))
+
+
+@query("file_readers")
+def q_file_readers(spark, sf):
+    """S5/S7 (class-per-directory whole files) and S8 (multi-line CSV) round trips."""
+    d = _docs(spark, sf)
+    tdir = scratch_path(spark, "split")
+    d.select("lang", "text").write.mode("overwrite").partitionBy("lang").text(tdir)
+    split = S.read_split(spark, tdir, class_names=("en", "fr", "de", "es"), dir_prefix="lang=")
+    per_class = split.groupBy("label").agg(
+        F.sum(F.size(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1))).cast("long").alias("n_lines"))
+    cdir = scratch_path(spark, "qa_csv")
+    S.write_qa_csv(_conv_pairs(spark, sf).select(F.col("turn").alias("idx"), "question", "answer")
+                   .withColumn("idx", F.col("idx").cast("long")), cdir)
+    qa = S.read_qa_csv(spark, cdir).agg(F.count("*").alias("n_pairs"),
+                                        F.sum(F.length("question") + F.length("answer")).alias("qa_chars"))
+    return per_class.join(F.broadcast(qa))      # one-row side
+
+
+@query("feed_batches")
+def q_feed_batches(spark, sf):
+    """L7 + S2: pages written as crawl JSONL, consumed by a streaming query."""
+    base = scratch_path(spark, "feed")
+    S.write_crawl(_pages(spark, sf), f"{base}/in")
+    L7.run_feed(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("classifier_lr")
+def q_classifier_lr(spark, sf):
+    """Clean (C1) -> drop empty (C3) -> stratified split (C4) -> class weights
+    (C6/C7) -> MLlib logistic regression (C9) -> predictions on the hold-out (C10)."""
+    d = (_docs(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+         .select("doc_id", C.clean_text("text").alias("text"), F.col("quality").alias("label"))
+         .where(F.col("text") != ""))
+    d = C.stratified_split(d, "label", "doc_id")
+    d = C.sample_weights(d, "label")
+    model = C.train_linear(d.where(~F.col("is_val")), weight_col="weight", num_features=1 << 16, max_iter=10)
+    p = C.predict(model, d.where("is_val"))
+    return p.select("doc_id", F.col("label").cast("long").alias("label"), F.col("pred").cast("long").alias("pred"),
+                    F.col("proba")[1].alias("proba_1"))

@@ -470,3 +470,26 @@ h AS (SELECT *, {_H} AS hh, CAST(('0x' || substr({_H}, 1, 8))::BIGINT % 64 AS BI
 s AS (SELECT *, coalesce(lead(answer) OVER (PARTITION BY b ORDER BY hh), first(answer) OVER (PARTITION BY b ORDER BY hh ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS sw FROM h),
 f AS (SELECT *, NOT (CAST(('0x' || substr(hh, 1, 8))::BIGINT % 2 AS BIGINT) = 0) AND sw <> answer AS flip FROM s)
 SELECT conv_id, turn, question, CASE WHEN flip THEN sw ELSE answer END AS answer, CASE WHEN flip THEN 0 ELSE 1 END AS label FROM f"""
+
+
+# ---- sources and feed ------------------------------------------------------------------
+
+ORACLE["tsv_roundtrip"] = """
+WITH r AS (SELECT u.line, l.quality, l.toxic
+           FROM documents d JOIN labels l ON l.doc_id = d.doc_id, unnest(string_split(d.text, chr(10))) AS u(line)
+           WHERE u.line <> '')
+SELECT 'multi_class' AS reader, line AS text, CAST(quality AS VARCHAR) AS labels FROM r
+UNION ALL
+SELECT 'multi_label', line, CAST(quality AS VARCHAR) || ',' || CAST(toxic AS VARCHAR) FROM r"""
+ORACLE["file_readers"] = _PAIRS + """
+, pc AS (SELECT CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 ELSE -1 END AS label,
+               CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines FROM documents GROUP BY 1),
+qa AS (SELECT count(*) AS n_pairs, sum(length(question) + length(answer)) AS qa_chars FROM pr)
+SELECT pc.label, pc.n_lines, qa.n_pairs, qa.qa_chars FROM pc, qa"""
+ORACLE["feed_batches"] = f"""
+WITH x AS (SELECT page_id, {P.sql_main_text_tags('html')} AS text FROM pages),
+s AS ({sql_sentences("(SELECT page_id AS doc_id, text FROM x)")}),
+a AS (SELECT doc_id, count(*) AS n, string_agg(CAST("begin" AS VARCHAR) || ':' || CAST("end" AS VARCHAR), ','
+                                               ORDER BY "begin", "end") AS spans FROM s GROUP BY doc_id)
+SELECT x.page_id, CAST(coalesce(a.n, 0) AS BIGINT) AS n_sentences, coalesce(a.spans, '') AS spans
+FROM x LEFT JOIN a ON a.doc_id = x.page_id"""
