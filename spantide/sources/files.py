@@ -54,7 +54,7 @@ def write_training_tsv(df: DataFrame, path: str, text_col: str = "text", label_c
     x = df.select(F.col(orig_lang_col).alias("orig"), tgt.alias("target"), *label_cols,
                   F.explode(F.split(text_col, "\n", -1)).alias("line")).where(F.col("line") != "")
     x = x.select("orig", "target", (F.col("orig") != F.col("target")).cast("int").alias("translation"),
-                 F.base64(F.encode("line", "UTF-8")).alias("b64"), *label_cols)
+                 F.regexp_replace(F.base64(F.encode("line", "UTF-8")), r"[\r\n]", "").alias("b64"), *label_cols)
     x.write.mode("overwrite").option("sep", "\t").option("header", "false").csv(path)
 
 
