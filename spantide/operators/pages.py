@@ -44,6 +44,7 @@ CLEAN_STEPS = [
     (r"(?is)<style\b.*?</style\s*>", ""),
     (r"(?is)<noscript\b.*?</noscript\s*>", ""),
     (r"(?is)<head\b.*?</head\s*>", ""),
+    (r"(?is)<title\b.*?</title\s*>", ""),
 ]
 MAIN_STEPS = [(rf"(?is)<{t}\b.*?</{t}\s*>", "") for t in BOILER_REGIONS] + [
     (rf"""(?is)<div\s[^>]*class\s*=\s*["'](?:{BOILER_CLASSES})["'][^>]*>.*?</div\s*>""", ""),
