@@ -449,3 +449,10 @@ def q_classifier_lr(spark, sf):
     p = C.predict(model, d.where("is_val"))
     return p.select("doc_id", F.col("label").cast("long").alias("label"), F.col("pred").cast("long").alias("pred"),
                     F.col("proba")[1].alias("proba_1"))
+
+
+@query("top_terms_per_host")
+def q_top_terms_per_host(spark, sf):
+    """L2 flagship: page main text -> sentences -> terms; top 5 terms per host by
+    number of pages (a top-k report: the limit is the feature)."""
+    return L.top_terms_per_host(_pages(spark, sf), k=5)
