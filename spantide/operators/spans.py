@@ -78,25 +78,21 @@ def add_context(merged: DataFrame, units: DataFrame, prepend: bool = True, appen
     ``merged``: ``(doc_id, span_no, begin, end, content, ...)``;
     ``units``: ``(doc_id, <unit_no>, begin, end, text)`` numbered consecutively.
     Spans covering no unit get a null context; with neither flag the context is
-    the content itself. Neighbours are ordinal equi-joins, never a scan.
+    the content itself. Neighbours come from lag/lead over the units, never a scan.
     """
-    cov = (covered(units.select("doc_id", unit_no, "begin", "end"), merged, outer_key=span_key)
+    # neighbour texts ride along with each unit (lag/lead over the doc_id partitioning),
+    # so one coverage join replaces separate joins for the previous and next unit
+    w = Window.partitionBy("doc_id").orderBy(unit_no)
+    u = units.select("doc_id", unit_no, "begin", "end",
+                     F.lag("text").over(w).alias("_pt"), F.lead("text").over(w).alias("_nt"))
+    cov = (covered(u, merged, outer_key=span_key)
            .groupBy("doc_id", span_key)
-           .agg(F.min(unit_no).alias("_first"), F.max(unit_no).alias("_last")))
+           .agg(F.min(unit_no).alias("_first"), F.min_by("_pt", unit_no).alias("_prev"),
+                F.max_by("_nt", unit_no).alias("_next")))
     x = merged.join(cov, ["doc_id", span_key], "left")
-    u = units.select("doc_id", F.col(unit_no).alias("_n"), F.col("text").alias("_t"))
-    parts = []
-    if prepend:
-        prev = u.select("doc_id", (F.col("_n") + 1).alias("_first"), F.col("_t").alias("_prev"))
-        x = x.join(prev, ["doc_id", "_first"], "left")
-        parts.append(F.col("_prev"))
-    parts.append(F.col("content"))
-    if append:
-        nxt = u.select("doc_id", (F.col("_n") - 1).alias("_last"), F.col("_t").alias("_next"))
-        x = x.join(nxt, ["doc_id", "_last"], "left")
-        parts.append(F.col("_next"))
+    parts = ([F.col("_prev")] if prepend else []) + [F.col("content")] + ([F.col("_next")] if append else [])
     ctx = F.when(F.col("_first").isNotNull(), normalise_lines(F.concat_ws("\n", *parts)))
-    return x.withColumn("content_context", ctx).drop("_first", "_last", "_prev", "_next")
+    return x.withColumn("content_context", ctx).drop("_first", "_prev", "_next")
 
 
 def shift_offsets(rel: DataFrame, sentences: DataFrame, key: str = "sent_no") -> DataFrame:
