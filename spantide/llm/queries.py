@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from spantide.llm import linededup, quality
+from spantide.llm import linededup, mixing, packing, quality
 
 QUERIES = {
+    "op2_best_fit_packing": packing.query,
     "op3_quality_rules": quality.query,
+    "op8_source_mixing": mixing.query,
     "op9_line_dedup": linededup.query,
 }
 
 ORACLE = {
     "op3_quality_rules": quality.ORACLE_SQL,
+    "op8_source_mixing": mixing.ORACLE_SQL,
     "op9_line_dedup": linededup.ORACLE_SQL,
 }
