@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spantide.llm import linededup, mixing, packing, quality
+from spantide.llm import linededup, minhash, mixing, packing, quality
 
 QUERIES = {
+    "op1_minhash_near_dedup": minhash.query,
     "op2_best_fit_packing": packing.query,
     "op3_quality_rules": quality.query,
     "op8_source_mixing": mixing.query,
