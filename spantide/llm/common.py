@@ -47,3 +47,18 @@ def barrier(df: DataFrame, *keep: str, **made) -> DataFrame:
     not copy an expression into the (per element) lambdas that use it later.
     """
     return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
+
+
+def shared_file(uri: str):
+    """(file system, path) of a file below the shared folder, on an executor."""
+    from pyarrow import fs
+    if uri.startswith("file:"):
+        uri = "file://" + uri[len("file:"):].lstrip("/").join(["/", ""])
+    return fs.FileSystem.from_uri(uri)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a short list of work items to tasks by number, which adaptive execution keeps."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

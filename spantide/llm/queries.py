@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from spantide.llm import linededup, minhash, mixing, packing, quality
+from spantide.llm import licenses, linededup, minhash, mixing, packing, quality, separators
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.query,
     "op2_best_fit_packing": packing.query,
     "op3_quality_rules": quality.query,
+    "op5_license_scan": licenses.query,
     "op8_source_mixing": mixing.query,
     "op9_line_dedup": linededup.query,
+    "op10_token_counts": separators.query,
 }
 
 ORACLE = {
     "op3_quality_rules": quality.ORACLE_SQL,
+    "op5_license_scan": licenses.query,
     "op8_source_mixing": mixing.ORACLE_SQL,
     "op9_line_dedup": linededup.ORACLE_SQL,
 }
