@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spantide.llm import licenses, linededup, minhash, mixing, packing, quality, separators
+from spantide.llm import licenses, linededup, minhash, mixing, packing, quality, separators, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.query,
     "op2_best_fit_packing": packing.query,
     "op3_quality_rules": quality.query,
+    "op4_warc_roundtrip": warc.query,
     "op5_license_scan": licenses.query,
     "op8_source_mixing": mixing.query,
     "op9_line_dedup": linededup.query,
@@ -16,7 +17,7 @@ QUERIES = {
 
 ORACLE = {
     "op3_quality_rules": quality.ORACLE_SQL,
-    "op5_license_scan": licenses.query,
+    "op4_warc_roundtrip": warc.ORACLE_SQL,
     "op8_source_mixing": mixing.ORACLE_SQL,
     "op9_line_dedup": linededup.ORACLE_SQL,
 }
