@@ -39,11 +39,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["up"], _POW["down"]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of ``buf[start:end]``, scrambled together with the length."""
+def prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix, down): ``(prefix[end] - prefix[start]) * down[start]`` names ``buf[start:end]``."""
     up, down = _powers(len(buf))
     prefix = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * up[:len(buf)], out=prefix[1:])
+    return prefix, down
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hashes of ``buf[start:end]``, scrambled together with the length."""
+    prefix, down = prefix_hashes(buf)
     return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT)
 
 
