@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spantide.llm import licenses, linededup, minhash, mixing, packing, quality, separators, suffixes, warc
+from spantide.llm import fingerprints, licenses, linededup, minhash, mixing, packing, quality, separators, suffixes, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.query,
     "op4_warc_roundtrip": warc.query,
     "op5_license_scan": licenses.query,
+    "op6_cws_fingerprints": fingerprints.query,
     "op7_suffix_dedup": suffixes.query,
     "op8_source_mixing": mixing.query,
     "op9_line_dedup": linededup.query,
