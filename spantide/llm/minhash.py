@@ -9,11 +9,13 @@ coordinate keeps the earliest. Two documents agree in a coordinate with the prob
 their (weighted) Jaccard similarity. ``bands`` groups of ``rows`` coordinates are buckets;
 at a similarity of 0.8 a pair shares no bucket with a probability of 3e-5.
 
-Within a bucket pairs are not listed. In rounds, each bucket takes one pivot from its
-smallest component and compares it with the members of its other components; compared pivots
-leave the bucket; it ends when one component is left. So every two members are compared, or
-already joined, and no link is lost, while a bucket of copies costs one comparison per member.
-Compared pairs are held to the exact similarity of their shingle sets.
+Within a bucket pairs are not listed. In rounds, each bucket takes pivots, one from each of its
+smallest components, and compares them with the members of its other components; compared
+pivots leave the bucket; it ends when one component is left. So every two members are compared,
+or already joined, and no link is lost, while a bucket of copies costs one comparison per
+member. The first round takes one pivot per bucket, each further one four times as many, so that
+a bucket of members that are not alike ends after a few rounds. Compared pairs are held to the
+exact similarity of their shingle sets.
 
 Plan: equal texts are one vertex from the start (128-bit digest), so copies never meet.
 Texts of vertices in shared buckets are gathered once; joins from members to pivots and to
@@ -29,7 +31,7 @@ smallest id in the class, null if none of its rows has one; exactly one row of e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,20 +185,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("dkey"), text.alias("text"))
     texts = materialise(d.join(source, (d.dkey == source.key) & d.id.eqNullSafe(source.rep)).select("vid", "text"), "texts")
 
-    seen = None
+    seen, width = None, 1
     while True:
         here = live.join(label, "vid")
         by_label = here.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("vid").alias("pivot"))
-        pivots = (by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.min(F.struct("n", "pivot", "label")).alias("p"))
-                  .where("labels > 1").select("bucket", F.col("p.pivot").alias("pivot"), F.col("p.label").alias("plabel")))
+        if width == 1:
+            pivots = (by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.min(F.struct("n", "pivot", "label")).alias("p"))
+                      .where("labels > 1").select("bucket", F.col("p.pivot").alias("pivot"), F.col("p.label").alias("plabel")))
+        else:
+            small_first = Window.partitionBy("bucket").orderBy("n", "pivot")
+            pivots = (by_label.withColumn("nth", F.row_number().over(small_first))
+                      .withColumn("labels", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+                      .where((F.col("nth") < F.col("labels")) & (F.col("nth") <= width)).select("bucket", "pivot", F.col("label").alias("plabel")))
         pivots = materialise(pivots, "pivots")
-        met = materialise(here.join(pivots, "bucket").where("vid <> pivot"), "met")
-        pairs = met.where("label <> plabel").select(F.least("vid", "pivot").alias("a"), F.greatest("vid", "pivot").alias("b")).distinct()
+        if pivots.isEmpty():
+            break
+        pairs = here.join(pivots, "bucket").where("label <> plabel").select(F.least("vid", "pivot").alias("a"), F.greatest("vid", "pivot").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        if pivots.isEmpty():
-            break
         if not pairs.isEmpty():
             links = similar_pairs(pairs, texts, shingle, similarity)
             la, lb = label.select(F.col("vid").alias("a"), F.col("label").alias("x")), label.select(F.col("vid").alias("b"), F.col("label").alias("y"))
@@ -206,7 +213,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 label = materialise(label.join(joined, label.label == joined.v, "left")
                                     .select("vid", F.coalesce(joined.label, label.label).alias("label")), "labels")
             seen = pairs if seen is None else seen.unionByName(pairs)
-        live = met.select("bucket", "vid")
+        live = materialise(live.join(pivots.select("bucket").distinct(), "bucket", "left_semi")
+                           .join(pivots.select("bucket", F.col("pivot").alias("vid")), ["bucket", "vid"], "left_anti"), "members")
+        width *= 4
 
     v = vertex.join(label.withColumnRenamed("vid", "lvid"), F.col("vid") == F.col("lvid"), "left")
     v = v.select("vid", "key", "rep", F.coalesce("label", "vid").alias("label"))
