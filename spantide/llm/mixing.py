@@ -47,8 +47,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     """(source, source_size, target): the total of all sizes shared by the repeating weights.
 
     ``sizes`` has one row per source. With limits c = max_epochs * size and weights w, the
-    level is (total - sum of c over full sources) / (sum of w over the others), sources
-    taken by rising c / w; a source is full if its c / w is at most the level.
+    level is (total - sum of c over full sources) / (sum of w over the others). With sources
+    in order of c / w and the first ones taken as full, it rises as long as the next one's
+    c / w is below it, and falls from then on, so it is the largest of these values.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]),
                      (F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1,
@@ -60,10 +61,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
                  F.sum("w").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("w1"),
                  F.sum("source_size").over(everything).cast("double").alias("total"))
     t = t.withColumn("level", (F.col("total") - F.coalesce("c0", F.lit(0.0))) / F.col("w1"))
-    t = t.withColumn("water", F.min(F.when(F.col("c") / F.col("w") > F.col("level"), F.col("level"))).over(everything))
-    return t.select("source", "source_size",
-                    F.when(F.col("water").isNull(), F.col("c")).otherwise(F.least(F.col("c"), F.col("water") * F.col("w")))
-                     .alias("target"), "total")
+    t = t.withColumn("water", F.max("level").over(everything))
+    return t.select("source", "source_size", F.least(F.col("c"), F.col("water") * F.col("w")).alias("target"), "total")
 
 
 def queue(measured: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bins: int = BINS) -> DataFrame:
@@ -150,9 +149,9 @@ r AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total,
              sum(w) OVER (ORDER BY c / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w1 FROM w),
 l AS (SELECT *, (total - c0) / w1 AS level FROM r),
 t AS (SELECT source, source_size, total, c, w,
-             min(CASE WHEN c / w > level THEN level END) OVER () AS water FROM l),
+             max(level) OVER () AS water FROM l),
 tt AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, total,
-              CASE WHEN water IS NULL THEN c ELSE least(c, water * w) END AS target FROM t),
+              least(c, water * w) AS target FROM t),
 q AS (SELECT d.doc_id, d.size, d.source, d.key, tt.source_size, tt.target, tt.total, e.e,
              CASE WHEN tt.target = 0 THEN CAST(e.e AS DOUBLE) ELSE
                (e.e * tt.source_size + sum(d.size) OVER (PARTITION BY d.source, e.e ORDER BY d.key)) / tt.target END AS finish
