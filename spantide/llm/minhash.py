@@ -9,13 +9,15 @@ coordinate keeps the earliest. Two documents agree in a coordinate with the prob
 their (weighted) Jaccard similarity. ``bands`` groups of ``rows`` coordinates are buckets;
 at a similarity of 0.8 a pair shares no bucket with a probability of 3e-5.
 
-Within a bucket pairs are not listed. In rounds, each bucket takes pivots, one from each of its
-smallest components, and compares them with the members of its other components; compared
-pivots leave the bucket; it ends when one component is left. So every two members are compared,
-or already joined, and no link is lost, while a bucket of copies costs one comparison per
-member. The first round takes one pivot per bucket, each further one four times as many, so that
-a bucket of members that are not alike ends after a few rounds. Compared pairs are held to the
-exact similarity of their shingle sets.
+Within a bucket pairs are not listed. First each bucket takes one pivot, the member that meets most
+others in all its buckets, as an original does among its edited copies, and compares it with the
+others. Vertices of buckets that then still hold members of two components, mostly texts that share
+passages, are bucketed once more, now exactly, by their rarest shingles (see ``rare_shingles``). In
+rounds, each of these buckets takes pivots, one from each of its smallest components, and compares
+them with the members of its other components; compared pivots leave the bucket; it ends when one
+component is left. So every two members are compared, or already joined, or have too few shingles
+left after the shared one to be alike, and no link between members of a bucket is lost. Each round takes four times as many pivots per bucket as the one
+before. Compared pairs are held to the exact similarity of their shingle sets.
 
 Plan: equal texts are one vertex from the start (128-bit digest), so copies never meet.
 Texts of vertices in shared buckets are gathered once; joins from members to pivots and to
@@ -152,6 +154,35 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def rare_shingles(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(bucket, vid, size, nth): the rarest shingles of each text that another text shares, with
+    their places in the text's own order.
+
+    With all shingles in one order, here by the number of these texts that hold them, two sets
+    of similarity s or more share one of the first n - ceil(s n) + 1 of either. Passages that
+    many texts share come last, so they bring no two texts together.
+    """
+    def sets(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from spantide.llm.shingles import shingle_sets
+        from spantide.llm.tokens import blocks_of, text_bytes
+        for block in blocks_of(batches, "text"):
+            of, element, _ = shingle_sets(text_bytes(block, "text"), shingle)
+            size = np.bincount(of, minlength=block.num_rows)
+            yield pa.RecordBatch.from_arrays([block.column("vid").take(pa.array(of)), pa.array(size[of]), pa.array(element.view(np.int64))],
+                                             names=["vid", "size", "bucket"])
+
+    rows = materialise(texts.select("vid", "text").mapInArrow(sets, "vid long, size long, bucket long"), "sets")
+    shared = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    nth = F.row_number().over(Window.partitionBy("vid").orderBy("df", "bucket"))
+    unshared = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("vid"))          # come before all others
+    rows = rows.join(shared, "bucket").withColumn("nth", nth + unshared)
+    return rows.where(F.col("nth") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).select(
+        "bucket", "vid", "size", "nth")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) for the vertices of ``edges`` (a, b): the smallest vertex they reach."""
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
@@ -177,30 +208,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vertex = materialise(texts.withColumn("vid", F.monotonically_increasing_id()), "vertices")
 
     member = vertex.select("vid", F.explode("buckets").alias("bucket"))
-    shared = materialise(member.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
-    live = materialise(member.join(shared, "bucket").select("bucket", "vid"), "members")
-    label = materialise(live.select("vid").distinct().withColumn("label", F.col("vid")), "labels")
+    shared = materialise(member.groupBy("bucket").count().where("count > 1"), "shared")
+    live = materialise(member.join(shared, "bucket"), "members")
+    # the others that a vertex meets, over all its buckets: an original meets more than its edited copies do
+    label = materialise(live.groupBy("vid").agg((-F.sum(F.col("count") - 1)).alias("order")).withColumn("label", F.col("vid")), "labels")
+    nothing = F.lit(None).cast("long")
+    live = live.select("bucket", "vid", nothing.alias("size"), nothing.alias("nth"))
     source = vertex.join(label, "vid").select("vid", "key", "rep")
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("dkey"), text.alias("text"))
     texts = materialise(d.join(source, (d.dkey == source.key) & d.id.eqNullSafe(source.rep)).select("vid", "text"), "texts")
 
-    seen, width = None, 1
+    seen, width, first_round = None, 1, True
     while True:
         here = live.join(label, "vid")
-        by_label = here.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("vid").alias("pivot"))
+        by_label = here.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("order", "vid", "size", "nth")).alias("first"))
         if width == 1:
-            pivots = (by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.min(F.struct("n", "pivot", "label")).alias("p"))
-                      .where("labels > 1").select("bucket", F.col("p.pivot").alias("pivot"), F.col("p.label").alias("plabel")))
+            pivots = (by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.min(F.struct("n", "first", "label")).alias("p"))
+                      .where("labels > 1").select("bucket", F.col("p.first").alias("first"), F.col("p.label").alias("plabel")))
         else:
-            small_first = Window.partitionBy("bucket").orderBy("n", "pivot")
+            small_first = Window.partitionBy("bucket").orderBy("n", "first")
             pivots = (by_label.withColumn("nth", F.row_number().over(small_first))
                       .withColumn("labels", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
-                      .where((F.col("nth") < F.col("labels")) & (F.col("nth") <= width)).select("bucket", "pivot", F.col("label").alias("plabel")))
-        pivots = materialise(pivots, "pivots")
+                      .where((F.col("nth") < F.col("labels")) & (F.col("nth") <= width)).select("bucket", "first", F.col("label").alias("plabel")))
+        pivots = materialise(pivots.select("bucket", "plabel", F.col("first.vid").alias("pivot"), F.col("first.size").alias("psize"),
+                                           F.col("first.nth").alias("pnth")), "pivots")
         if pivots.isEmpty():
             break
-        pairs = here.join(pivots, "bucket").where("label <> plabel").select(F.least("vid", "pivot").alias("a"), F.greatest("vid", "pivot").alias("b")).distinct()
+        # if this is the first shingle that the two share, so many can follow at most in either
+        shared = F.least(F.col("size") - F.col("nth"), F.col("psize") - F.col("pnth")) + 1
+        enough = shared * (1 + similarity) >= similarity * (F.col("size") + F.col("psize")) - 1e-6
+        pairs = here.join(pivots, "bucket").where((F.col("label") != F.col("plabel")) & (F.col("size").isNull() | enough)).select(F.least("vid", "pivot").alias("a"), F.greatest("vid", "pivot").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -211,13 +249,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not links.isEmpty():
                 joined = components(links)
                 label = materialise(label.join(joined, label.label == joined.v, "left")
-                                    .select("vid", F.coalesce(joined.label, label.label).alias("label")), "labels")
+                                    .select("vid", "order", F.coalesce(joined.label, label.label).alias("label")), "labels")
             seen = pairs if seen is None else seen.unionByName(pairs)
-        live = materialise(live.join(pivots.select("bucket").distinct(), "bucket", "left_semi")
-                           .join(pivots.select("bucket", F.col("pivot").alias("vid")), ["bucket", "vid"], "left_anti"), "members")
-        width *= 4
+        if first_round:
+            open_ = live.join(label, "vid").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+            rest = materialise(live.join(open_, "bucket", "left_semi").select("vid").distinct(), "rest")
+            live, first_round = materialise(rare_shingles(texts.join(rest, "vid", "left_semi"), shingle, similarity), "members"), False
+        else:
+            live = materialise(live.join(pivots.select("bucket").distinct(), "bucket", "left_semi")
+                               .join(pivots.select("bucket", F.col("pivot").alias("vid")), ["bucket", "vid"], "left_anti"), "members")
+            width *= 4
 
-    v = vertex.join(label.withColumnRenamed("vid", "lvid"), F.col("vid") == F.col("lvid"), "left")
+    v = vertex.join(label.select(F.col("vid").alias("lvid"), "label"), F.col("vid") == F.col("lvid"), "left")
     v = v.select("vid", "key", "rep", F.coalesce("label", "vid").alias("label"))
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "vid"))
     heads = materialise(v.groupBy("label").agg(first.alias("head"), F.count(F.lit(1)).alias("class_texts")), "heads")
