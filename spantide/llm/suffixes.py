@@ -16,8 +16,10 @@ refer to equal q-grams at equal distances, and neighbouring windows mostly to th
 so about one suffix in a hundred stands for all. A suffix with its run of windows is a row.
 Round 1 refines by the text of the whole run: runs found twice are settled; buckets with runs
 found once are refined again, in them the unsettled runs and one of each settled kind. Round
-2 does it with blocks of ``block`` windows, aligned to the suffix, round 3 with single windows.
-Each round is exact for what it settles, and round 3 settles everything.
+2 does it with blocks of ``block`` windows, aligned to the suffix, round 3 with single windows;
+there a bucket is first refined by the text that all windows of a block cover, so that blocks of
+which no window can occur twice leave at once. Each round is exact for what it settles, and round
+3 settles everything.
 
 Plan: buckets are counted by pre-summed aggregates, and rows meet the counts of their bucket
 in joins on written tables, whose hot keys adaptive execution splits; a passage in a third of
@@ -127,7 +129,8 @@ def cut_out(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
 
 
 def finer(runs: DataFrame, length: int, block: int) -> DataFrame:
-    """The rows of ``runs`` cut into blocks of ``block`` windows, counted from the suffix."""
+    """The rows of ``runs`` cut into blocks of ``block`` windows, counted from the suffix. Their
+    bucket is refined by the text that all windows of the block cover."""
     schema = T.StructType([*[runs.schema[c] for c in ("id", "tk", "at")], *[
         T.StructField(c, T.LongType()) for c in ("low", "high", "bucket", "block", "run")]])
 
@@ -135,7 +138,7 @@ def finer(runs: DataFrame, length: int, block: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        from spantide.llm.tokens import prefix_hashes
+        from spantide.llm.tokens import mix64, prefix_hashes
         for batch in batches:
             out, of = [], []
             low_, high_, at_, g_ = (batch.column(c).to_numpy() for c in ("low", "high", "at", "bucket"))
@@ -146,8 +149,11 @@ def finer(runs: DataFrame, length: int, block: int) -> DataFrame:
                 begin, end = low + new, low + np.append(new[1:], high - low + 1) - 1
                 prefix, down = prefix_hashes(np.frombuffer(text, np.uint8))
                 run = run_hashes(prefix, down, at - low + np.zeros(len(begin), np.int64), begin - low, end - low, length)
-                k = len(begin)
-                out.append((np.full(k, at), begin, end, np.full(k, g_[r]), distance[new] // block, run.view(np.int64)))
+                k, number = len(begin), distance[new] // block
+                near = at - low - number * block                     # what all windows of the whole block have in common
+                core = (prefix[near + length - block + 1] - prefix[near]) * down[near]
+                inner = mix64(core + mix64(np.full(k, g_[r]).view(np.uint64)))
+                out.append((np.full(k, at), begin, end, inner.view(np.int64), number, run.view(np.int64)))
                 of.append(np.full(k, r))
             if out:
                 take = pa.array(np.concatenate(of))
