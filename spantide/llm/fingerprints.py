@@ -30,6 +30,7 @@ from spantide.llm.common import materialise
 
 SAMPLES = 16
 _BITS = 25
+_MARK = "\x00 "      # no word holds a space
 
 
 def _uniform(bits: Column, at: int, n: int = _BITS) -> Column:
@@ -49,13 +50,13 @@ def sample_key(term: Column, weight: Column, place: int) -> Column:
 
 
 def next_documents(ids: DataFrame) -> DataFrame:
-    """(id, tk, half, rows, next_id, next_tk, next_rows) of the distinct (id, tk, half), with the
-    number of rows that are equal in them: the next one by falling id (then tk), after the last
-    the first."""
+    """(id, tk, n_chars, half, rows, next_id, next_tk, next_rows) of the distinct (id, tk, n_chars),
+    with the number of rows that are equal in them and half of the characters: the next one by
+    falling id (then tk), after the last the first."""
     n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = ids.groupBy("id", "tk", "half").agg(F.count(F.lit(1)).alias("rows"))
+    one = ids.groupBy("id", "tk", "n_chars").agg(F.count(F.lit(1)).alias("rows"))
     place = F.struct(F.col("id").isNotNull().alias("there"), "id", "tk", "rows")
-    dealt = one.select("id", "tk", "half", "rows", place.alias("place")).repartitionByRange(n, F.col("place").desc())
+    dealt = one.select("id", "tk", "n_chars", F.floor(F.col("n_chars") / 2).alias("half"), "rows", place.alias("place")).repartitionByRange(n, F.col("place").desc())
     dealt = materialise(dealt.withColumn("range", F.spark_partition_id()), "order")
     by_place = Window.partitionBy("range").orderBy(F.col("place").desc())
     dealt = dealt.withColumn("next", F.lead("place").over(by_place))
@@ -65,7 +66,7 @@ def next_documents(ids: DataFrame) -> DataFrame:
                          F.coalesce(F.lead("head").over(after), F.first("head").over(every)).alias("following"))
     nxt = F.coalesce("next", "following")
     return dealt.join(F.broadcast(heads), dealt.range == heads.hrange).select(
-        "id", "tk", "half", "rows", nxt["id"].alias("next_id"), nxt["tk"].alias("next_tk"), nxt["rows"].alias("next_rows"))
+        "id", "tk", "n_chars", "half", "rows", nxt["id"].alias("next_id"), nxt["tk"].alias("next_tk"), nxt["rows"].alias("next_rows"))
 
 
 def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
@@ -86,24 +87,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     without words, and the number of rows it stands for."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    order = materialise(next_documents(d.select("id", "tk", F.floor(F.char_length("text") / 2).alias("half"))), "next")
+    order = materialise(next_documents(d.select("id", "tk", F.char_length("text").cast("long").alias("n_chars"))), "next")
     e = edited_texts(d, order)
     both = F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("t")),
                              F.struct(F.lit(1).alias("version"), F.col("edited").alias("t"))))
+    # the last word of each edited text is a mark with the text's digest, in four numbers, which go along as maxima
+    words = F.split("v.t", r"[\x20\x09-\x0D]+", -1)
     v = e.select("id", "tk", "copies", both.alias("v")).select(
-        "id", "tk", "copies", "v.version", F.explode(F.split("v.t", r"[\x20\x09-\x0D]+", -1)).alias("word"))
-    v = v.select("id", "tk", "copies", "version", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
-    terms = v.groupBy("id", "tk", "copies", "version", "term").agg(F.count(F.lit(1)).alias("n"))
+        "id", "tk", "copies", "v.version", F.explode(F.when(F.col("v.version") == 0, words).otherwise(
+            F.concat(words, F.array(F.concat(F.lit(_MARK), F.sha2("v.t", 256)))))).alias("word"))
+    mark = F.col("word").startswith(_MARK) & (F.col("version") == 1)
+    v = v.select("id", "tk", "copies", "version", F.when((F.col("word") != "") & ~mark, F.xxhash64("word")).alias("term"), *[
+        F.when(mark, F.conv(F.substring("word", 1 + len(_MARK) + 16 * k, 16), 16, -10).cast("long")).alias(f"d{k}") for k in range(4)])
+    digest = [F.max(f"d{k}").alias(f"d{k}") for k in range(4)]
+    terms = v.groupBy("id", "tk", "copies", "version", "term").agg(F.count(F.lit(1)).alias("n"), *digest)
     w = F.col("n") / F.col("copies")
     s = terms.groupBy("id", "tk", "version").agg(*[
-        F.min(F.when(F.col("term").isNotNull(), sample_key(F.col("term"), w, k))).alias(f"s{k}") for k in range(samples)])
+        F.min(F.when(F.col("term").isNotNull(), sample_key(F.col("term"), w, k))).alias(f"s{k}") for k in range(samples)], *digest)
     sample = F.when(F.col("s0").isNull(), F.array().cast("array<bigint>")).otherwise(F.array(*[f"s{k}" for k in range(samples)]))
-    s = s.select("id", "tk", F.when(F.col("version") == 0, sample).alias("sample"), F.when(F.col("version") == 1, sample).alias("edited_sample"))
-    s = materialise(s.groupBy("id", "tk").agg(F.max("sample").alias("sample"), F.max("edited_sample").alias("edited_sample")), "samples")
-    facts = materialise(e.select("id", "tk", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-                        .dropDuplicates(["id", "tk"]), "facts")
-    j = order.join(s.withColumnsRenamed({"id": "sid", "tk": "stk"}), F.col("id").eqNullSafe(F.col("sid")) & (F.col("tk") == F.col("stk")))
-    j = j.join(facts.withColumnsRenamed({"id": "fid", "tk": "ftk"}), F.col("id").eqNullSafe(F.col("fid")) & (F.col("tk") == F.col("ftk")))
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{k}"), 16, "0") for k in range(4)]))
+    s = s.select("id", "tk", F.when(F.col("version") == 0, sample).alias("sample"), F.when(F.col("version") == 1, sample).alias("edited_sample"),
+                 F.when(F.col("version") == 1, sha).alias("sha"))
+    s = s.groupBy("id", "tk").agg(F.max("sample").alias("sample"), F.max("edited_sample").alias("edited_sample"), F.max("sha").alias("edited_sha256"))
+    s = materialise(s, "samples").withColumnsRenamed({"id": "sid", "tk": "stk"})
+    j = order.join(s, F.col("id").eqNullSafe(F.col("sid")) & (F.col("tk") == F.col("stk")))
     return j.select("id", "tk", "rows", "n_chars", "edited_sha256", "next_id", "next_tk", "sample", "edited_sample")
 
 
