@@ -98,8 +98,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
     """(id, file, ordinal, n_tokens): documents written to flat files and counted from them."""
     folder = scratch_path(docs.sparkSession, "llm-tokens")
     ledger = materialise(write_token_files(docs, folder, vocabulary, pattern, id_col, text_col, end_id), "ledger")
+    # both sides have a row per document, and far fewer bytes on disk than in memory: never broadcast
     counts = scan(ledger.where("n_bytes IS NOT NULL").select("file", "n_bytes"), end_id, block_bytes)
-    return ledger.where("ordinal IS NOT NULL").select("id", "file", "ordinal").join(counts, ["file", "ordinal"])
+    return ledger.where("ordinal IS NOT NULL").select("id", "file", "ordinal").join(
+        counts.hint("merge"), ["file", "ordinal"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
