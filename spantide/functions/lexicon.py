@@ -3,16 +3,16 @@
 The lexicon drives the dictionary-based part-of-speech filler (T1): function words
 get their class from here, every other word defaults to NOUN (PROPN when it is
 capitalised and not sentence-initial), numbers to NUM, symbols to PUNCT/SYM.
-Stopwords are the lists bundled with Spark MLlib (``StopWordsRemover``), read from
-the jar so that no JVM is needed to build the oracle SQL.
+Stopwords (T9) are the same closed-class words, so no list outside the package is read;
+another table can be given to the operator.
 """
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
+
+# Languages of the term pipeline: those the lexicon describes.
+SUPPORTED_LANGUAGES = ("en", "de", "nl", "fr", "it", "es", "nb", "sl", "hr")
 
 # Closed-class words per language and part of speech (lower case).
 LEXICON = {
@@ -82,6 +82,33 @@ LEXICON = {
         "AUX": "è sono era erano essere ha hanno aveva avere può possono",
         "ADV": "non molto anche già qui là ora sempre mai più",
     },
+    "nb": {
+        "DET": "en ei et den det de denne dette disse noen hver alle ingen",
+        "PRON": "jeg du han hun vi dere meg deg ham henne oss seg min din sin vår som hvem hva",
+        "ADP": "av i på ved for med fra til over under mellom gjennom mot uten om etter før hos",
+        "CCONJ": "og eller men for",
+        "SCONJ": "at fordi hvis når selv mens siden",
+        "AUX": "er var være vært har hadde blir ble kan kunne skal skulle vil ville må måtte",
+        "ADV": "ikke også bare svært her der nå alltid aldri ofte",
+    },
+    "sl": {
+        "DET": "ta to tisti vsak vsi noben neki",
+        "PRON": "jaz ti on ona mi vi oni me te ga jo nas vas jih se moj tvoj svoj naš ki kdo kaj",
+        "ADP": "v na pri za z s od do iz po pod nad med skozi proti brez o ob",
+        "CCONJ": "in ali pa ter toda",
+        "SCONJ": "da ker če ko čeprav medtem",
+        "AUX": "je so sem si smo ste bil bila bilo bili biti bo bodo lahko mora",
+        "ADV": "ne tudi samo zelo tu tam zdaj vedno nikoli pogosto",
+    },
+    "hr": {
+        "DET": "taj ta to ovaj ova svaki svi nijedan neki",
+        "PRON": "ja ti on ona mi vi oni me te ga je nas vas ih se moj tvoj svoj naš koji tko što",
+        "ADP": "u na pri za s sa od do iz po pod nad među kroz prema bez o uz",
+        "CCONJ": "i ili pa te ali",
+        "SCONJ": "da jer ako kad iako dok",
+        "AUX": "je su sam si smo ste bio bila bilo bili biti će može mora",
+        "ADV": "ne također samo vrlo ovdje tamo sada uvijek nikada često",
+    },
 }
 
 # Part-of-speech tags that are trimmed from the edges of a term.
@@ -90,11 +117,6 @@ INVALID_POS = ("DET", "PUNCT", "ADP", "CCONJ", "SYM", "NUM", "PRON", "SCONJ", "A
 # digits, tab); checked on the stripped term text (T5).
 TERM_FORBIDDEN = "!\"#$%&()*+,0123456789./:;<=>?@[\\]^_`{|}~\t"
 
-# MLlib stopword file per supported language code (sl and hr have none bundled).
-STOPWORD_FILES = {"en": "english", "de": "german", "nl": "dutch", "fr": "french",
-                  "it": "italian", "nb": "norwegian", "es": "spanish"}
-
-
 def lexicon_rows() -> list[tuple[str, str, str]]:
     """``(lang, word, pos)`` rows; the first class listed wins for a repeated word."""
     out, seen = [], set()
@@ -115,24 +137,11 @@ def lexicon_keys_by_pos() -> dict[str, list[str]]:
     return d
 
 
-@functools.lru_cache(maxsize=None)
-def _mllib_jar() -> str:
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found next to pyspark")
-    return jars[0]
-
-
 @functools.lru_cache(maxsize=None)
 def stopwords(lang: str) -> tuple[str, ...]:
-    name = STOPWORD_FILES.get(lang)
-    if name is None:
-        return ()
-    with zipfile.ZipFile(_mllib_jar()) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8")
-    return tuple(dict.fromkeys(w.strip() for w in raw.splitlines() if w.strip()))
+    """The closed-class words of a language, each once."""
+    return tuple(dict.fromkeys(w for words in LEXICON.get(lang, {}).values() for w in words.split()))
 
 
-def stopword_rows(langs=tuple(STOPWORD_FILES)) -> list[tuple[str, str]]:
+def stopword_rows(langs=SUPPORTED_LANGUAGES) -> list[tuple[str, str]]:
     return [(lang, w) for lang in langs for w in stopwords(lang)]

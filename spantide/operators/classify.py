@@ -46,7 +46,8 @@ def class_weights(labels: DataFrame, label_col: str = "label") -> DataFrame:
 
 def sample_weights(labels: DataFrame, label_col: str = "label") -> DataFrame:
     """Every row with the weight of its class (for weighted sampling / weightCol)."""
-    return labels.join(class_weights(labels, label_col).select(label_col, "weight"), label_col)
+    w = class_weights(labels, label_col).select(label_col, "weight")
+    return labels.join(F.broadcast(w), label_col)      # a row per class
 
 
 def pos_weights(labels: DataFrame, label_cols) -> DataFrame:
@@ -63,13 +64,19 @@ def pos_weights(labels: DataFrame, label_cols) -> DataFrame:
 def stratified_split(df: DataFrame, label_col: str, id_col: str, val_share: float = 0.1,
                      seed: int = 2022) -> DataFrame:
     """C4: per label, the first ``ceil(share * n)`` rows in md5(id || seed) order are
-    validation rows. Deterministic and independent of partitioning."""
+    validation rows. Deterministic and independent of partitioning; ``id_col`` is unique."""
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
-    w = Window.partitionBy(label_col).orderBy(h, id_col)
-    wn = Window.partitionBy(label_col)
-    return (df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(wn))
-              .withColumn("is_val", F.col("_rn") <= F.ceil(F.col("_n") * val_share))
-              .drop("_rn", "_n"))
+    x = df.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"), h.alias("_h"), F.substring(h, 1, 3).alias("_p"))
+    # labels are few, so rows are ranked per (label, first three digits of the hash): 4096 parts each
+    per = x.groupBy("_label", "_p").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("_label")
+    per = per.select(F.col("_label").alias("_l2"), F.col("_p").alias("_p2"),
+                     F.coalesce(F.sum("_c").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+                     F.ceil(F.sum("_c").over(w) * val_share).alias("_quota"))
+    x = x.withColumn("_rn", F.row_number().over(Window.partitionBy("_label", "_p").orderBy("_h", "_id")))
+    x = x.join(per, F.col("_label").eqNullSafe(F.col("_l2")) & F.col("_p").eqNullSafe(F.col("_p2")))
+    x = x.select("_id", (F.col("_base") + F.col("_rn") <= F.col("_quota")).alias("is_val"))
+    return df.join(x, F.col(id_col) == F.col("_id")).drop("_id")
 
 
 def argmax(p) -> Column:
@@ -121,6 +128,26 @@ def class_report(pred: DataFrame, label_col: str = "label", pred_col: str = "pre
     return per.select(*cols).unionByName(macro.select(*cols)).unionByName(weighted.select(*cols))
 
 
+def mean_losses(scored: DataFrame) -> DataFrame:
+    """Over ``(label, x)``, with ``label`` a place in the scores ``x``, the mean
+    cross-entropy of softmax(x) and the mean binary cross-entropy of every element on one-hot
+    targets, positives weighted by ``N / positives - 1`` (classes without positives count for
+    their negatives only). Shifted, so that large scores do not overflow.
+    ``(n, ce_loss, bce_loss)``, rounded to six digits."""
+    top = F.array_max("x")
+    lse = top + F.ln(F.aggregate(F.transform("x", lambda v: F.exp(v - F.array_max("x"))), F.lit(0.0), lambda a, b: a + b))
+    s = scored.select("label", "x", (lse - F.element_at("x", F.col("label") + 1)).alias("ce"))
+    el = s.select("label", F.posexplode("x").alias("j", "v"))
+    y = F.col("label") == F.col("j")
+    soft = lambda v: F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v)))
+    per = el.groupBy("j").agg(F.count("*").alias("n"), F.sum(y.cast("int")).alias("pos"),
+                              F.sum(F.when(y, soft(-F.col("v"))).otherwise(0.0)).alias("on"),
+                              F.sum(F.when(~y, soft(F.col("v"))).otherwise(0.0)).alias("off"))
+    weighted = F.when(F.col("pos") > 0, (F.col("n") / F.col("pos") - 1) * F.col("on")).otherwise(F.lit(0.0)) + F.col("off")
+    bce = per.agg(F.round(F.sum(weighted) / F.sum("n"), 6)).scalar()         # a row per class before
+    return s.agg(F.count("*").alias("n"), F.round(F.avg("ce"), 6).alias("ce_loss")).withColumn("bce_loss", bce)
+
+
 def train_linear(train: DataFrame, text_col: str = "text", label_col: str = "label",
                  weight_col: str | None = None, num_features: int = 1 << 18, max_iter: int = 20):
     """C9 (re-aimed): word 1-3-gram hashing + IDF + logistic regression in MLlib."""

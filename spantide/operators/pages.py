@@ -11,6 +11,8 @@ both as Spark Columns and, for the oracle, as DuckDB SQL text.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +24,19 @@ BLOCK_TAGS = ("p|div|h[1-6]|li|ul|ol|dl|dt|dd|nav|article|section|header|footer|
 # Regions that are boilerplate for the main-text variant.
 BOILER_REGIONS = ("nav", "footer", "aside", "header")
 BOILER_CLASSES = "ad|ads|advert|banner|cookie|cookies|share|social|sidebar|menu|breadcrumb"
-# Named entities decoded in order; &amp; last so double escapes stay single.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-            ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
-            ("&euro;", "€"), ("&amp;", "&"))
+# Named entities: those of Latin-1 (from the standard library's table) and a few of typography;
+# a no-break space is read as a space.
+ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items()) if c < 256} | {
+    n: chr(name2codepoint[n]) for n in ("ndash", "mdash", "lsquo", "rsquo", "sbquo", "ldquo", "rdquo", "bdquo", "hellip",
+                                        "bull", "euro", "trade", "rarr", "larr", "minus")} | {"apos": "'", "nbsp": " "}
+ENTITY_RE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 MARK, SEP = "\u0001", "\u0002"
 
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title\s*>"
 HOST_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
-META_RE = r"""(?is)<meta\s[^>]*name\s*=\s*["']{name}["'][^>]*content\s*=\s*["']([^"']*)["']"""
-CANON_RE = r"""(?is)<link\s[^>]*rel\s*=\s*["']canonical["'][^>]*href\s*=\s*["']([^"']*)["']"""
+META_TAG_RE, LINK_TAG_RE = r"(?is)<meta\s[^>]*>", r"(?is)<link\s[^>]*>"
+ATTR_RE = r"""(?is)\s(?:{name})\s*=\s*["']([^"']*)["']"""
 LANG_RE = r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z]{2,3})"""
 
 # (pattern, replacement) applied to the whole page, in order
@@ -47,7 +50,7 @@ CLEAN_STEPS = [
     (r"(?is)<title\b.*?</title\s*>", ""),
 ]
 MAIN_STEPS = [(rf"(?is)<{t}\b.*?</{t}\s*>", "") for t in BOILER_REGIONS] + [
-    (rf"""(?is)<div\s[^>]*class\s*=\s*["'](?:{BOILER_CLASSES})["'][^>]*>.*?</div\s*>""", ""),
+    (rf"""(?is)<div\s[^>]*class\s*=\s*["'](?:[^"']*\s)?(?:{BOILER_CLASSES})(?:\s[^"']*)?["'][^>]*>.*?</div\s*>""", ""),
 ]
 MARK_RE = rf"(?i)<({BLOCK_TAGS})\b[^>]*>"
 # applied to each block body, in order (entities are decoded between step 2 and 3)
@@ -66,9 +69,20 @@ BLOCK_STEPS_POST = [
 # ---- Spark expressions -------------------------------------------------------------
 
 def _unescape(c: Column) -> Column:
-    for a, b in ENTITIES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    """Named, decimal and hexadecimal entities, each decoded once; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+
+    def one(part):
+        name = F.regexp_extract(part, ENTITY_RE, 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(
+            name.startswith("#"), F.substring(name, 2, 8)).cast("long")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).when(number.isNull(), names[name])
+        return F.coalesce(F.concat(char, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part))
+
+    parts = F.split(c, "&", -1)
+    return F.when(~c.contains("&"), c).otherwise(F.concat(parts[0], F.array_join(
+        F.transform(F.slice(parts, 2, F.size(parts)), one), "")))
 
 
 def _clean(html: Column, main: bool) -> Column:
@@ -135,8 +149,24 @@ def host_expr(url) -> Column:
     return F.when(url.rlike(HOST_RE), F.lower(F.regexp_extract(url, HOST_RE, 1)))
 
 
-def _meta(html: Column, regex: str) -> Column:
-    return F.when(html.rlike(regex), _unescape(F.regexp_extract(html, regex, 1)))
+def _attr(tag: Column, name: str) -> Column:
+    """The value of the first attribute of a tag whose name matches, or null."""
+    regex = ATTR_RE.format(name=name)
+    return F.when(tag.rlike(regex), F.regexp_extract(tag, regex, 1))
+
+
+def _meta(html: Column, key: str) -> Column:
+    """Content of the first <meta> with this name or property, in any order of attributes."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(META_TAG_RE), F.lit(0)),
+                    lambda t: (F.lower(_attr(t, "name|property")) == key) & _attr(t, "content").isNotNull())
+    return _unescape(_attr(F.get(tags, 0), "content"))
+
+
+def _canonical(html: Column) -> Column:
+    """Target of the first <link rel=canonical>, in any order of attributes."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(LINK_TAG_RE), F.lit(0)),
+                    lambda t: (F.lower(_attr(t, "rel")) == "canonical") & _attr(t, "href").isNotNull())
+    return _unescape(_attr(F.get(tags, 0), "href"))
 
 
 def fingerprint_expr(text) -> Column:
@@ -206,17 +236,17 @@ def page_record(pages: DataFrame, language_col: str | None = None) -> DataFrame:
     html = F.col("html")
     text = main_text_tags_expr(html)
     got = text != ""
-    canon = _meta(html, CANON_RE)
+    canon = _canonical(html)
     source = F.coalesce(canon, F.col("url"))
     lang = F.col(language_col) if language_col else F.lower(F.regexp_extract(html, LANG_RE, 1))
     return pages.select(
         "page_id",
         title_expr(html).alias("title"),
-        F.when(got, F.coalesce(_meta(html, META_RE.format(name="keywords")), F.lit(""))).alias("tags"),
-        F.when(got, _meta(html, META_RE.format(name="description"))).alias("excerpt"),
+        F.when(got, F.coalesce(_meta(html, "keywords"), F.lit(""))).alias("tags"),
+        F.when(got, _meta(html, "description")).alias("excerpt"),
         text.alias("text"),
         F.when(got, host_expr(source)).otherwise(F.lit("")).alias("hostname"),
-        F.when(got, _meta(html, META_RE.format(name="og:site_name"))).otherwise(F.lit("")).alias("source_hostname"),
+        F.when(got, _meta(html, "og:site_name")).otherwise(F.lit("")).alias("source_hostname"),
         F.when(got, source).otherwise(F.lit("")).alias("source"),
         F.when(lang != "", lang).alias("language"),
         F.when(got, fingerprint_expr(text)).alias("fingerprint"),
@@ -251,9 +281,16 @@ def _q(s: str) -> str:
 
 
 def _sql_unescape(e: str) -> str:
-    for a, b in ENTITIES:
-        e = f"replace({e}, {_q(a)}, {_q(b)})"
-    return e
+    """The entity rule in SQL: the text cut at '&', each part begun by an entity decoded."""
+    names = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in ENTITIES.items()) + "}"
+    name = f"regexp_extract(p, {_q(ENTITY_RE)}, 1)"
+    number = (f"CASE WHEN regexp_matches({name}, '^#[xX]') THEN CAST('0x' || substr({name}, 3) AS BIGINT) "
+              f"WHEN starts_with({name}, '#') THEN CAST(substr({name}, 2) AS BIGINT) END")
+    char = (f"CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr(CAST({number} AS INTEGER)) "
+            f"WHEN {number} IS NULL THEN {names}[{name}] END")
+    one = f"coalesce({char} || substr(p, length({name}) + 2), '&' || p)"
+    return (f"CASE WHEN NOT contains({e}, '&') THEN {e} ELSE string_split({e}, '&')[1] || "
+            f"array_to_string(list_transform(string_split({e}, '&')[2:], lambda p: {one}), '') END")
 
 
 def _sql_steps(e: str, steps) -> str:
@@ -268,9 +305,11 @@ def sql_block_texts(html: str, main: bool) -> str:
     marked = f"regexp_replace({cleaned}, {_q(MARK_RE)}, chr(1) || '\\1' || chr(2), 'g')"
     body = "(CASE WHEN strpos(b, chr(2)) > 0 THEN split_part(b, chr(2), 2) ELSE b END)"
     tag = "(CASE WHEN strpos(b, chr(2)) > 0 THEN lower(split_part(b, chr(2), 1)) ELSE '' END)"
-    text = _sql_steps(_sql_unescape(_sql_steps(body, BLOCK_STEPS_PRE)), BLOCK_STEPS_POST)
-    item = f"(CASE WHEN {tag} = 'li' AND {text} <> '' THEN '- ' || {text} ELSE {text} END)"
-    return f"list_transform(string_split({marked}, chr(1)), lambda b: {item})"
+    raw = f"{{'tag': {tag}, 'body': {_sql_steps(body, BLOCK_STEPS_PRE)}}}"
+    text = f"{{'tag': b.tag, 'text': {_sql_steps(_sql_unescape('b.body'), BLOCK_STEPS_POST)}}}"
+    item = "CASE WHEN b.tag = 'li' AND b.text <> '' THEN '- ' || b.text ELSE b.text END"
+    blocks = f"list_transform(string_split({marked}, chr(1)), lambda b: {raw})"
+    return f"list_transform(list_transform({blocks}, lambda b: {text}), lambda b: {item})"
 
 
 def sql_full_text(html: str) -> str:
@@ -282,8 +321,8 @@ def sql_main_text_tags(html: str) -> str:
 
 
 def sql_title(html: str) -> str:
-    return (f"CASE WHEN regexp_matches({html}, {_q(TITLE_RE)}) "
-            f"THEN {_sql_unescape(f'regexp_extract({html}, {_q(TITLE_RE)}, 1)')} END")
+    return (f"(SELECT {_sql_unescape('v')} FROM (SELECT CASE WHEN regexp_matches({html}, {_q(TITLE_RE)}) "
+            f"THEN regexp_extract({html}, {_q(TITLE_RE)}, 1) END AS v) y)")
 
 
 def sql_titles(html: str) -> str:
@@ -300,25 +339,39 @@ def sql_fingerprint(text: str) -> str:
             f"{_q(WORD + '{5,}')}, 0), ' '))))")
 
 
-def sql_meta(html: str, regex: str) -> str:
-    return (f"CASE WHEN regexp_matches({html}, {_q(regex)}) "
-            f"THEN {_sql_unescape(f'regexp_extract({html}, {_q(regex)}, 1)')} END")
+def _sql_attr(tag: str, name: str) -> str:
+    regex = _q(ATTR_RE.format(name=name))
+    return f"CASE WHEN regexp_matches({tag}, {regex}) THEN regexp_extract({tag}, {regex}, 1) END"
+
+
+def _sql_tag_value(html: str, tag_re: str, key_attr: str, key: str, value_attr: str) -> str:
+    tag = (f"list_filter(regexp_extract_all({html}, {_q(tag_re)}), lambda t: lower({_sql_attr('t', key_attr)}) = {_q(key)} "
+           f"AND {_sql_attr('t', value_attr)} IS NOT NULL)[1]")
+    return f"(SELECT {_sql_unescape('v')} FROM (SELECT {_sql_attr(tag, value_attr)} AS v) y)"
+
+
+def sql_meta(html: str, key: str) -> str:
+    return _sql_tag_value(html, META_TAG_RE, "name|property", key, "content")
+
+
+def sql_canonical(html: str) -> str:
+    return _sql_tag_value(html, LINK_TAG_RE, "rel", "canonical", "href")
 
 
 def sql_page_record(html: str = "html", url: str = "url") -> str:
     """Select-list of the P5/S11 record, mirroring ``page_record``."""
     text = sql_main_text_tags(html)
-    canon = sql_meta(html, CANON_RE)
+    canon = sql_canonical(html)
     source = f"coalesce({canon}, {url})"
     lang = f"lower(regexp_extract({html}, {_q(LANG_RE)}, 1))"
     got = "(txt <> '')"
     return f"""
       {sql_title(html)} AS title,
-      CASE WHEN {got} THEN coalesce({sql_meta(html, META_RE.format(name='keywords'))}, '') END AS tags,
-      CASE WHEN {got} THEN {sql_meta(html, META_RE.format(name='description'))} END AS excerpt,
+      CASE WHEN {got} THEN coalesce({sql_meta(html, 'keywords')}, '') END AS tags,
+      CASE WHEN {got} THEN {sql_meta(html, 'description')} END AS excerpt,
       txt AS text,
       CASE WHEN {got} THEN {sql_host(source)} ELSE '' END AS hostname,
-      CASE WHEN {got} THEN {sql_meta(html, META_RE.format(name='og:site_name'))} ELSE '' END AS source_hostname,
+      CASE WHEN {got} THEN {sql_meta(html, 'og:site_name')} ELSE '' END AS source_hostname,
       CASE WHEN {got} THEN {source} ELSE '' END AS source,
       CASE WHEN {lang} <> '' THEN {lang} END AS language,
       CASE WHEN {got} THEN {sql_fingerprint('txt')} END AS fingerprint""", text

@@ -155,7 +155,7 @@ def trim_invalid(span: Column) -> Column:
 
 
 def stopword_table(spark) -> DataFrame:
-    """``(lang, word)`` for the languages with a bundled list (fixed, small)."""
+    """``(lang, word)``: the closed-class words of each language (fixed, small)."""
     return spark.createDataFrame(stopword_rows(), "lang string, word string")
 
 
@@ -212,13 +212,15 @@ def known_word_terms(terms: DataFrame, toks: DataFrame, min_df: int = 2) -> Data
 SK_TOKEN_RE = rf"{WORD}{{2,}}"
 
 
-def _ngrams(docs: DataFrame, max_n: int, lowercase: bool) -> DataFrame:
-    """Word n-grams (1..max_n) per document, scikit-learn style tokens (>= 2 word chars)."""
+def _ngrams(docs: DataFrame, max_n: int, lowercase: bool, once: bool = False) -> DataFrame:
+    """Word n-grams (1..max_n) per document, tokens of at least 2 word characters; with
+    ``once``, each n-gram of a document once (a document is one row)."""
     text = F.lower("text") if lowercase else F.col("text")
     toks = F.regexp_extract_all(text, F.lit(SK_TOKEN_RE), F.lit(0))
     d = docs.select("doc_id", toks.alias("t"))
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(max_n), F.size("t"))), lambda n: F.transform(
         F.sequence(F.lit(0), F.size("t") - n), lambda i: F.array_join(F.slice("t", i + 1, n), " "))))
+    grams = F.array_distinct(grams) if once else grams
     return d.select("doc_id", F.explode(F.when(F.size("t") > 0, grams).otherwise(F.array())).alias("gram"))
 
 
@@ -226,8 +228,7 @@ def term_frequency(docs: DataFrame, vocab: DataFrame, max_ngram_len: int) -> Dat
     """Corpus count of each vocabulary term, n-grams 1..max, case-sensitive;
     unseen terms count 0. ``vocab(term)``; output ``(term, tf)``."""
     g = _ngrams(docs, max_ngram_len, lowercase=False)
-    counts = (g.join(vocab.select(F.col("term").alias("gram")).distinct(), "gram", "left_semi")
-               .groupBy("gram").agg(F.count("*").alias("tf")))
+    counts = g.groupBy("gram").agg(F.count("*").alias("tf"))
     return (vocab.select("term").distinct()
                  .join(counts.withColumnRenamed("gram", "term"), "term", "left")
                  .select("term", F.coalesce("tf", F.lit(0)).cast("long").alias("tf")))
@@ -238,9 +239,8 @@ def term_idf(docs: DataFrame, vocab: DataFrame, max_ngram_len: int) -> DataFrame
     lower-cased corpus with n-grams 1..max+1; the vocabulary is *not* lower-cased.
     Output ``(term, df, idf)``; sort by ``idf desc`` for the reference's order."""
     n_docs = docs.agg(F.count("*")).scalar()      # scalar subquery: the corpus size
-    g = _ngrams(docs, max_ngram_len + 1, lowercase=True)
-    df = (g.join(vocab.select(F.col("term").alias("gram")).distinct(), "gram", "left_semi")
-           .distinct().groupBy("gram").agg(F.count("*").alias("df")))
+    g = _ngrams(docs, max_ngram_len + 1, lowercase=True, once=True)
+    df = g.groupBy("gram").agg(F.count("*").alias("df"))
     v = (vocab.select("term").distinct()
               .join(df.withColumnRenamed("gram", "term"), "term", "left")
               .withColumn("df", F.coalesce("df", F.lit(0)).cast("long")))

@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spantide.functions.lexicon import SUPPORTED_LANGUAGES
 from spantide.operators import pages as P
 from spantide.operators import segment as G
 from spantide.sources.tables import table
 
-# Languages the term pipeline supports.
-SUPPORTED_LANGUAGES = ("en", "de", "nl", "fr", "it", "nb", "sl", "hr")
 
 QUERIES: dict = {}
 
@@ -138,7 +137,8 @@ def q_reannotate(spark, sf):
     d = _docs(spark, sf)
     existing = (G.sentences(d).select("doc_id", F.lit("sentence").alias("type"), "begin", "end")
                 .unionByName(G.paragraphs_blank(d).select("doc_id", F.lit("paragraph").alias("type"), "begin", "end")))
-    new = (G.paragraphs_list(d.where(F.col("lang") == "de"))
+    covered = table(spark, sf, "labels").select("doc_id").distinct()      # the documents that labels covers
+    new = (G.paragraphs_list(d.join(covered, "doc_id", "left_semi"))
            .select("doc_id", F.lit("paragraph").alias("type"), "begin", "end"))
     return G.reannotate(existing, new)
 
@@ -235,11 +235,10 @@ def _bench_dictionary(spark, sf):
     """Global dictionary: word bigrams of the benchmark passages, first lemma wins."""
     b = table(spark, sf, "benchmark")
     toks = F.regexp_extract_all("text", F.lit(T.SK_TOKEN_RE), F.lit(0))
-    g = b.select("item_id", toks.alias("t")).select(
-        "item_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - 2, F.lit(-1))),
+    g = b.select("item_id", toks.alias("t")).where(F.size("t") >= 2).select(
+        "item_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("t") - 2),
                                             lambda i: F.array_join(F.slice("t", i + 1, 2), " "))).alias("pos", "term"))
-    g = g.where(F.size(F.split("term", " ")) == 2)
-    g = g.select("term", F.col("term").alias("lemma"), (F.col("item_id") * 100000 + F.col("pos")).alias("ord"))
+    g = g.select("term", F.col("term").alias("lemma"), F.struct("item_id", "pos").alias("ord"))
     return D.dedupe_dictionary(g)
 
 
@@ -249,6 +248,33 @@ def q_term_occurrences(spark, sf):
     return D.match_terms(s, _bench_dictionary(spark, sf))
 
 
+# ---- entities -------------------------------------------------------------------------
+
+from spantide.operators import entities as N  # noqa: E402
+
+
+def _entities(spark, sf):
+    """N1 on documents: the regex rules, and as gazetteer the first two words of each
+    benchmark passage, as titles of works."""
+    s = G.sentences(_docs(spark, sf))
+    t = F.regexp_extract_all("text", F.lit(T.SK_TOKEN_RE), F.lit(0))
+    title = table(spark, sf, "benchmark").select(t.alias("t")).where(F.size("t") >= 2).select(
+        F.lower(F.array_join(F.slice("t", 1, 2), " ")).alias("term")).distinct()
+    found = D.match_terms(s, title.withColumn("lemma", F.col("term")), max_pieces=3)     # word, space, word
+    titles = N.gazetteer_entities(found, title.withColumn("label", F.lit("WORK_OF_ART")))
+    return N.leftmost_longest(N.rule_entities(s).unionByName(titles))
+
+
+@query("entity_rules")
+def q_entity_rules(spark, sf):
+    return _entities(spark, sf)
+
+
+@query("entity_stats")
+def q_entity_stats(spark, sf):
+    return N.entity_stats(_entities(spark, sf))
+
+
 # ---- pipelines L3 / L4 ----------------------------------------------------------------
 
 from spantide.plans import pipelines as L  # noqa: E402
@@ -256,6 +282,14 @@ from spantide.plans import pipelines as L  # noqa: E402
 
 @query("contact_paragraphs")
 def q_contact_paragraphs(spark, sf):
+    """L3 on page text (P4), whose blocks are paragraphs."""
+    full = _pages(spark, sf).select(F.col("page_id").alias("doc_id"), P.full_text_expr("html").alias("text"))
+    return L.contact_paragraphs(full)
+
+
+@query("contact_documents")
+def q_contact_documents(spark, sf):
+    """L3 on documents, which have no blank lines: one paragraph each."""
     return L.contact_paragraphs(_docs(spark, sf))
 
 
@@ -271,8 +305,6 @@ def q_qa_paragraphs(spark, sf):
 from spantide.operators import classify as C  # noqa: E402
 from spantide.operators import qa as Q  # noqa: E402
 
-K_CLASSES = 10
-
 
 @query("clean_text")
 def q_clean_text(spark, sf):
@@ -307,9 +339,15 @@ def q_empty_defaults(spark, sf):
 
 
 def _scores(spark, sf):
-    e = table(spark, sf, "embeddings")
-    x = F.transform(F.slice("embedding", 1, K_CLASSES), lambda v: v.cast("double"))
-    return e.select("vec_id", "label", x.alias("x"))
+    """Scores of each vector against every class: its inner products with the class means of
+    the whole vectors; ``label`` is the place of the vector's class among the sorted classes."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    mean = e.select("label", F.posexplode("e").alias("j", "v")).groupBy("label", "j").agg(F.avg("v").alias("v"))
+    mean = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("m"))
+    classes = mean.agg(F.array_sort(F.collect_list(F.struct("label", F.col("m.v").alias("m"))))).scalar()   # a row per class
+    e = e.select("vec_id", "label", "e", classes.alias("classes"))
+    x = F.transform("classes", lambda c: F.aggregate(F.zip_with("e", c["m"], lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p))
+    return e.select("vec_id", (F.array_position(F.col("classes.label"), F.col("label")) - 1).cast("int").alias("label"), x.alias("x"))
 
 
 @query("threshold_predictions")
@@ -336,19 +374,8 @@ def q_class_report(spark, sf):
 
 @query("mean_loss")
 def q_mean_loss(spark, sf):
-    """Mean cross-entropy of softmax(x) and mean BCE with positive weights
-    ``N/positives - 1`` on one-hot targets, over every element."""
-    s = _scores(spark, sf)
-    lse = F.log(F.aggregate(F.transform("x", lambda v: F.exp(v)), F.lit(0.0), lambda a, b: a + b))
-    ce = s.select((lse - F.element_at("x", F.col("label") + 1)).alias("ce"))
-    el = s.select("label", F.posexplode("x").alias("j", "v"))
-    pw = C.pos_weights(s.select(*[(F.col("label") == j).cast("int").alias(f"c{j}") for j in range(K_CLASSES)]),
-                       [f"c{j}" for j in range(K_CLASSES)]).select(F.col("pos").alias("j"), "weight")
-    el = el.join(F.broadcast(pw), "j")      # K_CLASSES rows
-    y = (F.col("label") == F.col("j")).cast("double")
-    bce = (F.col("weight") * y * F.log1p(F.exp(-F.col("v"))) + (1 - y) * F.log1p(F.exp(F.col("v"))))
-    b = el.agg(F.round(F.avg(bce), 6)).scalar()          # scalar subquery, one value
-    return ce.agg(F.count("*").alias("n"), F.round(F.avg("ce"), 6).alias("ce_loss")).withColumn("bce_loss", b)
+    """C15 over every element of the scores."""
+    return C.mean_losses(_scores(spark, sf))
 
 
 # ---- questions and answers ----------------------------------------------------------------
@@ -384,6 +411,12 @@ def q_best_pairs(spark, sf):
         "conv_id", F.col("rank").cast("long").alias("rank"), "turn", "question", "answer", "score")
 
 
+@query("all_pairs")
+def q_all_pairs(spark, sf):
+    """Q12: every pair in order of appearance, unranked."""
+    return _conv_pairs(spark, sf).select("conv_id", "turn", Q.clean_question("question").alias("question"), "answer")
+
+
 @query("qa_negatives")
 def q_qa_negatives(spark, sf):
     return Q.negatives(_conv_pairs(spark, sf), ["conv_id", "turn"]).select(
@@ -415,7 +448,7 @@ def q_file_readers(spark, sf):
     """S5/S7 (class-per-directory whole files) and S8 (multi-line CSV) round trips."""
     d = _docs(spark, sf)
     tdir = scratch_path(spark, "split")
-    d.select("lang", "text").write.mode("overwrite").partitionBy("lang").text(tdir)
+    d.select("lang", "text").write.mode("overwrite").option("maxRecordsPerFile", 10000).partitionBy("lang").text(tdir)
     split = S.read_split(spark, tdir, class_names=("en", "fr", "de", "es"), dir_prefix="lang=")
     per_class = split.groupBy("label").agg(
         F.sum(F.size(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1))).cast("long").alias("n_lines"))
@@ -433,7 +466,7 @@ def q_feed_batches(spark, sf):
     base = scratch_path(spark, "feed")
     S.write_crawl(_pages(spark, sf), f"{base}/in")
     L7.run_feed(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("batch")
 
 
 @query("classifier_lr")

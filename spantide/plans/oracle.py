@@ -104,7 +104,7 @@ ORACLE["language_filter"] = "SELECT doc_id, lang, n_chars FROM documents WHERE l
 
 ORACLE["unsupported_language"] = """
 SELECT lang, doc_id FROM documents
-WHERE lang IS NULL OR lang NOT IN ('en', 'de', 'nl', 'fr', 'it', 'nb', 'sl', 'hr')
+WHERE lang IS NULL OR lang NOT IN ('en', 'de', 'nl', 'fr', 'it', 'es', 'nb', 'sl', 'hr')
 """
 
 from spantide.functions.text import sql_normalise_lines as _norm  # noqa: E402
@@ -160,7 +160,7 @@ WITH ex AS (
   SELECT doc_id, 'paragraph' AS type, "begin", "end" FROM ({sql_paragraphs_blank('documents')}) b
 ), nw AS (
   SELECT doc_id, 'paragraph' AS type, "begin", "end"
-  FROM ({sql_paragraphs_list("(SELECT * FROM documents WHERE lang = 'de')")}) c
+  FROM ({sql_paragraphs_list("(SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))")}) c
 )
 SELECT * FROM ex WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.doc_id = ex.doc_id AND nw.type = ex.type)
 UNION ALL SELECT * FROM nw
@@ -181,7 +181,7 @@ FROM r LEFT JOIN a ON a.doc_id = r.page_id
 
 # ---- terms ---------------------------------------------------------------------------
 
-from spantide.functions.lexicon import stopword_rows as _sw_rows  # noqa: E402
+from spantide.functions.lexicon import SUPPORTED_LANGUAGES, stopword_rows as _sw_rows  # noqa: E402
 from spantide.functions.lexicon import lexicon_keys_by_pos as _lex  # noqa: E402
 from spantide.operators import terms as T  # noqa: E402
 
@@ -194,7 +194,7 @@ def _inlist(xs):
     return "(" + ", ".join(_ql(x) for x in xs) + ")"
 
 
-_SUPPORTED = "('en', 'de', 'nl', 'fr', 'it', 'nb', 'sl', 'hr')"
+_SUPPORTED = _inlist(SUPPORTED_LANGUAGES)
 _POS_CASES = "\n".join(f"WHEN lang || '|' || lower(piece) IN {_inlist(keys)} THEN '{pos}'"
                        for pos, keys in _lex().items())
 _SW_VALUES = ", ".join(f"({_ql(a)}, {_ql(b)})" for a, b in _sw_rows())
@@ -305,23 +305,59 @@ FROM v CROSS JOIN n LEFT JOIN g ON g.gram = v.term GROUP BY v.term, n.n
 
 _C = r"[\p{L}\-_+]"
 
+_P = r"(?s)[\p{L}\-_+]+|."
 ORACLE["term_occurrences"] = f"""
 WITH s AS ({sql_sentences('documents')}),
-sl AS (SELECT doc_id, sent_no, "begin" AS sb, lower(text) AS t FROM s),
 bt AS (SELECT item_id, regexp_extract_all(text, {_ql(T.SK_TOKEN_RE)}) AS t FROM benchmark),
 bg AS (SELECT lower(array_to_string(t[i + 1:i + 2], ' ')) AS term FROM bt, range(0, CAST(len(t) AS BIGINT) - 1) AS r(i)),
-dict AS (SELECT DISTINCT term, length(term) AS L FROM bg),
-lens AS (SELECT DISTINCT L FROM dict),
-pos AS (SELECT sl.*, lens.L, p FROM sl, lens, range(1, CAST(length(sl.t) AS BIGINT) - lens.L + 2) AS r(p)),
-hit AS (SELECT pos.*, dict.term FROM pos JOIN dict ON dict.L = pos.L AND dict.term = substr(pos.t, pos.p, pos.L))
-SELECT doc_id, sent_no, CAST(sb + p - 1 AS BIGINT) AS "begin", CAST(sb + p - 1 + L AS BIGINT) AS "end",
+dict AS (SELECT DISTINCT term, len(regexp_extract_all(term, '{_P}')) AS m FROM bg),
+ms AS (SELECT DISTINCT m FROM dict),
+pc AS (SELECT doc_id, sent_no, "begin" AS sb, regexp_extract_all(lower(text), '{_P}') AS pcs FROM s),
+pos AS (SELECT doc_id, sent_no, sb, u.piece, u.n, sum(length(u.piece)) OVER (PARTITION BY doc_id, sent_no ORDER BY u.n) - length(u.piece) AS rel
+        FROM pc, unnest(pcs) WITH ORDINALITY AS u(piece, n)),
+win AS (SELECT pc.doc_id, pc.sent_no, i + 1 AS n, m, array_to_string(pcs[i + 1:i + m], '') AS text,
+               CASE WHEN i > 0 THEN pcs[i] ELSE '' END AS prev, coalesce(pcs[i + m + 1], '') AS nxt
+        FROM pc, ms, range(0, CAST(len(pcs) AS BIGINT) - m + 1) AS r(i)),
+hit AS (SELECT win.*, dict.term FROM win JOIN dict ON dict.term = win.text AND dict.m = win.m)
+SELECT hit.doc_id, hit.sent_no, CAST(sb + rel AS BIGINT) AS "begin", CAST(sb + rel + length(term) AS BIGINT) AS "end",
        term, term AS lemma, 1.0::DOUBLE AS score
-FROM hit
-WHERE (p = 1 OR NOT regexp_matches(substr(t, p - 1, 1), '{_C}'))
-  AND (p + L > length(t) OR NOT regexp_matches(substr(t, p + L, 1), '{_C}'))
+FROM hit JOIN pos ON pos.doc_id = hit.doc_id AND pos.sent_no = hit.sent_no AND pos.n = hit.n
+WHERE NOT regexp_matches(prev, '{_C}$') AND NOT regexp_matches(nxt, '^{_C}')
 """
 
 
+# ---- entities ---------------------------------------------------------------------------
+
+from spantide.operators import entities as _N  # noqa: E402
+
+_LABEL_CASE = "CASE " + " ".join(f"WHEN regexp_matches(ent, {_ql('^(?:' + r + ')$')}) THEN '{lab}'" for lab, r in _N.RULES) + " END"
+_ENTS = f"""
+WITH s AS ({sql_sentences('documents')}),
+mk AS (SELECT doc_id, sent_no, "begin" AS sb,
+              string_split(regexp_replace(translate(text, chr(1) || chr(2), '  '), {_ql(_N.RULE_RE)}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM s),
+pt AS (SELECT doc_id, sent_no, sb, u.part, u.k FROM mk, unnest(parts) WITH ORDINALITY AS u(part, k)),
+of AS (SELECT *, sb + coalesce(sum(length(part) - CAST(k > 1 AS INTEGER)) OVER (PARTITION BY doc_id, sent_no ORDER BY k
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_at, split_part(part, chr(2), 1) AS ent FROM pt),
+ru AS (SELECT doc_id, sent_no, CAST(pos_at AS BIGINT) AS "begin", CAST(pos_at + length(ent) AS BIGINT) AS "end", ent AS text, {_LABEL_CASE} AS label
+       FROM of WHERE k > 1),
+bt AS (SELECT regexp_extract_all(text, {_ql(T.SK_TOKEN_RE)}) AS t FROM benchmark),
+ti AS (SELECT DISTINCT lower(array_to_string(t[1:2], ' ')) AS term FROM bt WHERE len(t) >= 2),
+pc AS (SELECT doc_id, sent_no, "begin" AS sb, regexp_extract_all(lower(text), '{_P}') AS pcs FROM s),
+wi AS (SELECT doc_id, sent_no, sb, i, array_to_string(pcs[i + 1:i + 3], '') AS text, array_to_string(pcs[1:i], '') AS head,
+              CASE WHEN i > 0 THEN pcs[i] ELSE '' END AS prev, coalesce(pcs[i + 4], '') AS nxt
+       FROM pc, range(0, CAST(len(pcs) AS BIGINT) - 2) AS r(i)
+       WHERE array_to_string(pcs[i + 1:i + 3], '') IN (SELECT term FROM ti)),
+ga AS (SELECT doc_id, sent_no, CAST(sb + length(head) AS BIGINT) AS "begin", CAST(sb + length(head) + length(text) AS BIGINT) AS "end",
+              text, 'WORK_OF_ART' AS label
+       FROM wi WHERE NOT regexp_matches(prev, '{_C}$') AND NOT regexp_matches(nxt, '^{_C}')),
+al AS (SELECT * FROM ru UNION ALL SELECT * FROM ga),
+ah AS (SELECT *, max("end") OVER (PARTITION BY doc_id, sent_no ORDER BY "begin", "end" DESC, label
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM al),
+en AS (SELECT doc_id, sent_no, "begin", "end", text, label FROM ah WHERE ahead IS NULL OR "begin" >= ahead)"""
+ORACLE["entity_rules"] = _ENTS + "\nSELECT * FROM en"
+ORACLE["entity_stats"] = _ENTS + "\nSELECT label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM en GROUP BY label"
+
+
 # ---- pipelines L3 / L4 ------------------------------------------------------------------
 
 from spantide.plans import pipelines as _L  # noqa: E402
@@ -354,10 +390,11 @@ LEFT JOIN u n ON n.doc_id = m.doc_id AND n.{unit_no} = c.la + 1
 
 
 _G5 = f"regexp_replace(regexp_replace(text, '[\\n\\t]', ' ', 'g'), '^{WS}+|{WS}+\\z', '', 'g')"
-ORACLE["contact_paragraphs"] = _sql_ctx_pipeline(
-    sql_sentences("documents"), sql_paragraphs_blank("documents"),
-    f"(regexp_matches({_G5}, {_ql(_L.EMAIL_RE)}) OR regexp_matches({_G5}, {_ql(_L.PHONE_RE)}))",
-    "contact", True, "documents", "sent_no")
+_CONTACT = f"(regexp_matches({_G5}, {_ql(_L.EMAIL_RE)}) OR regexp_matches({_G5}, {_ql(_L.PHONE_RE)}))"
+ORACLE["contact_paragraphs"] = "WITH ft AS MATERIALIZED " + _FULL + ", " + _sql_ctx_pipeline(
+    sql_sentences("ft"), sql_paragraphs_blank("ft"), _CONTACT, "contact", True, "ft", "sent_no").strip()[len("WITH "):]
+ORACLE["contact_documents"] = _sql_ctx_pipeline(
+    sql_sentences("documents"), sql_paragraphs_blank("documents"), _CONTACT, "contact", True, "documents", "sent_no")
 
 ORACLE["qa_paragraphs"] = _sql_ctx_pipeline(
     sql_paragraphs_list(_MAIN), sql_paragraphs_list(_MAIN),
@@ -396,8 +433,13 @@ SELECT doc_id, CASE WHEN c = '' THEN 0 ELSE {_RULE} END AS label,
        CASE WHEN c = '' THEN -1.0 ELSE CAST({_RULE} AS DOUBLE) END AS proba_1,
        CASE WHEN c = '' THEN -1.0 ELSE 1.0 - {_RULE} END AS proba_0
 FROM d"""
-_X = "list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE))"
-_SC = f"(SELECT vec_id, label, {_X} AS x FROM embeddings)"
+_SC = """(
+  WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  m AS (SELECT label, j, avg(v) AS v FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS j FROM e) z GROUP BY label, j),
+  c AS (SELECT label, list(v ORDER BY j) AS m FROM m GROUP BY label),
+  k AS (SELECT list(label ORDER BY label) AS labels, list(m ORDER BY label) AS ms FROM c)
+  SELECT vec_id, CAST(list_position(labels, label) - 1 AS INTEGER) AS label,
+         list_transform(ms, lambda m: list_inner_product(e, m)) AS x FROM e, k)"""
 _ARGMAX = "(list_position(x, list_max(x)) - 1)"
 ORACLE["threshold_predictions"] = f"""
 SELECT vec_id, CAST(label AS BIGINT) AS label, CAST({_ARGMAX} AS BIGINT) AS pred,
@@ -420,19 +462,21 @@ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support),
                  round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM pf"""
 ORACLE["mean_loss"] = f"""
 WITH s AS {_SC},
-ce AS (SELECT count(*) AS n, round(avg(ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[label + 1]), 6) AS ce_loss FROM s),
+ce AS (SELECT count(*) AS n, round(avg(list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) - x[label + 1]), 6) AS ce_loss FROM s),
 el AS (SELECT s.label, t.j - 1 AS j, t.v FROM s, unnest(s.x) WITH ORDINALITY AS t(v, j)),
-nn AS (SELECT count(*) AS n FROM s),
-pw AS (SELECT j, CASE WHEN sum(CAST(label = j AS INTEGER)) > 0 THEN nn.n / sum(CAST(label = j AS INTEGER)) - 1 END AS w
-       FROM el, nn GROUP BY j, nn.n),
-b AS (SELECT round(avg(pw.w * CAST(el.label = el.j AS DOUBLE) * ln(1 + exp(-el.v))
-                       + (1 - CAST(el.label = el.j AS DOUBLE)) * ln(1 + exp(el.v))), 6) AS bce_loss
+pw AS (SELECT j, count(*) / nullif(count(*) FILTER (label = j), 0) - 1 AS w FROM el GROUP BY j),
+b AS (SELECT round(avg(CASE WHEN el.label = el.j THEN pw.w * (greatest(-el.v, 0) + ln(1 + exp(-abs(el.v))))
+                            ELSE greatest(el.v, 0) + ln(1 + exp(-abs(el.v))) END), 6) AS bce_loss
       FROM el JOIN pw ON pw.j = el.j)
 SELECT ce.n, ce.ce_loss, b.bce_loss FROM ce, b"""
 
 # ---- questions and answers ---------------------------------------------------------------
 
-_SPLIT = lambda e: f"list_distinct(list_transform(regexp_extract_all({e}, {_ql(_Q.SENTENCE_RE)}), lambda s: regexp_replace(s, '^ +| +\\z', '', 'g')))"
+def _SPLIT(e):
+    return (f"list_distinct(list_transform(regexp_extract_all({e}, '[^\\n.!?]*[.!?]'), "
+            f"lambda s: regexp_replace(s, '^ +| +\\z', '', 'g')))")
+
+
 ORACLE["qg_sentences"] = f"""
 SELECT doc_id, u.sentence FROM documents, unnest({_SPLIT('text')}) AS u(sentence)"""
 _SEGS = f"""
@@ -459,6 +503,8 @@ _PAIRS = """
 WITH c AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr,
                      lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations),
 pr AS (SELECT conv_id, turn, text AS question, nt AS answer FROM c WHERE role = 'user' AND nr = 'assistant')"""
+ORACLE["all_pairs"] = _PAIRS + """
+SELECT conv_id, turn, split_part(question, '?', 1) || '?' AS question, answer FROM pr"""
 ORACLE["best_pairs"] = _PAIRS + """
 SELECT conv_id, CAST(rank AS BIGINT) AS rank, turn, question, answer, score FROM (
   SELECT conv_id, turn, split_part(question, '?', 1) || '?' AS question, answer, CAST(length(answer) AS BIGINT) AS score,
@@ -466,10 +512,12 @@ SELECT conv_id, CAST(rank AS BIGINT) AS rank, turn, question, answer, score FROM
 WHERE rank <= 10"""
 _H = "md5(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) || ':' || '2022')"
 ORACLE["qa_negatives"] = _PAIRS + f""",
-h AS (SELECT *, {_H} AS hh, CAST(('0x' || substr({_H}, 1, 8))::BIGINT % 64 AS BIGINT) AS b FROM pr),
-s AS (SELECT *, coalesce(lead(answer) OVER (PARTITION BY b ORDER BY hh), first(answer) OVER (PARTITION BY b ORDER BY hh ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS sw FROM h),
-f AS (SELECT *, NOT (CAST(('0x' || substr(hh, 1, 8))::BIGINT % 2 AS BIGINT) = 0) AND sw <> answer AS flip FROM s)
-SELECT conv_id, turn, question, CASE WHEN flip THEN sw ELSE answer END AS answer, CASE WHEN flip THEN 0 ELSE 1 END AS label FROM f"""
+a AS (SELECT DISTINCT answer FROM pr WHERE answer IS NOT NULL),
+o AS (SELECT answer, coalesce(lead(answer) OVER w, first(answer) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other
+      FROM a WINDOW w AS (ORDER BY md5(answer), answer)),
+f AS (SELECT pr.*, o.other, CAST(('0x' || substr({_H}, 9, 8))::BIGINT % 2 AS BIGINT) = 1 AND o.other <> pr.answer AS flip
+      FROM pr LEFT JOIN o ON o.answer = pr.answer)
+SELECT conv_id, turn, question, CASE WHEN flip THEN other ELSE answer END AS answer, CASE WHEN flip THEN 0 ELSE 1 END AS label FROM f"""
 
 
 # ---- sources and feed ------------------------------------------------------------------

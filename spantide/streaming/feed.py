@@ -1,7 +1,7 @@
 """Continuous page feed. New crawl JSONL files are picked up by Structured
 Streaming; each micro-batch runs the batch pipeline (stateless, keyed by page id)
-and appends to a parquet sink. Restarting with the same checkpoint resumes
-exactly where the previous run stopped."""
+and writes a folder of its own in a parquet sink. Restarting with the same checkpoint resumes
+where the previous run stopped; a batch that runs again replaces what it wrote."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def run_feed(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                    .json(in_dir))
 
     def each(batch: DataFrame, epoch: int) -> None:
-        chunk_batch(batch).write.mode("append").parquet(out_dir)
+        chunk_batch(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
 
     q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
