@@ -103,8 +103,9 @@ def cut(q: DataFrame, slots: int = SLOTS) -> DataFrame:
     last = last.withColumn("upto", F.col("base") + F.sum("size").over(by_finish))
     edge = last.agg(F.max(F.when(F.col("upto") <= F.col("total"), F.col("finish"))).alias("in_slot"),
                     F.min("s").alias("s")).select("in_slot", "s")
-    q = q.join(F.broadcast(edge))                                        # one row
-    taken = q.where(F.col("s").isNull() | (F.col("slot") < F.col("s")) | (F.col("finish") <= F.col("in_slot")))
+    slot, in_slot = edge.select("s").scalar(), edge.select("in_slot").scalar()       # one row
+    q = q.select("source", "epoch", "key", "slot", "finish", slot.alias("last_slot"), in_slot.alias("last_finish"))
+    taken = q.where(F.col("last_slot").isNull() | (F.col("slot") < F.col("last_slot")) | (F.col("finish") <= F.col("last_finish")))
     return taken.groupBy("source", "epoch").agg(F.max("key").alias("last_key"))
 
 
