@@ -131,6 +131,37 @@ def candidate_runs(toks: DataFrame, max_ngram: int = 10) -> DataFrame:
                     F.col("c.variant").cast("int").alias("variant"), "lang", F.col("c.span").alias("span"))
 
 
+def candidate_subtrees(parsed: DataFrame) -> DataFrame:
+    """Candidate spans of parsed sentences ``(doc_id, sent_no, lang, toks array<token>, heads
+    array<int>)``, ``heads[i]`` being the position of token ``i``'s head, its own for a root.
+
+    Every token is sent to each of its ancestors; the smallest and largest position that reach a
+    token are the edges ``l, r`` of its subtree. For each NOUN/PROPN ``i`` come the spans
+    ``[i,i] [i,r] [l,r] [l,i]``, in this order. Same output as ``candidate_runs``.
+    """
+    p = parsed.where(F.size("toks") > 0)
+    at = p.select("doc_id", "sent_no", "heads", F.explode(F.sequence(F.lit(0), F.size("heads") - 1)).alias("i"))
+
+    def up(chain, _):
+        last = F.element_at(chain, -1)
+        head = F.get(F.col("heads"), last)
+        return F.when(head == last, chain).otherwise(F.concat(chain, F.array(head)))
+
+    chain = F.aggregate(F.sequence(F.lit(1), F.size("heads")), F.array("i"), up)
+    edges = (at.select("doc_id", "sent_no", "i", F.explode(chain).alias("a")).groupBy("doc_id", "sent_no", "a")
+               .agg(F.min("i").alias("l"), F.max("i").alias("r")))
+    e = edges.groupBy("doc_id", "sent_no").agg(F.array_sort(F.collect_list(F.struct("a", "l", "r"))).alias("edges"))
+    x = p.join(e, ["doc_id", "sent_no"])
+    noun = F.filter("edges", lambda g: F.get(F.col("toks"), g["a"])["pos"].isin("NOUN", "PROPN"))
+    x = x.select("doc_id", "sent_no", "lang", "toks", F.explode(noun).alias("g"))
+    span = lambda v, a, b: F.struct(F.lit(v).alias("variant"), a.alias("a"), b.alias("b"))
+    i, lo, hi = F.col("g.a"), F.col("g.l"), F.col("g.r")
+    x = x.select("doc_id", "sent_no", "lang", "toks", i.alias("anchor"),
+                 F.explode(F.array(span(0, i, i), span(1, i, hi), span(2, lo, hi), span(3, lo, i))).alias("v"))
+    return x.select("doc_id", "sent_no", F.col("anchor").cast("long").alias("anchor"), F.col("v.variant").alias("variant"), "lang",
+                    F.slice("toks", F.col("v.a") + 1, F.col("v.b") - F.col("v.a") + 1).alias("span"))
+
+
 def distinct_first(c: DataFrame, text_col: str = "term") -> DataFrame:
     """One row per ``(doc_id, stripped text)``, the first in (sentence, anchor,
     variant) order wins; case-sensitive. The window is keyed ``(doc_id, term)`` and so

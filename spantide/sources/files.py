@@ -8,7 +8,9 @@ one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -27,16 +29,17 @@ def _row_id() -> F.Column:
 
 def read_base64_tsv(spark: SparkSession, path: str, first_col: int = 0, multi_label: bool = False,
                     stats: dict | None = None) -> DataFrame:
-    """S3/S4 (+C2): headerless TSV; rows with any null dropped (count observed into
-    ``stats['dropped']`` when given); text = base64-decoded column ``first_col``;
+    """S3/S4 (+C2): headerless TSV; rows with any null dropped (``stats['rows']``, when a
+    dictionary is given, observes the numbers read and dropped as the result is computed); text = base64-decoded column ``first_col``;
     label = next column, or all following columns as an array for multi-label."""
     raw = spark.read.option("sep", "\t").option("header", "false").csv(path)
     cols = raw.columns
     raw = raw.select("*", _row_id().alias("row_id"))
-    kept = raw.na.drop("any", subset=cols)
     if stats is not None:
-        n_all, n_kept = raw.count(), kept.count()
-        stats["dropped"] = n_all - n_kept
+        missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+        stats["rows"] = Observation()
+        raw = raw.observe(stats["rows"], F.count("*").alias("read"), F.count_if(missing).alias("dropped"))
+    kept = raw.na.drop("any", subset=cols)
     text = F.decode(F.unbase64(F.col(cols[first_col])), "UTF-8").alias("text")
     rest = cols[first_col + 1:]
     if multi_label:
