@@ -16,7 +16,7 @@ passages, are bucketed once more, now exactly, by their rarest shingles (see ``r
 rounds, each of these buckets takes pivots, one from each of its smallest components, and compares
 them with the members of its other components; compared pivots leave the bucket; it ends when one
 component is left. So every two members are compared, or already joined, or have too few shingles
-left after the shared one to be alike, and no link between members of a bucket is lost. Each round takes four times as many pivots per bucket as the one
+left after the shared one to be alike, and no link between members of a bucket is lost. Each round takes 64 times as many pivots per bucket as the one
 before. Compared pairs are held to the exact similarity of their shingle sets.
 
 Plan: equal texts are one vertex from the start (128-bit digest), so copies never meet.
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             live = materialise(live.join(pivots.select("bucket").distinct(), "bucket", "left_semi")
                                .join(pivots.select("bucket", F.col("pivot").alias("vid")), ["bucket", "vid"], "left_anti"), "members")
-            width *= 4
+            width *= 64
 
     v = vertex.join(label.select(F.col("vid").alias("lvid"), "label"), F.col("vid") == F.col("lvid"), "left")
     v = v.select("vid", "key", "rep", F.coalesce("label", "vid").alias("label"))
