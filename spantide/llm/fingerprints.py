@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from spantide.llm.common import materialise
 
 SAMPLES = 16
+PARTS = 4       # times the session's shuffle partitions
 _BITS = 25
 _MARK = "\x00 "      # no word holds a space
 
@@ -72,7 +73,9 @@ def next_documents(ids: DataFrame) -> DataFrame:
 def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
     """(id, tk, text, edited, copies): the last half of each text replaced by as much of the
     beginning of the next document's. Rows equal in id and text come ``copies`` times over."""
-    a = docs.select(F.col("id").alias("aid"), F.col("tk").alias("atk"), "text")
+    # parts small enough for the word counts of their texts to stay in memory
+    n = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = docs.select(F.col("id").alias("aid"), F.col("tk").alias("atk"), "text").repartition(n, "aid", "atk")
     begin = a.join(order, a.aid.eqNullSafe(order.next_id) & (a.atk == order.next_tk)).select(
         "id", "tk", "half", (F.col("rows") * F.col("next_rows")).alias("copies"),
         F.expr("substring(text, 1, cast(half AS int))").alias("begin"))
