@@ -70,17 +70,23 @@ def next_documents(ids: DataFrame) -> DataFrame:
         "id", "tk", "n_chars", "half", "rows", nxt["id"].alias("next_id"), nxt["tk"].alias("next_tk"), nxt["rows"].alias("next_rows"))
 
 
+def _key(id_col: str, tk_col: str) -> Column:
+    """Id (left out if null) and text hash as one string."""
+    return F.concat_ws("|", F.col(id_col).cast("string"), F.col(tk_col).cast("string"))
+
+
 def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
-    """(id, tk, text, edited, copies): the last half of each text replaced by as much of the
-    beginning of the next document's. Rows equal in id and text come ``copies`` times over."""
+    """(k, text, edited, copies), with k naming id and tk: the last half of each text replaced by as
+    much of the beginning of the next document's. Rows equal in id and text come ``copies`` times
+    over. The key is never null, so the joins are plain ones by k, and grouping by k afterwards needs
+    no further exchange."""
     # parts small enough for the word counts of their texts to stay in memory
     n = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = docs.select(F.col("id").alias("aid"), F.col("tk").alias("atk"), "text").repartition(n, "aid", "atk")
-    begin = a.join(order, a.aid.eqNullSafe(order.next_id) & (a.atk == order.next_tk)).select(
-        "id", "tk", "half", (F.col("rows") * F.col("next_rows")).alias("copies"),
-        F.expr("substring(text, 1, cast(half AS int))").alias("begin"))
-    both = a.join(begin, a.aid.eqNullSafe(begin.id) & (a.atk == begin.tk))
-    return both.select(F.col("aid").alias("id"), F.col("atk").alias("tk"), "text", F.concat(
+    a = docs.select(_key("id", "tk").alias("ak"), "text").repartition(n, "ak")
+    o = order.select(_key("id", "tk").alias("k"), "half", (F.col("rows") * F.col("next_rows")).alias("copies"),
+                     _key("next_id", "next_tk").alias("nk"))
+    begin = a.join(o, F.col("ak") == F.col("nk")).select("k", "half", "copies", F.expr("substring(text, 1, cast(half AS int))").alias("begin"))
+    return a.join(begin, F.col("ak") == F.col("k")).select(F.col("ak").alias("k"), "text", F.concat(
         F.expr("substring(text, 1, cast(char_length(text) - half AS int))"), "begin").alias("edited"), "copies")
 
 
@@ -96,24 +102,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                              F.struct(F.lit(1).alias("version"), F.col("edited").alias("t"))))
     # the last word of each edited text is a mark with the text's digest, in four numbers, which go along as maxima
     words = F.split("v.t", r"[\x20\x09-\x0D]+", -1)
-    v = e.select("id", "tk", "copies", both.alias("v")).select(
-        "id", "tk", "copies", "v.version", F.explode(F.when(F.col("v.version") == 0, words).otherwise(
+    v = e.select("k", "copies", both.alias("v")).select(
+        "k", "copies", "v.version", F.explode(F.when(F.col("v.version") == 0, words).otherwise(
             F.concat(words, F.array(F.concat(F.lit(_MARK), F.sha2("v.t", 256)))))).alias("word"))
     mark = F.col("word").startswith(_MARK) & (F.col("version") == 1)
-    v = v.select("id", "tk", "copies", "version", F.when((F.col("word") != "") & ~mark, F.xxhash64("word")).alias("term"), *[
+    v = v.select("k", "copies", "version", F.when((F.col("word") != "") & ~mark, F.xxhash64("word")).alias("term"), *[
         F.when(mark, F.conv(F.substring("word", 1 + len(_MARK) + 16 * k, 16), 16, -10).cast("long")).alias(f"d{k}") for k in range(4)])
     digest = [F.max(f"d{k}").alias(f"d{k}") for k in range(4)]
-    terms = v.groupBy("id", "tk", "copies", "version", "term").agg(F.count(F.lit(1)).alias("n"), *digest)
+    terms = v.groupBy("k", "copies", "version", "term").agg(F.count(F.lit(1)).alias("n"), *digest)
     w = F.col("n") / F.col("copies")
-    s = terms.groupBy("id", "tk", "version").agg(*[
+    s = terms.groupBy("k", "version").agg(*[
         F.min(F.when(F.col("term").isNotNull(), sample_key(F.col("term"), w, k))).alias(f"s{k}") for k in range(samples)], *digest)
     sample = F.when(F.col("s0").isNull(), F.array().cast("array<bigint>")).otherwise(F.array(*[f"s{k}" for k in range(samples)]))
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{k}"), 16, "0") for k in range(4)]))
-    s = s.select("id", "tk", F.when(F.col("version") == 0, sample).alias("sample"), F.when(F.col("version") == 1, sample).alias("edited_sample"),
+    s = s.select("k", F.when(F.col("version") == 0, sample).alias("sample"), F.when(F.col("version") == 1, sample).alias("edited_sample"),
                  F.when(F.col("version") == 1, sha).alias("sha"))
-    s = s.groupBy("id", "tk").agg(F.max("sample").alias("sample"), F.max("edited_sample").alias("edited_sample"), F.max("sha").alias("edited_sha256"))
-    s = materialise(s, "samples").withColumnsRenamed({"id": "sid", "tk": "stk"})
-    j = order.join(s, F.col("id").eqNullSafe(F.col("sid")) & (F.col("tk") == F.col("stk")))
+    s = s.groupBy("k").agg(F.max("sample").alias("sample"), F.max("edited_sample").alias("edited_sample"), F.max("sha").alias("edited_sha256"))
+    s = materialise(s, "samples")
+    j = order.withColumn("k", _key("id", "tk")).join(s, "k")
     return j.select("id", "tk", "rows", "n_chars", "edited_sha256", "next_id", "next_tk", "sample", "edited_sample")
 
 
