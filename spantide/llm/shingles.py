@@ -37,10 +37,11 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
     h, n = span_hashes(buf, starts, ends), len(starts)
     acc, reach = mix64(h), np.zeros(n, np.int64)
     for k in range(1, words):
+        m = max(n - k, 0)        # fewer words than k in the whole block: none has a k-th next
         same = np.zeros(n, bool)
-        same[:n - k] = of[k:] == of[:n - k]
+        same[:m] = of[k:] == of[:m]
         nxt = np.zeros(n, np.uint64)
-        nxt[:n - k] = h[k:]
+        nxt[:m] = h[k:]
         acc = mix64(acc * _STEP + np.where(same, nxt, np.uint64(0)))
         reach += same
     first = np.diff(of, prepend=-1) != 0

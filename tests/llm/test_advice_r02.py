@@ -1,0 +1,26 @@
+"""Cases of the second review: each failed, or was lost, before."""
+
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import pytest  # noqa: E402
+from helpers import shingles, table  # noqa: E402
+from spantide.llm import minhash  # noqa: E402
+from spantide.llm.shingles import shingle_sets  # noqa: E402
+
+
+# ---- near duplicates: blocks of few words ----------------------------------------------------
+
+@pytest.mark.parametrize("n", range(1, 9))
+def test_shingles_of_one_short_text(n):
+    text = " ".join(f"w{k}" for k in range(n))
+    of, _, count = shingle_sets([text.encode()])
+    assert len(of) == len(shingles(text)) and set(count.tolist()) == {1}
+
+
+@pytest.mark.parametrize("texts", [["one", "one "], ["one two"], ["one two three"]])
+def test_near_duplicates_of_few_words(spark, texts):
+    got = minhash.near_duplicates(table(spark, [(k, t, "s") for k, t in enumerate(texts)]).coalesce(1)).collect()
+    assert len(got) == len(texts) and {r.class_id for r in got} == {0} and sum(r.keep for r in got) == 1
