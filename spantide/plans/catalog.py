@@ -260,7 +260,7 @@ def _entities(spark, sf):
     t = F.regexp_extract_all("text", F.lit(T.SK_TOKEN_RE), F.lit(0))
     title = table(spark, sf, "benchmark").select(t.alias("t")).where(F.size("t") >= 2).select(
         F.lower(F.array_join(F.slice("t", 1, 2), " ")).alias("term")).distinct()
-    found = D.match_terms(s, title.withColumn("lemma", F.col("term")), max_pieces=3)     # word, space, word
+    found = D.match_terms(s, title.withColumn("lemma", F.col("term")))
     titles = N.gazetteer_entities(found, title.withColumn("label", F.lit("WORK_OF_ART")))
     return N.leftmost_longest(N.rule_entities(s).unionByName(titles))
 
