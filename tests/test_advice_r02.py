@@ -5,7 +5,10 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import random  # noqa: E402
+
 import __spark_entry__ as E  # noqa: E402
+from spantide.operators import entities as N  # noqa: E402
 
 
 def folder(spark, path, texts, benchmark=(), lang="en"):
@@ -26,3 +29,34 @@ def test_titles_with_digits(spark, tmp_path):
     assert all(text[r["begin"]:r["end"]] == r["text"] for r in got)
     stats = {r["label"]: r["n"] for r in E.queries()["entity_stats"](spark, sf).collect()}
     assert stats == {"WORK_OF_ART": 2, "CARDINAL": 1}
+
+
+# ---- chains of overlapping entities ---------------------------------------------------------------
+
+def readings(ents):
+    """Plain fold over the entities of every sentence."""
+    kept, end = [], {}
+    for e in sorted(ents, key=lambda e: (e[0], e[1], e[2], -e[3], e[5])):
+        if e[2] >= end.get(e[:2], 0):
+            kept.append(e)
+            end[e[:2]] = e[3]
+    return kept
+
+
+def test_chains_keep_what_overlaps_nothing_kept(spark):
+    rng = random.Random(3)
+    ents = [(0, 0, 0, 5, "A", "ORG"), (0, 0, 3, 10, "B", "ORG"), (0, 0, 7, 12, "C", "ORG"), (0, 0, 12, 14, "D", "ORG")]
+    for doc in range(1, 40):
+        ents += [(doc, rng.randint(0, 1), b, b + rng.randint(1, 9), f"e{k}", "ORG") for k, b in enumerate(rng.sample(range(40), rng.randint(1, 12)))]
+    df = spark.createDataFrame(ents, "doc_id long, sent_no long, begin long, end long, text string, label string")
+    got = N.leftmost_longest(df)
+    assert got.columns == df.columns
+    rows = [tuple(r) for r in got.collect()]
+    assert [r[4] for r in sorted(rows) if r[0] == 0] == ["A", "C", "D"]
+    assert sorted(rows) == sorted(readings(ents))
+
+
+def test_overlapping_titles(spark, tmp_path):
+    sf = folder(spark, tmp_path, ["aa bb cc dd"], ["aa bb", "bb cc", "cc dd"])
+    got = E.queries()["entity_rules"](spark, sf).orderBy("begin").collect()
+    assert [r["text"] for r in got] == ["aa bb", "cc dd"]
