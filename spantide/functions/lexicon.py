@@ -3,13 +3,14 @@
 The lexicon drives the dictionary-based part-of-speech filler (T1): function words
 get their class from here, every other word defaults to NOUN (PROPN when it is
 capitalised and not sentence-initial), numbers to NUM, symbols to PUNCT/SYM.
-Stopwords (T9) are the same closed-class words, so no list outside the package is read;
-another table can be given to the operator.
+Stopwords (T9) are the lists of ``stopwords/`` (those of Spark MLlib, as package data; there is
+none for sl and hr) together with the closed-class words.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 
 # Languages of the term pipeline: those the lexicon describes.
 SUPPORTED_LANGUAGES = ("en", "de", "nl", "fr", "it", "es", "nb", "sl", "hr")
@@ -117,6 +118,9 @@ INVALID_POS = ("DET", "PUNCT", "ADP", "CCONJ", "SYM", "NUM", "PRON", "SCONJ", "A
 # digits, tab); checked on the stripped term text (T5).
 TERM_FORBIDDEN = "!\"#$%&()*+,0123456789./:;<=>?@[\\]^_`{|}~\t"
 
+_STOPWORDS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "stopwords")
+
+
 def lexicon_rows() -> list[tuple[str, str, str]]:
     """``(lang, word, pos)`` rows; the first class listed wins for a repeated word."""
     out, seen = [], set()
@@ -139,8 +143,13 @@ def lexicon_keys_by_pos() -> dict[str, list[str]]:
 
 @functools.lru_cache(maxsize=None)
 def stopwords(lang: str) -> tuple[str, ...]:
-    """The closed-class words of a language, each once."""
-    return tuple(dict.fromkeys(w for words in LEXICON.get(lang, {}).values() for w in words.split()))
+    """The words of the language's list, if there is one, and its closed-class words, each once."""
+    path, listed = os.path.join(_STOPWORDS, f"{lang}.txt"), []
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            listed = f.read().split("\n")
+    closed = (w for words in LEXICON.get(lang, {}).values() for w in words.split())
+    return tuple(dict.fromkeys(w for w in (*listed, *closed) if w))
 
 
 def stopword_rows(langs=SUPPORTED_LANGUAGES) -> list[tuple[str, str]]:

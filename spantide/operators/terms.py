@@ -186,7 +186,7 @@ def trim_invalid(span: Column) -> Column:
 
 
 def stopword_table(spark) -> DataFrame:
-    """``(lang, word)``: the closed-class words of each language (fixed, small)."""
+    """``(lang, word)``: the stopwords of each language (fixed, small)."""
     return spark.createDataFrame(stopword_rows(), "lang string, word string")
 
 

@@ -60,3 +60,27 @@ def test_overlapping_titles(spark, tmp_path):
     sf = folder(spark, tmp_path, ["aa bb cc dd"], ["aa bb", "bb cc", "cc dd"])
     got = E.queries()["entity_rules"](spark, sf).orderBy("begin").collect()
     assert [r["text"] for r in got] == ["aa bb", "cc dd"]
+
+
+# ---- stopwords outside the closed classes ------------------------------------------------------------
+
+def test_stopwords_are_dropped(spark, tmp_path):
+    import duckdb
+    sf = folder(spark, tmp_path, ["The same credit and the other few.", "Own credit: more such credit."])
+    got = {name: {(r["doc_id"], r["term"]) for r in E.queries()[name](spark, sf).select("doc_id", "term").collect()}
+           for name in ("candidate_terms", "terms_pipeline", "stopword_filtered")}
+    assert {(0, "few"), (0, "same"), (0, "other"), (1, "Own"), (1, "more"), (1, "such")} <= got["stopword_filtered"]
+    assert {(0, "credit"), (1, "credit"), (0, "same credit")} <= got["terms_pipeline"]
+    assert got["terms_pipeline"] == got["candidate_terms"] - got["stopword_filtered"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet/*.parquet')")
+    for name in ("terms_pipeline", "stopword_filtered"):
+        assert {(d, t) for d, t in con.sql(E.oracle_sql()[name]).select("doc_id, term").fetchall()} == got[name]
+
+
+def test_stopword_lists():
+    from spantide.functions.lexicon import LEXICON, SUPPORTED_LANGUAGES, stopwords
+    for lang in SUPPORTED_LANGUAGES:
+        closed = {w for words in LEXICON[lang].values() for w in words.split()}
+        assert closed <= set(stopwords(lang)) and len(stopwords(lang)) == len(set(stopwords(lang)))
+        assert lang in ("sl", "hr") or set(stopwords(lang)) - closed
