@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from spantide.llm.common import materialise
 
-SAMPLES = 16
+SAMPLES = 64
 PARTS = 4       # times the session's shuffle partitions
 _BITS = 25
 _MARK = "\x00 "      # no word holds a space
@@ -90,10 +90,9 @@ def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
         F.expr("substring(text, 1, cast(char_length(text) - half AS int))"), "begin").alias("edited"), "copies")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """(id, tk, rows, n_chars, edited_sha256, next_id, next_tk, sample, edited_sample): per distinct
-    (id, text) the samples of its text and of its edited text, arrays of ``samples`` numbers, empty
-    without words, and the number of rows it stands for."""
+def sampled(docs: DataFrame, id_col: str, text_col: str, samples: int) -> tuple[DataFrame, DataFrame]:
+    """The written order of the documents (``next_documents``), and their written samples:
+    (k, sample, edited_sample, edited_sha256), with k naming id and tk."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
     order = materialise(next_documents(d.select("id", "tk", F.char_length("text").cast("long").alias("n_chars"))), "next")
@@ -110,15 +109,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(mark, F.conv(F.substring("word", 1 + len(_MARK) + 16 * k, 16), 16, -10).cast("long")).alias(f"d{k}") for k in range(4)])
     digest = [F.max(f"d{k}").alias(f"d{k}") for k in range(4)]
     terms = v.groupBy("k", "copies", "version", "term").agg(F.count(F.lit(1)).alias("n"), *digest)
-    w = F.col("n") / F.col("copies")
+    terms = terms.withColumn("w", F.col("n") / F.col("copies"))
     s = terms.groupBy("k", "version").agg(*[
-        F.min(F.when(F.col("term").isNotNull(), sample_key(F.col("term"), w, k))).alias(f"s{k}") for k in range(samples)], *digest)
+        F.min(F.when(F.col("term").isNotNull(), sample_key(F.col("term"), F.col("w"), k))).alias(f"s{k}") for k in range(samples)], *digest)
     sample = F.when(F.col("s0").isNull(), F.array().cast("array<bigint>")).otherwise(F.array(*[f"s{k}" for k in range(samples)]))
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{k}"), 16, "0") for k in range(4)]))
     s = s.select("k", F.when(F.col("version") == 0, sample).alias("sample"), F.when(F.col("version") == 1, sample).alias("edited_sample"),
                  F.when(F.col("version") == 1, sha).alias("sha"))
     s = s.groupBy("k").agg(F.max("sample").alias("sample"), F.max("edited_sample").alias("edited_sample"), F.max("sha").alias("edited_sha256"))
-    s = materialise(s, "samples")
+    return order, materialise(s, "samples")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
+    """(id, tk, rows, n_chars, edited_sha256, next_id, next_tk, sample, edited_sample): per distinct
+    (id, text) the samples of its text and of its edited text, arrays of ``samples`` numbers, empty
+    without words, and the number of rows it stands for."""
+    order, s = sampled(docs, id_col, text_col, samples)
     j = order.withColumn("k", _key("id", "tk")).join(s, "k")
     return j.select("id", "tk", "rows", "n_chars", "edited_sha256", "next_id", "next_tk", "sample", "edited_sample")
 
@@ -135,9 +141,11 @@ def as_text(sample: str) -> Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    f = materialise(fingerprints(docs), "fingerprints")
-    n = f.select(F.col("id").alias("nid"), F.col("tk").alias("ntk"), F.col("sample").alias("next_sample"))
-    j = f.join(n, f.next_id.eqNullSafe(n.nid) & (f.next_tk == n.ntk))
+    order, s = sampled(docs, "doc_id", "text", SAMPLES)
+    # the narrow order fetches the next sample first, so that whole samples are shuffled once
+    n = s.select(F.col("k").alias("nk"), F.col("sample").alias("next_sample"))
+    o = order.select("id", "n_chars", "rows", _key("id", "tk").alias("k"), _key("next_id", "next_tk").alias("next_k"))
+    j = o.join(n, F.col("next_k") == F.col("nk")).drop("next_k", "nk").join(s, "k")
     return j.select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"), "n_chars", "edited_sha256",
                     as_text("sample").alias("fingerprint"), as_text("edited_sample").alias("edited_fingerprint"),
                     likeness("sample", "edited_sample").alias("near_edited"), likeness("sample", "next_sample").alias("near_next")).drop("row")
