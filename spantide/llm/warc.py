@@ -15,7 +15,7 @@ that ran twice leaves nothing that counts. Archives are read in pieces of a mega
 
 Defined results: a null payload is empty; a null URL is left out of the record; rows equal in
 payload and id are all responses; a payload whose rows have no ids has responses only; rows
-without id are revisits of the smallest id with their payload; payloads under ``min_bytes``
+without id are revisits of the smallest id with their payload, and come back without id; payloads under ``min_bytes``
 are all responses; an empty table gives no archive and an empty result.
 """
 
@@ -31,6 +31,7 @@ from spantide.session import scratch_path
 # Fixed values of the format: the skippable frame that holds a dictionary, and its size limit here.
 DICT_MAGIC, DICT_BYTES = 0x184D2A5D, 65536
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+PAGE_URN = "urn:page:"
 ARCHIVE_BYTES, MIN_BYTES, LEVEL, DATE = 8 << 20, 0, 3, "2024-01-01T00:00:00Z"
 
 
@@ -40,16 +41,22 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(kind: str, name: str, url: str | None, date: str, digest: str, payload: bytes, first: str | None) -> bytes:
+def record_id(name: str | None) -> str:
+    """The record's own name: a row without id gets a random UUID, which is read back as null."""
+    import uuid
+    return uuid.uuid4().urn if name is None else f"{PAGE_URN}{name}"
+
+
+def record_bytes(kind: str, name: str | None, url: str | None, date: str, digest: str, payload: bytes, first: str | None) -> bytes:
     """One WARC record: the HTTP head, and for a response the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", date),
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id(name)}>"), ("WARC-Date", date),
             ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if url:
         head.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if kind == "revisit":
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{first}>")]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{PAGE_URN}{first}>")]
     head.append(("Content-Length", str(len(block))))
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -133,13 +140,14 @@ def parse_record(record: bytes) -> dict:
     lines = head.decode().split("\r\n")
     field = dict(x.split(": ", 1) for x in lines[1:])
     http, _, payload = block[:int(field["Content-Length"])].partition(b"\r\n\r\n")
-    name = field["WARC-Record-ID"][len("<urn:page:"):-1]
+    own = field["WARC-Record-ID"][1:-1]
+    name = own[len(PAGE_URN):] if own.startswith(PAGE_URN) else None
     out = {"name": name, "url": field.get("WARC-Target-URI"), "record_type": field["WARC-Type"], "refers_to": None,
            "payload": payload, "payload_bytes": len(payload), "payload_digest": base32_sha1(payload)}
     if out["record_type"] == "revisit":
         size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
         out |= {"payload": None, "payload_bytes": size, "payload_digest": field["WARC-Payload-Digest"].partition(":")[2],
-                "refers_to": field["WARC-Refers-To"][len("<urn:page:"):-1]}
+                "refers_to": field["WARC-Refers-To"][1 + len(PAGE_URN):-1]}
     elif "sha1:" + out["payload_digest"] != field["WARC-Payload-Digest"]:
         raise ValueError(f"payload of {name} does not match its digest")
     return out

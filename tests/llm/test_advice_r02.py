@@ -10,7 +10,7 @@ import random  # noqa: E402
 
 import pytest  # noqa: E402
 from helpers import shingles, table  # noqa: E402
-from spantide.llm import fingerprints, minhash  # noqa: E402
+from spantide.llm import fingerprints, minhash, warc  # noqa: E402
 from spantide.llm.shingles import shingle_sets  # noqa: E402
 
 
@@ -51,3 +51,17 @@ def test_likeness_is_near_the_exact_one(spark, tmp_path):
         assert errors[-1] <= 4.5 * (max(true * (1 - true), 0.02) / 64) ** 0.5
         assert len(r.fingerprint) == len(r.edited_fingerprint) == 64 * 16
     assert sum(errors) / len(errors) < 0.06
+
+
+# ---- WARC: rows without id ------------------------------------------------------------------------
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_warc_query_without_ids(spark, tmp_path, kind):
+    five, name = (5, 6) if kind == "long" else ("5", "None")
+    rows = [(None, "u", "same"), (None, "v", "same"), (five, "w", "same"), (None, None, "other"), (name, "x", "named")]
+    spark.createDataFrame(rows, f"page_id {kind}, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.query(spark, str(tmp_path))
+    assert dict(got.dtypes)["page_id"] == {"long": "bigint"}.get(kind, kind)
+    seen = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got.collect()), key=repr)
+    assert seen == sorted([(five, "response", None, 4), (name, "response", None, 5), (None, "response", None, 5)]
+                          + [(None, "revisit", five, 4)] * 2, key=repr)
