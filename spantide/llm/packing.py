@@ -29,9 +29,10 @@ CAPACITY, END_ID, SALTS = 2048, 0, 256
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                 capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+                 capacity: int = CAPACITY, end_id: int = END_ID, added: bool = False) -> DataFrame:
     """(id, piece, start, length, ids) of every document; ``ids`` are little-endian unsigned
-    32-bit numbers. Arrow slices of about a megabyte of text are encoded at a time."""
+    32-bit numbers. Arrow slices of about a megabyte of text are encoded at a time. With ``added``
+    the vocabulary's added tokens are read as such in texts, else as ordinary text."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()),
                            T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
                            T.StructField("ids", T.BinaryType())])
@@ -42,9 +43,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
 
         from spantide.llm.tokens import blocks_of, encoder, text_bytes
         enc = encoder(vocabulary, pattern)
+        encode = enc.encode_added if added else enc.encode
         for block in blocks_of(batches, "text"):
             row, piece, start, length, ids = [], [], [], [], []
-            for r, got in enumerate(enc.encode(text_bytes(block, "text"))):
+            for r, got in enumerate(encode(text_bytes(block, "text"))):
                 all_ids = np.append(got.astype("<u4"), np.uint32(end_id)).astype("<u4")
                 n = len(all_ids)
                 first = n % capacity or capacity
@@ -131,7 +133,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
 
 def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers as P
-    pieces = token_pieces(docs, P.path("byte_bpe_50k.json"), P.PATTERN)
+    pieces = token_pieces(docs, P.path("byte_bpe_50k.json"), P.PATTERN, added=True)
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 

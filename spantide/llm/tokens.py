@@ -1,7 +1,8 @@
 """Token ids of whole texts, by a public byte-level BPE file, inside Arrow batches.
 
-``Encoder`` gives the ids that ``tokenizers`` gives for each text, special tokens read as
-ordinary text. A text is first cut where the vocabulary's own split pattern always cuts,
+``Encoder.encode`` gives the ids that ``tokenizers`` gives for each text with special tokens
+read as ordinary text, ``Encoder.encode_added`` those it gives as loaded, where the file's added
+tokens that stand in a text are ids of their own. A text is first cut where the vocabulary's own split pattern always cuts,
 whatever stands around: before a space or line feed that has a character other than white
 space on both sides. Each distinct piece of a block is then encoded once and gathered by
 numpy; recent pieces stay in a table of fixed size, so a worker's memory does not grow.
@@ -90,7 +91,11 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
-        ranks, _ = vocabulary(path)
+        import re
+        ranks, special = vocabulary(path)
+        self.added = {token.encode(): i for token, i in special.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.mark = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")") if self.added else None
         self.bpe = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.byte_len = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
@@ -168,6 +173,16 @@ class Encoder:
         bounds = np.concatenate([[0], total])[np.searchsorted(starts, np.append(doc_at, len(buf)))]
         return [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
+    def encode_added(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, added tokens in it read as such: what stands between them is
+        encoded on its own."""
+        if not self.mark or not any(t in x for x in texts for t in self.added):
+            return self.encode(texts)
+        parts = [self.mark.split(x) for x in texts]              # added tokens at odd places
+        plain = iter(self.encode([p for ps in parts for p in ps[::2]]))
+        return [np.concatenate([np.array([self.added[p]], np.uint16) if k % 2 else next(plain) for k, p in enumerate(ps)])
+                for ps in parts]
+
 
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder per Python worker and file."""

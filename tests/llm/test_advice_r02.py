@@ -7,10 +7,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import collections  # noqa: E402
 import random  # noqa: E402
+import zlib  # noqa: E402
 
+import numpy as np  # noqa: E402
+import public_tokenizers as P  # noqa: E402
 import pytest  # noqa: E402
-from helpers import shingles, table  # noqa: E402
-from spantide.llm import fingerprints, minhash, warc  # noqa: E402
+from helpers import odd_rows, shingles, table  # noqa: E402
+from spantide.llm import fingerprints, minhash, packing, tokens, warc  # noqa: E402
 from spantide.llm.shingles import shingle_sets  # noqa: E402
 
 
@@ -65,3 +68,33 @@ def test_warc_query_without_ids(spark, tmp_path, kind):
     seen = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got.collect()), key=repr)
     assert seen == sorted([(five, "response", None, 4), (name, "response", None, 5), (None, "response", None, 5)]
                           + [(None, "revisit", five, 4)] * 2, key=repr)
+
+
+# ---- packing: added tokens in texts ---------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def loaded():
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_encoder_reads_added_tokens(loaded):
+    rng = random.Random(2)
+    some = list(" \n\t'sa.é中") + ["<|endoftext|>"] * 3 + ["<|endoftext|", "|>", " the", "  "]
+    texts = ["", "<|endoftext|>", "a <|endoftext|> b"] + ["".join(rng.choice(some) for _ in range(rng.randint(0, 20))) for _ in range(2000)]
+    enc = tokens.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert [x.tolist() for x in enc.encode_added([t.encode() for t in texts])] == [loaded(t) for t in texts]
+
+
+def test_packed_ids_are_those_of_the_tokenizer(spark, loaded):
+    rows = [(i, t, s) for i, t, s in odd_rows(repeated=False)] + [(900, "x <|endoftext|><|endoftext|> y " * 900, "s")]
+    expected = collections.Counter()
+    for i, t, _ in rows:
+        ids = np.array(loaded(t) + [0], "<u4")
+        first = len(ids) % 2048 or 2048
+        for k, b in enumerate([0, *range(first, len(ids), 2048)]):
+            part = ids[b:first if k == 0 else b + 2048]
+            expected[(i, k, b, len(part), zlib.crc32(part.tobytes()))] += 1
+    got = packing.packed(table(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == expected
