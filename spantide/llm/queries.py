@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from spantide.llm import fingerprints, licenses, linededup, minhash, mixing, packing, quality, separators, suffixes, warc
+from spantide.llm import (fingerprints, licenses, linededup, merkle, minhash, mixing, negatives, packing, quality, separators, suffixes,
+                          topk, warc)
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.query,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_source_mixing": mixing.query,
     "op9_line_dedup": linededup.query,
     "op10_token_counts": separators.query,
+    "op11_hard_negatives": negatives.query,
+    "op12_exact_topk": topk.query,
+    "op13_merkle_manifest": merkle.query,
 }
 
 ORACLE = {
@@ -22,4 +26,7 @@ ORACLE = {
     "op4_warc_roundtrip": warc.ORACLE_SQL,
     "op8_source_mixing": mixing.ORACLE_SQL,
     "op9_line_dedup": linededup.ORACLE_SQL,
+    "op11_hard_negatives": negatives.ORACLE_SQL,
+    "op12_exact_topk": topk.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
