@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spantide.functions.text import WORD, strip
+from spantide.session import cut_lineage
 
 # Block-level tags that start a new text block.
 BLOCK_TAGS = ("p|div|h[1-6]|li|ul|ol|dl|dt|dd|nav|article|section|header|footer|aside|main|"
@@ -24,6 +25,8 @@ BLOCK_TAGS = ("p|div|h[1-6]|li|ul|ol|dl|dt|dd|nav|article|section|header|footer|
 # Regions that are boilerplate for the main-text variant.
 BOILER_REGIONS = ("nav", "footer", "aside", "header")
 BOILER_CLASSES = "ad|ads|advert|banner|cookie|cookies|share|social|sidebar|menu|breadcrumb"
+# Tags that bound a region; what is left open inside one ends with it.
+CONTAINERS = ("body", "main", "article", "section", "div", "nav", "header", "footer", "aside")
 # Named entities: those of Latin-1 (from the standard library's table) and a few of typography;
 # a no-break space is read as a space.
 ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items()) if c < 256} | {
@@ -53,6 +56,8 @@ MAIN_STEPS = [(rf"(?is)<{t}\b.*?</{t}\s*>", "") for t in BOILER_REGIONS] + [
     (rf"""(?is)<div\s[^>]*class\s*=\s*["'](?:[^"']*\s)?(?:{BOILER_CLASSES})(?:\s[^"']*)?["'][^>]*>.*?</div\s*>""", ""),
 ]
 MARK_RE = rf"(?i)<({BLOCK_TAGS})\b[^>]*>"
+CONTAINER_RE = rf"(?i)</?(?:{'|'.join(CONTAINERS)})\b[^>]*>"
+BOILER_RE = rf"""(?is)^<(?:(?:{'|'.join(BOILER_REGIONS)})\b|div\s[^>]*class\s*=\s*["'](?:[^"']*\s)?(?:{BOILER_CLASSES})(?:\s[^"']*)?["'])"""
 # applied to each block body, in order (entities are decoded between step 2 and 3)
 BLOCK_STEPS_PRE = [
     (r"(?i)<br\s*/?>", "\n"),
@@ -100,8 +105,9 @@ def _block_text(body: Column) -> Column:
     return body
 
 
-def blocks_expr(html, main: bool = False) -> Column:
-    """Array of ``struct(tag, text, link_chars)`` for one page, in document order."""
+def blocks_expr(html, main: bool = False, links: bool = True) -> Column:
+    """Array of ``struct(tag, text, link_chars)`` for one page, in document order; without ``links``
+    the link texts are not looked at and ``link_chars`` is left out."""
     html = F.col(html) if isinstance(html, str) else html
     parts = F.split(_clean(html, main), MARK, -1)
 
@@ -111,22 +117,23 @@ def blocks_expr(html, main: bool = False) -> Column:
         body = F.when(has, F.substring_index(b, SEP, -1)).otherwise(b)
         text = _block_text(body)
         text = F.when((tag == "li") & (text != ""), F.concat(F.lit("- "), text)).otherwise(text)
-        links = F.array_join(F.regexp_extract_all(body, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), " ")
-        return F.struct(tag.alias("tag"), text.alias("text"),
-                        F.length(_block_text(links)).alias("link_chars"))
+        if not links:
+            return F.struct(tag.alias("tag"), text.alias("text"))
+        linked = F.array_join(F.regexp_extract_all(body, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), " ")
+        return F.struct(tag.alias("tag"), text.alias("text"), F.length(_block_text(linked)).alias("link_chars"))
 
     return F.transform(parts, one)
 
 
 def full_text_expr(html) -> Column:
     """All blocks (headers and footers kept), a blank line between blocks."""
-    texts = F.transform(blocks_expr(html, main=False), lambda b: b["text"])
+    texts = F.transform(blocks_expr(html, main=False, links=False), lambda b: b["text"])
     return F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")
 
 
 def main_text_tags_expr(html) -> Column:
     """P3, tag-only variant: boilerplate regions removed, one line per block."""
-    texts = F.transform(blocks_expr(html, main=True), lambda b: b["text"])
+    texts = F.transform(blocks_expr(html, main=True, links=False), lambda b: b["text"])
     return F.array_join(F.filter(texts, lambda t: t != ""), "\n")
 
 
@@ -186,36 +193,82 @@ def page_texts(pages: DataFrame) -> DataFrame:
         full_text_expr("html").alias("full_text"))
 
 
-def block_table(pages: DataFrame, main: bool = False) -> DataFrame:
-    """One row per non-empty block: ``(page_id, host, block_no, tag, text, link_chars)``."""
+def cut_regions(pages: DataFrame) -> DataFrame:
+    """P3, regions: ``(page_id, url, html)`` without comments, scripts, head and boilerplate regions.
+
+    A page is cut at its container tags into events; an event is an opening tag, a closing tag, or void
+    (``<div/>``), with the text up to the next one. Each kind of tag has a running depth, never below
+    zero, so a closing tag that closes nothing has no effect. A boilerplate region ends where a
+    depth falls below what it was behind the region's opening tag: at its own closing tag, however many
+    nested ones come before, or at that of a container around it, or else with the page. The next such
+    event comes from a running value over the closing tags of one kind and depth, and a text goes if a
+    region that began before it ends behind it: windows over the events of a page, linear in them.
+    """
+    html = F.col("html")
+    for p, r in CLEAN_STEPS:
+        html = F.regexp_replace(html, p, r)
+    x = pages.select("page_id", "url", html.alias("html")).repartition("page_id")
+    x = x.select("page_id", "url", F.posexplode(F.split(F.regexp_replace("html", CONTAINER_RE, MARK + "$0"), MARK, -1)).alias("k", "part"))
+    tag = F.lower(F.regexp_extract("part", r"^</?([A-Za-z]+)", 1))
+    step = F.when((F.col("k") == 0) | F.regexp_extract("part", r"^<[^>]*>", 0).endswith("/>"), 0).when(F.col("part").startswith("</"), -1).otherwise(1)
+    x = x.select("page_id", "url", "k", "part", tag.alias("tag"), step.alias("step"))
+    w = Window.partitionBy("page_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.select("*", *[F.sum(F.when(F.col("tag") == t, F.col("step")).otherwise(0)).over(w).alias(f"s_{t}") for t in CONTAINERS])
+    x = x.select("*", *[F.min(f"s_{t}").over(w).alias(f"m_{t}") for t in CONTAINERS])
+    depth = {t: F.col(f"s_{t}") - F.least(F.lit(0), F.col(f"m_{t}")) for t in CONTAINERS}
+    x = x.select("page_id", "url", "k", "part", "tag", "step", *[depth[t].cast("int").alias(f"d_{t}") for t in CONTAINERS])
+    boiler = (F.col("step") == 1) & F.col("part").rlike(BOILER_RE)
+    # closing tags by (tag, depth left), and for each region the closings that would end it
+    own = F.coalesce(*[F.when(F.col("tag") == t, F.col(f"d_{t}")) for t in CONTAINERS])
+    closing = F.array(F.struct(F.col("tag").alias("t"), own.alias("level")))
+    ends = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), (F.col(f"d_{t}") - 1).alias("level")) for t in CONTAINERS]), lambda e: e["level"] >= 0)
+    e = x.where(boiler | (F.col("step") == -1)).select("page_id", "k", boiler.alias("boiler"), F.explode(F.when(boiler, ends).otherwise(closing)).alias("e"))
+    back = Window.partitionBy("page_id", "e.t", "e.level").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("end", F.last(F.when(~F.col("boiler"), F.col("k")), ignorenulls=True).over(back)).where("boiler")
+    # no such closing tag: the page's end
+    regions = e.groupBy(F.col("page_id").alias("_p"), F.col("k").alias("_k")).agg(F.min("end").alias("end"))
+    x = x.join(regions, (F.col("page_id") == F.col("_p")) & (F.col("k") == F.col("_k")), "left")
+    x = x.withColumn("until", F.max(F.when(F.col("_k").isNotNull(), F.coalesce("end", F.lit(2 ** 31 - 1)))).over(w))
+    kept = F.array_sort(F.collect_list(F.when(F.col("until").isNull() | (F.col("k") >= F.col("until")), F.struct("k", "part"))))
+    return x.groupBy("page_id", "url").agg(F.array_join(kept["part"], "").alias("html"))
+
+
+def block_table(pages: DataFrame, main: bool = False, links: bool = True) -> DataFrame:
+    """One row per non-empty block: ``(page_id, host, block_no, tag, text, link_chars)``, the last one with ``links``."""
     x = pages.select("page_id", host_expr("url").alias("host"),
-                     F.posexplode(blocks_expr("html", main)).alias("block_no", "b"))
-    return (x.select("page_id", "host", F.col("block_no").cast("long").alias("block_no"),
-                     "b.tag", "b.text", "b.link_chars")
+                     F.posexplode(blocks_expr("html", main, links)).alias("block_no", "b"))
+    return (x.select("page_id", "host", F.col("block_no").cast("long").alias("block_no"), "b.*")
              .where(F.col("text") != ""))
 
 
-def host_boilerplate(pages: DataFrame, min_pages: int = 3, main: bool = False) -> DataFrame:
-    """Block texts seen on at least ``min_pages`` distinct pages of one host.
+def repeated_blocks(blocks: DataFrame, min_pages: int = 3) -> DataFrame:
+    """P9 over blocks ``(page_id, host, text)``: texts seen on at least ``min_pages`` distinct pages of
+    one host, ``(host, block_md5, n_pages)``.
 
     Grouping key is ``(host, md5(text))``: a host holding a third of the corpus still
     spreads over its many distinct blocks, and the distinct-page count is aggregated
     map-side first.
     """
-    b = block_table(pages, main).select("host", "page_id", F.md5("text").alias("block_md5"))
+    b = blocks.select("host", "page_id", F.md5("text").alias("block_md5"))
     return (b.groupBy("host", "block_md5")
              .agg(F.countDistinct("page_id").alias("n_pages"))
              .where(F.col("n_pages") >= min_pages))
 
 
+def host_boilerplate(pages: DataFrame, min_pages: int = 3, main: bool = False) -> DataFrame:
+    """Block texts that are repeated on a host."""
+    return repeated_blocks(block_table(pages, main, links=False), min_pages)
+
+
 def main_text(pages: DataFrame, min_pages: int = 3, max_link_density: float = 0.5,
               min_chars: int = 1) -> DataFrame:
-    """P3 full heuristic: tag-only main blocks, minus link-heavy blocks, minus blocks
-    repeated on ``min_pages`` pages of the host (P9). ``(page_id, host, text)``."""
-    b = block_table(pages, main=True)
-    b = b.where((F.length("text") >= min_chars)
-                & (F.col("link_chars") <= F.length("text") * max_link_density))
-    boiler = host_boilerplate(pages, min_pages, main=True)
+    """P3 full heuristic: blocks outside boilerplate regions, minus link-heavy blocks, minus blocks
+    repeated on ``min_pages`` pages of the host (P9). ``(page_id, host, text)``. Pages are
+    parsed once, into a written table of blocks."""
+    every = cut_lineage(block_table(cut_regions(pages)).drop("tag"))
+    b = every.where((F.length("text") >= min_chars)
+                    & (F.col("link_chars") <= F.length("text") * max_link_density))
+    boiler = repeated_blocks(every, min_pages)
     kept = (b.withColumn("block_md5", F.md5("text"))
              .join(boiler.select("host", "block_md5"), ["host", "block_md5"], "left_anti"))
     per_page = (kept.groupBy("page_id")
@@ -226,12 +279,12 @@ def main_text(pages: DataFrame, min_pages: int = 3, max_link_density: float = 0.
                          F.coalesce(F.array_join(F.col("bs.text"), "\n"), F.lit("")).alias("text")))
 
 
-def page_record(pages: DataFrame, language_col: str | None = None) -> DataFrame:
+def page_record(pages: DataFrame, language_col: str | None = None, extra: tuple = ()) -> DataFrame:
     """The page record with the reference's defaults.
 
     When main text was extracted, missing metadata is null; when nothing was
     extracted, text/hostname/source-hostname/source default to '' and tags/excerpt
-    to null. The title comes from <title> either way.
+    to null. The title comes from <title> either way. ``extra`` are further columns of ``pages``.
     """
     html = F.col("html")
     text = main_text_tags_expr(html)
@@ -250,6 +303,7 @@ def page_record(pages: DataFrame, language_col: str | None = None) -> DataFrame:
         F.when(got, source).otherwise(F.lit("")).alias("source"),
         F.when(lang != "", lang).alias("language"),
         F.when(got, fingerprint_expr(text)).alias("fingerprint"),
+        *extra,
     )
 
 
@@ -312,6 +366,37 @@ def sql_block_texts(html: str, main: bool) -> str:
     return f"list_transform(list_transform({blocks}, lambda b: {text}), lambda b: {item})"
 
 
+def sql_linked_blocks(html: str) -> str:
+    """List of ``{text, link_chars}``, as ``blocks_expr`` with links."""
+    marked = f"regexp_replace({_sql_steps(html, CLEAN_STEPS)}, {_q(MARK_RE)}, chr(1) || '\\1' || chr(2), 'g')"
+    body = "(CASE WHEN strpos(b, chr(2)) > 0 THEN split_part(b, chr(2), 2) ELSE b END)"
+    tag = "(CASE WHEN strpos(b, chr(2)) > 0 THEN lower(split_part(b, chr(2), 1)) ELSE '' END)"
+    linked = f"array_to_string(regexp_extract_all({body}, {_q(r'(?is)<a\b[^>]*>(.*?)</a\s*>')}, 1), ' ')"
+    raw = f"{{'tag': {tag}, 'body': {_sql_steps(body, BLOCK_STEPS_PRE)}, 'linked': {_sql_steps(linked, BLOCK_STEPS_PRE)}}}"
+    text = f"{{'tag': b.tag, 'text': {_sql_steps(_sql_unescape('b.body'), BLOCK_STEPS_POST)}, 'link_chars': length({_sql_steps(_sql_unescape('b.linked'), BLOCK_STEPS_POST)})}}"
+    item = "{'text': CASE WHEN b.tag = 'li' AND b.text <> '' THEN '- ' || b.text ELSE b.text END, 'link_chars': b.link_chars}"
+    blocks = f"list_transform(string_split({marked}, chr(1)), lambda b: {raw})"
+    return f"list_transform(list_transform({blocks}, lambda b: {text}), lambda b: {item})"
+
+
+def sql_cut_regions(src: str) -> str:
+    """CTEs up to ``cut`` (page_id, url, html): per boilerplate region the first later closing tag that leaves some
+    depth below the region's."""
+    depth = ", ".join(f"sum(CASE WHEN tag = '{t}' THEN step ELSE 0 END) OVER w AS s_{t}" for t in CONTAINERS)
+    least = ", ".join(f"s_{t} - least(0, min(s_{t}) OVER w) AS d_{t}" for t in CONTAINERS)
+    below = " OR ".join(f"(b.tag = '{t}' AND b.d_{t} < a.d_{t})" for t in CONTAINERS)
+    return f"""
+cx AS (SELECT page_id, url, u.part, u.k FROM {src}, unnest(string_split(regexp_replace({_sql_steps('html', CLEAN_STEPS)}, {_q(CONTAINER_RE)}, chr(1) || '\\0', 'g'), chr(1))) WITH ORDINALITY AS u(part, k)),
+cs AS (SELECT *, lower(regexp_extract(part, '^</?([A-Za-z]+)', 1)) AS tag,
+              CASE WHEN k = 1 OR regexp_extract(part, '^<[^>]*>') LIKE '%/>' THEN 0 WHEN starts_with(part, '</') THEN -1 ELSE 1 END AS step FROM cx),
+cd AS (SELECT *, {depth} FROM cs WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+ce AS (SELECT *, {least} FROM cd WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+cr AS (SELECT a.page_id, a.k, (SELECT min(b.k) FROM ce b WHERE b.page_id = a.page_id AND b.k > a.k AND b.step = -1 AND ({below})) AS till
+       FROM ce a WHERE step = 1 AND regexp_matches(part, {_q(BOILER_RE)})),
+cut AS (SELECT page_id, any_value(url) AS url, coalesce(string_agg(part, '' ORDER BY k) FILTER (NOT EXISTS (
+          SELECT 1 FROM cr WHERE cr.page_id = ce.page_id AND cr.k <= ce.k AND (cr.till IS NULL OR ce.k < cr.till))), '') AS html FROM ce GROUP BY page_id)"""
+
+
 def sql_full_text(html: str) -> str:
     return f"array_to_string(list_filter({sql_block_texts(html, False)}, lambda t: t <> ''), chr(10) || chr(10))"
 

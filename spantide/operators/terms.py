@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spantide.functions.lexicon import (INVALID_POS, TERM_FORBIDDEN, lexicon_keys_by_pos,
                                         stopword_rows)
 from spantide.functions.text import WORD, WS, strip
+from spantide.session import cut_lineage
 
 PIECE_RE = rf"(?s){WORD}+(?:['\-]{WORD}+)*|{WS}+|."
 WORDTOK_RE = rf"^{WORD}+(?:['\-]{WORD}+)*$"
@@ -238,31 +239,76 @@ def known_word_terms(terms: DataFrame, toks: DataFrame, min_df: int = 2) -> Data
     return terms.join(flagged.where("_ok").select("doc_id", "term"), ["doc_id", "term"], "left_semi")
 
 
+def misspellings(toks: DataFrame, min_length: int = 4, times: int = 100) -> DataFrame:
+    """T11, word list from the corpus: a word one edit (a letter more, less or other) away from a word of its
+    language that stands in at least ``times`` as many documents is a misspelling of it.
+    ``(lang, word, n_docs, suggestion, suggestion_docs)``; the suggestion in most documents, then the first by
+    letters, wins. Words are lower-cased tokens with letters only, of ``min_length`` letters at least.
+
+    Words meet over what is left of them when one letter is deleted, or none: two words one edit apart share such a
+    rest. Only words that are frequent enough to correct another one are offered to the rare ones, so a rest is
+    joined with few words however many rare ones share it.
+    """
+    w = toks.select("lang", F.lower("text").alias("word"), "doc_id").where(F.col("word").rlike(r"^\p{L}+$") & (F.length("word") >= min_length))
+    w = cut_lineage(w.groupBy("lang", "word").agg(F.countDistinct("doc_id").alias("n_docs")))
+
+    def rests(df):
+        cuts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substr("word", F.lit(1), i - 1), F.substr("word", i + 1)))
+        return df.select("*", F.explode(F.array_distinct(F.concat(F.array("word"), cuts))).alias("rest"))
+    often = rests(w.where(F.col("n_docs") >= times)).select(F.col("lang").alias("_l"), F.col("word").alias("suggestion"), F.col("n_docs").alias("suggestion_docs"),
+                                                            F.col("rest").alias("_r"))
+    j = rests(w).join(often, (F.col("lang") == F.col("_l")) & (F.col("rest") == F.col("_r")))
+    j = j.where((F.col("suggestion_docs") >= times * F.col("n_docs")) & (F.levenshtein("word", "suggestion") == 1))
+    best = F.min(F.struct((-F.col("suggestion_docs")).alias("a"), F.col("suggestion").alias("b")))
+    return j.groupBy("lang", "word", "n_docs").agg(best.alias("best")).select(
+        "lang", "word", "n_docs", F.col("best.b").alias("suggestion"), (-F.col("best.a")).alias("suggestion_docs"))
+
+
+def spelled_terms(terms: DataFrame, wrong: DataFrame) -> DataFrame:
+    """The terms that hold none of the misspellings ``(lang, word)``."""
+    words = terms.select("doc_id", "term", "lang", F.explode(F.split(F.lower("term"), r"[^\p{L}]+")).alias("word"))
+    bad = words.join(wrong.select("lang", "word"), ["lang", "word"], "left_semi").select("doc_id", "term").distinct()
+    return terms.join(bad, ["doc_id", "term"], "left_anti")
+
+
 # ---- corpus statistics (T14, T15) -------------------------------------------------------
 
 SK_TOKEN_RE = rf"{WORD}{{2,}}"
 
 
-def _ngrams(docs: DataFrame, max_n: int, lowercase: bool, once: bool = False) -> DataFrame:
-    """Word n-grams (1..max_n) per document, tokens of at least 2 word characters; with
-    ``once``, each n-gram of a document once (a document is one row)."""
-    text = F.lower("text") if lowercase else F.col("text")
-    toks = F.regexp_extract_all(text, F.lit(SK_TOKEN_RE), F.lit(0))
-    d = docs.select("doc_id", toks.alias("t"))
+def ngrams(docs: DataFrame, max_n: int) -> DataFrame:
+    """``(doc_id, gram)``: the word n-grams (1..max_n) of each document, tokens of at least 2 word characters."""
+    d = docs.select("doc_id", F.regexp_extract_all("text", F.lit(SK_TOKEN_RE), F.lit(0)).alias("t"))
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(max_n), F.size("t"))), lambda n: F.transform(
         F.sequence(F.lit(0), F.size("t") - n), lambda i: F.array_join(F.slice("t", i + 1, n), " "))))
-    grams = F.array_distinct(grams) if once else grams
     return d.select("doc_id", F.explode(F.when(F.size("t") > 0, grams).otherwise(F.array())).alias("gram"))
 
 
+def vocabulary_hits(docs: DataFrame, vocab: DataFrame, max_n: int, lowercase: bool) -> DataFrame:
+    """``(doc_id, term)``: every place at which a vocabulary term of 1..max_n tokens stands.
+
+    Places whose token begins no term go first; the others make only the n-grams of as many tokens as terms
+    with this first token have, and these meet the vocabulary. So what is aggregated afterwards are
+    occurrences of terms, not the n-grams of the corpus.
+    """
+    text = F.lower("text") if lowercase else F.col("text")
+    d = docs.select("doc_id", F.regexp_extract_all(text, F.lit(SK_TOKEN_RE), F.lit(0)).alias("t"))
+    ahead = F.transform("t", lambda _, i: F.slice("t", i + 1, F.lit(max_n)))
+    x = d.select("doc_id", F.explode(ahead).alias("a")).select("doc_id", "a", F.get("a", F.lit(0)).alias("w"))
+    v = vocab.select("term").distinct().withColumn("n", F.size(F.split("term", " "))).where(F.col("n") <= max_n)
+    heads = v.groupBy(F.substring_index("term", " ", 1).alias("first")).agg(F.collect_set("n").alias("ns"))
+    x = x.join(heads, F.col("w") == F.col("first"))
+    x = x.select("doc_id", F.explode(F.transform(F.filter("ns", lambda n: n <= F.size("a")), lambda n: F.array_join(F.slice("a", F.lit(1), n), " "))).alias("gram"))
+    return x.join(v, F.col("gram") == F.col("term")).select("doc_id", "term")
+
+
 def term_frequency(docs: DataFrame, vocab: DataFrame, max_ngram_len: int) -> DataFrame:
     """Corpus count of each vocabulary term, n-grams 1..max, case-sensitive;
     unseen terms count 0. ``vocab(term)``; output ``(term, tf)``."""
-    g = _ngrams(docs, max_ngram_len, lowercase=False)
-    counts = g.groupBy("gram").agg(F.count("*").alias("tf"))
-    return (vocab.select("term").distinct()
-                 .join(counts.withColumnRenamed("gram", "term"), "term", "left")
-                 .select("term", F.coalesce("tf", F.lit(0)).cast("long").alias("tf")))
+    hits = vocabulary_hits(docs, vocab, max_ngram_len, lowercase=False)
+    counts = hits.groupBy(F.col("term").alias("gram")).agg(F.count("*").alias("tf"))
+    v = vocab.select("term").distinct()
+    return v.join(counts, F.col("term") == F.col("gram"), "left").select("term", F.coalesce("tf", F.lit(0)).cast("long").alias("tf"))
 
 
 def term_idf(docs: DataFrame, vocab: DataFrame, max_ngram_len: int) -> DataFrame:
@@ -270,9 +316,7 @@ def term_idf(docs: DataFrame, vocab: DataFrame, max_ngram_len: int) -> DataFrame
     lower-cased corpus with n-grams 1..max+1; the vocabulary is *not* lower-cased.
     Output ``(term, df, idf)``; sort by ``idf desc`` for the reference's order."""
     n_docs = docs.agg(F.count("*")).scalar()      # scalar subquery: the corpus size
-    g = _ngrams(docs, max_ngram_len + 1, lowercase=True, once=True)
-    df = g.groupBy("gram").agg(F.count("*").alias("df"))
-    v = (vocab.select("term").distinct()
-              .join(df.withColumnRenamed("gram", "term"), "term", "left")
-              .withColumn("df", F.coalesce("df", F.lit(0)).cast("long")))
+    hits = vocabulary_hits(docs, vocab, max_ngram_len + 1, lowercase=True)
+    df = hits.groupBy(F.col("term").alias("gram")).agg(F.countDistinct("doc_id").alias("df"))
+    v = vocab.select("term").distinct().join(df, F.col("term") == F.col("gram"), "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("long"))
     return v.select("term", "df", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))

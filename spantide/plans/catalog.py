@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spantide.functions.lexicon import SUPPORTED_LANGUAGES
 from spantide.operators import pages as P
 from spantide.operators import segment as G
+from spantide.session import cut_lineage
 from spantide.sources.tables import table
 
 
@@ -56,9 +57,7 @@ def q_paragraphs_list(spark, sf):
 
 @query("page_titles")
 def q_page_titles(spark, sf):
-    pg = _pages(spark, sf)
-    rec = P.page_record(pg)
-    return (rec.join(pg.select("page_id", P.titles_expr("html").alias("titles")), "page_id"))
+    return P.page_record(_pages(spark, sf), extra=(P.titles_expr("html").alias("titles"),))
 
 
 @query("page_text_tags")
@@ -147,7 +146,7 @@ def q_reannotate(spark, sf):
 def q_chunking_records(spark, sf):
     """L1: page record + sentences of its main text, packed per page."""
     pg = _pages(spark, sf)
-    rec = P.page_record(pg).select("page_id", "title", "hostname", "text")
+    rec = cut_lineage(P.page_record(pg).select("page_id", "title", "hostname", "text"))     # parsed once, used twice
     sents = G.sentences(rec, id_col="page_id", text_col="text")
     packed = S10.pack(sents.withColumn("type", F.lit("sentence")), "sentences")
     out = rec.join(packed, rec.page_id == packed.doc_id, "left")
@@ -174,7 +173,7 @@ def _tokens(spark, sf):
 
 def _vocab(spark, sf):
     b = table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")
-    return T._ngrams(b, 2, lowercase=False).select(F.col("gram").alias("term")).distinct()
+    return T.ngrams(b, 2).select(F.col("gram").alias("term")).distinct()
 
 
 @query("tokens")
@@ -251,18 +250,28 @@ def q_term_occurrences(spark, sf):
 # ---- entities -------------------------------------------------------------------------
 
 from spantide.operators import entities as N  # noqa: E402
+from spantide.operators import qa as Q  # noqa: E402
 
 
-def _entities(spark, sf):
-    """N1 on documents: the regex rules, and as gazetteer the first two words of each
-    benchmark passage, as titles of works."""
-    s = G.sentences(_docs(spark, sf))
+def _titles(spark, sf):
+    """Gazetteer of works: the first two words of every sentence of the benchmark passages."""
+    b = table(spark, sf, "benchmark").select(F.explode(Q.split_sentences("text")).alias("text"))
     t = F.regexp_extract_all("text", F.lit(T.SK_TOKEN_RE), F.lit(0))
-    title = table(spark, sf, "benchmark").select(t.alias("t")).where(F.size("t") >= 2).select(
-        F.lower(F.array_join(F.slice("t", 1, 2), " ")).alias("term")).distinct()
-    found = D.match_terms(s, title.withColumn("lemma", F.col("term")))
-    titles = N.gazetteer_entities(found, title.withColumn("label", F.lit("WORK_OF_ART")))
-    return N.leftmost_longest(N.rule_entities(s).unionByName(titles))
+    return b.select(t.alias("t")).where(F.size("t") >= 2).select(F.lower(F.array_join(F.slice("t", 1, 2), " ")).alias("term")).distinct()
+
+
+def entity_finder(spark, sf):
+    """N1 as a function of sentences: the regex rules, and the works of the gazetteer."""
+    title = _titles(spark, sf)
+
+    def find(s):
+        found = D.match_terms(s, title.withColumn("lemma", F.col("term")))
+        return N.rule_entities(s).unionByName(N.gazetteer_entities(found, title.withColumn("label", F.lit("WORK_OF_ART"))))
+    return find
+
+
+def _entities(spark, sf):
+    return N.leftmost_longest(entity_finder(spark, sf)(G.sentences(_docs(spark, sf))))
 
 
 @query("entity_rules")
@@ -303,7 +312,6 @@ def q_qa_paragraphs(spark, sf):
 # ---- classification -------------------------------------------------------------------
 
 from spantide.operators import classify as C  # noqa: E402
-from spantide.operators import qa as Q  # noqa: E402
 
 
 @query("clean_text")
@@ -489,3 +497,5 @@ def q_top_terms_per_host(spark, sf):
     """L2 flagship: page main text -> sentences -> terms; top 5 terms per host by
     number of pages (a top-k report: the limit is the feature)."""
     return L.top_terms_per_host(_pages(spark, sf), k=5)
+
+from spantide.plans import catalog_records  # noqa: E402,F401  (registers its queries)

@@ -95,6 +95,15 @@ SELECT host, md5(txt) AS block_md5, count(DISTINCT page_id) AS n_pages
 FROM b WHERE txt <> '' GROUP BY host, md5(txt) HAVING count(DISTINCT page_id) >= 2
 """
 
+ORACLE["main_text"] = f"""
+WITH {P.sql_cut_regions('pages')},
+b AS (SELECT page_id, {P.sql_host('url')} AS host, t.u.text AS text, t.u.link_chars AS link_chars, t.k FROM cut, unnest({P.sql_linked_blocks('html')}) WITH ORDINALITY AS t(u, k)),
+rep AS (SELECT host, text FROM b WHERE text <> '' GROUP BY host, text HAVING count(DISTINCT page_id) >= 2),
+kept AS (SELECT page_id, string_agg(text, chr(10) ORDER BY k) AS text FROM b
+         WHERE text <> '' AND link_chars <= length(text) * 0.5 AND NOT EXISTS (SELECT 1 FROM rep WHERE rep.host = b.host AND rep.text = b.text) GROUP BY page_id)
+SELECT page_id, {P.sql_host('url')} AS host, coalesce(kept.text, '') AS text FROM pages LEFT JOIN kept USING (page_id)
+"""
+
 ORACLE["fingerprint_groups"] = f"""
 SELECT {P.sql_fingerprint('text')} AS fingerprint, count(*) AS n_docs, min(doc_id) AS first_doc_id
 FROM documents GROUP BY 1
@@ -256,6 +265,13 @@ cl AS (SELECT * FROM d1 WHERE regexp_matches(term, {_ql(T.ASCII_RE)})
 sw(lang, word) AS (VALUES {_SW_VALUES}),
 tm AS (SELECT * FROM cl WHERE NOT EXISTS (SELECT 1 FROM sw WHERE sw.lang = cl.lang AND sw.word = lower(cl.term)))"""
 
+
+
+def sql_terms(src: str) -> str:
+    """CTEs up to ``tm`` over the documents ``src`` (doc_id, text, lang)."""
+    return _CANDS_CTE.replace("FROM documents", f"FROM {src}", 1)
+
+
 _TERM_COLS = "doc_id, term, lemma, sent_no, CAST(anchor AS BIGINT) AS anchor, CAST(variant AS INTEGER) AS variant, CAST(n_tokens AS BIGINT) AS n_tokens"
 
 ORACLE["candidate_terms"] = f"WITH {_CANDS_CTE}\nSELECT {_TERM_COLS} FROM cl"
@@ -303,7 +319,7 @@ FROM v CROSS JOIN n LEFT JOIN g ON g.gram = v.term GROUP BY v.term, n.n
 
 # ---- dictionary matching ---------------------------------------------------------------
 
-_C = r"[\p{L}\-_+]"
+_BOUND = r"[\p{L}\-_+]"
 
 _P = r"(?s)[\p{L}\-_+]+|."
 ORACLE["term_occurrences"] = f"""
@@ -322,38 +338,83 @@ hit AS (SELECT win.*, dict.term FROM win JOIN dict ON dict.term = win.text AND d
 SELECT hit.doc_id, hit.sent_no, CAST(sb + rel AS BIGINT) AS "begin", CAST(sb + rel + length(term) AS BIGINT) AS "end",
        term, term AS lemma, 1.0::DOUBLE AS score
 FROM hit JOIN pos ON pos.doc_id = hit.doc_id AND pos.sent_no = hit.sent_no AND pos.n = hit.n
-WHERE NOT regexp_matches(prev, '{_C}$') AND NOT regexp_matches(nxt, '^{_C}')
+WHERE NOT regexp_matches(prev, '{_BOUND}$') AND NOT regexp_matches(nxt, '^{_BOUND}')
 """
 
 
 # ---- entities ---------------------------------------------------------------------------
 
 from spantide.operators import entities as _N  # noqa: E402
+from spantide.operators import qa as _Q  # noqa: E402
 
 _LABEL_CASE = "CASE " + " ".join(f"WHEN regexp_matches(ent, {_ql('^(?:' + r + ')$')}) THEN '{lab}'" for lab, r in _N.RULES) + " END"
-_ENTS = f"""
-WITH s AS ({sql_sentences('documents')}),
+
+
+def sql_rules(s: str = "s") -> str:
+    """CTEs up to ``ru``: the matches of the recognisers in the sentences ``s``."""
+    return f"""
 mk AS (SELECT doc_id, sent_no, "begin" AS sb,
-              string_split(regexp_replace(translate(text, chr(1) || chr(2), '  '), {_ql(_N.RULE_RE)}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM s),
+              string_split(regexp_replace(translate(text, chr(1) || chr(2), '  '), {_ql(_N.RULE_RE)}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM {s}),
 pt AS (SELECT doc_id, sent_no, sb, u.part, u.k FROM mk, unnest(parts) WITH ORDINALITY AS u(part, k)),
 of AS (SELECT *, sb + coalesce(sum(length(part) - CAST(k > 1 AS INTEGER)) OVER (PARTITION BY doc_id, sent_no ORDER BY k
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_at, split_part(part, chr(2), 1) AS ent FROM pt),
 ru AS (SELECT doc_id, sent_no, CAST(pos_at AS BIGINT) AS "begin", CAST(pos_at + length(ent) AS BIGINT) AS "end", ent AS text, {_LABEL_CASE} AS label
-       FROM of WHERE k > 1),
-bt AS (SELECT regexp_extract_all(text, {_ql(T.SK_TOKEN_RE)}) AS t FROM benchmark),
-ti AS (SELECT DISTINCT lower(array_to_string(t[1:2], ' ')) AS term FROM bt WHERE len(t) >= 2),
-pc AS (SELECT doc_id, sent_no, "begin" AS sb, regexp_extract_all(lower(text), '{_P}') AS pcs FROM s),
-wi AS (SELECT doc_id, sent_no, sb, i, array_to_string(pcs[i + 1:i + 3], '') AS text, array_to_string(pcs[1:i], '') AS head,
-              CASE WHEN i > 0 THEN pcs[i] ELSE '' END AS prev, coalesce(pcs[i + 4], '') AS nxt
-       FROM pc, range(0, CAST(len(pcs) AS BIGINT) - 2) AS r(i)
-       WHERE array_to_string(pcs[i + 1:i + 3], '') IN (SELECT term FROM ti)),
-ga AS (SELECT doc_id, sent_no, CAST(sb + length(head) AS BIGINT) AS "begin", CAST(sb + length(head) + length(text) AS BIGINT) AS "end",
-              text, 'WORK_OF_ART' AS label
-       FROM wi WHERE NOT regexp_matches(prev, '{_C}$') AND NOT regexp_matches(nxt, '^{_C}')),
-al AS (SELECT * FROM ru UNION ALL SELECT * FROM ga),
-ah AS (SELECT *, max("end") OVER (PARTITION BY doc_id, sent_no ORDER BY "begin", "end" DESC, label
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM al),
-en AS (SELECT doc_id, sent_no, "begin", "end", text, label FROM ah WHERE ahead IS NULL OR "begin" >= ahead)"""
+       FROM of WHERE k > 1)"""
+
+
+def sql_matches(s: str, terms: str, per_document: bool = False, x: str = "") -> str:
+    """CTEs up to ``ma`` (all names with ``x`` behind): occurrences of the terms (``term``, with ``doc_id`` if per
+    document) in the sentences ``s``, whatever number of pieces each of them has."""
+    own = f"AND di{x}.doc_id = win{x}.doc_id" if per_document else ""
+    here = f"AND ms{x}.doc_id = pc{x}.doc_id" if per_document else ""
+    return f"""
+di{x} AS (SELECT DISTINCT *, len(regexp_extract_all(term, '{_P}')) AS m FROM {terms} WHERE term <> ''),
+ms{x} AS (SELECT DISTINCT {"doc_id, " if per_document else ""}m FROM di{x}),
+pc{x} AS (SELECT doc_id, sent_no, "begin" AS sb, regexp_extract_all(lower(text), '{_P}') AS pcs FROM {s}),
+pp{x} AS (SELECT doc_id, sent_no, u.n, sum(length(u.piece)) OVER (PARTITION BY doc_id, sent_no ORDER BY u.n) - length(u.piece) AS rel
+       FROM pc{x}, unnest(pcs) WITH ORDINALITY AS u(piece, n)),
+win{x} AS (SELECT pc{x}.doc_id, pc{x}.sent_no, sb, i + 1 AS n, m, array_to_string(pcs[i + 1:i + m], '') AS text,
+               CASE WHEN i > 0 THEN pcs[i] ELSE '' END AS prev, coalesce(pcs[i + m + 1], '') AS nxt
+        FROM pc{x} JOIN ms{x} ON true {here}, range(0, CAST(len(pcs) AS BIGINT) - m + 1) AS r(i)),
+ma{x} AS (SELECT win{x}.doc_id, win{x}.sent_no, CAST(sb + rel AS BIGINT) AS "begin", CAST(sb + rel + length(win{x}.text) AS BIGINT) AS "end", di{x}.* {"EXCLUDE (doc_id)" if per_document else ""}
+       FROM win{x} JOIN di{x} ON di{x}.term = win{x}.text AND di{x}.m = win{x}.m {own}
+       JOIN pp{x} ON pp{x}.doc_id = win{x}.doc_id AND pp{x}.sent_no = win{x}.sent_no AND pp{x}.n = win{x}.n
+       WHERE NOT regexp_matches(prev, '{_BOUND}$') AND NOT regexp_matches(nxt, '^{_BOUND}'))"""
+
+
+def sql_leftmost(src: str) -> str:
+    """CTEs up to ``en``: of the entities ``src``, in order of (begin, longest, label), each one that begins where the
+    last kept one has ended. To be used under WITH RECURSIVE."""
+    return f"""
+al AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY "begin", "end" DESC, label) AS rn FROM {src}),
+kept AS (SELECT doc_id, sent_no, rn, "end" FROM al WHERE rn = 1
+         UNION ALL
+         SELECT doc_id, sent_no, rn, "end" FROM (
+           SELECT al.doc_id, al.sent_no, al.rn, al."end", row_number() OVER (PARTITION BY al.doc_id, al.sent_no ORDER BY al.rn) AS f
+           FROM kept JOIN al ON al.doc_id = kept.doc_id AND al.sent_no = kept.sent_no AND al.rn > kept.rn AND al."begin" >= kept."end") z WHERE f = 1),
+en AS (SELECT al.doc_id, al.sent_no, al."begin", al."end", al.text, al.label FROM al JOIN kept USING (doc_id, sent_no, rn))"""
+
+
+def _SPLIT(e):
+    return (f"list_distinct(list_transform(regexp_extract_all({e}, '[^\\n.!?]*[.!?]'), "
+            f"lambda s: regexp_replace(s, '^ +| +\\z', '', 'g')))")
+
+
+# the gazetteer: the first two words of each sentence of the benchmark passages
+TITLES = f"""
+bs AS (SELECT unnest({_SPLIT('text')}) AS sentence FROM benchmark),
+bt AS (SELECT regexp_extract_all(sentence, {_ql(T.SK_TOKEN_RE)}) AS t FROM bs),
+ti AS (SELECT DISTINCT lower(array_to_string(t[1:2], ' ')) AS term FROM bt WHERE len(t) >= 2)"""
+
+
+def sql_entities(s: str = "s") -> str:
+    """CTEs up to ``en``: rules and titles in the sentences ``s``."""
+    return f"""{sql_rules(s)},{TITLES},{sql_matches(s, 'ti')},
+al0 AS (SELECT * FROM ru UNION ALL SELECT doc_id, sent_no, "begin", "end", term, 'WORK_OF_ART' FROM ma),{sql_leftmost("al0")}"""
+
+
+_ENTS = f"""
+WITH RECURSIVE s AS ({sql_sentences('documents')}),{sql_entities()}"""
 ORACLE["entity_rules"] = _ENTS + "\nSELECT * FROM en"
 ORACLE["entity_stats"] = _ENTS + "\nSELECT label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM en GROUP BY label"
 
@@ -472,11 +533,6 @@ SELECT ce.n, ce.ce_loss, b.bce_loss FROM ce, b"""
 
 # ---- questions and answers ---------------------------------------------------------------
 
-def _SPLIT(e):
-    return (f"list_distinct(list_transform(regexp_extract_all({e}, '[^\\n.!?]*[.!?]'), "
-            f"lambda s: regexp_replace(s, '^ +| +\\z', '', 'g')))")
-
-
 ORACLE["qg_sentences"] = f"""
 SELECT doc_id, u.sentence FROM documents, unnest({_SPLIT('text')}) AS u(sentence)"""
 _SEGS = f"""
@@ -541,3 +597,8 @@ a AS (SELECT doc_id, count(*) AS n, string_agg(CAST("begin" AS VARCHAR) || ':' |
                                                ORDER BY "begin", "end") AS spans FROM s GROUP BY doc_id)
 SELECT x.page_id, CAST(coalesce(a.n, 0) AS BIGINT) AS n_sentences, coalesce(a.spans, '') AS spans
 FROM x LEFT JOIN a ON a.doc_id = x.page_id"""
+
+
+from spantide.plans import oracle_records  # noqa: E402
+
+ORACLE.update(oracle_records.ORACLE)
