@@ -56,18 +56,26 @@ def _symbols(c: str) -> str:
     return f"length(regexp_replace({c}, r'[^{SYMBOLS}]+', ''))"
 
 
-def line_verdict(line: str) -> str:
-    """SQL for the rule a line fails (``punctuation``, ``navigation``, ``boilerplate``) or null."""
+MENU_CHARS = "|>/\u00bb\u203a\u00b7\u2022"      # the signs of MENU_SIGN
+
+
+def line_figures(line: str) -> str:
+    """SQL for a struct of what the rules ask of a line, each counted once: words, symbols, and menu
+    signs where there are enough of their characters."""
+    return (f"named_struct('line', {line}, 'words', {_n_words(line)}, "
+            f"'symbols', length({line}) - length(translate({line}, '{SYMBOLS}', '')), "
+            f"'menu', if(length({line}) - length(translate({line}, '{MENU_CHARS}', '')) >= {MENU_SIGNS}, regexp_count({line}, r'{MENU_SIGN}'), 0))")
+
+
+def line_verdict(x: str) -> str:
+    """SQL for the rule that a line with ``line_figures`` fails (``punctuation``, ``navigation``,
+    ``boilerplate``) or null."""
     phrases = "|".join(BOILERPLATE)
     return f"""CASE
-      WHEN {_symbols(line)} * {SYMBOL_PER_WORDS} > {_n_words(line)} AND
-           regexp_count({line}, r'{MENU_SIGN}') >= {MENU_SIGNS} AND
-           {_n_words(line)} <= {MENU_WORDS_PER_SIGN} * regexp_count({line}, r'{MENU_SIGN}') THEN 'navigation'
-      WHEN {_symbols(line)} * {SYMBOL_PER_WORDS} > {_n_words(line)} THEN 'punctuation'
-      WHEN regexp_count({line}, r'{MENU_SIGN}') >= {MENU_SIGNS} AND
-           {_n_words(line)} <= {MENU_WORDS_PER_SIGN} * regexp_count({line}, r'{MENU_SIGN}') THEN 'navigation'
-      WHEN NOT {line} RLIKE r'{PROSE_MARKS}' AND {_n_words(line)} >= {UNPUNCTUATED_WORDS} THEN 'punctuation'
-      WHEN lower({line}) RLIKE r'\\b({phrases})\\b' AND {_n_words(line)} <= {BOILERPLATE_WORDS} THEN 'boilerplate'
+      WHEN {x}.menu >= {MENU_SIGNS} AND {x}.words <= {MENU_WORDS_PER_SIGN} * {x}.menu THEN 'navigation'
+      WHEN {x}.symbols * {SYMBOL_PER_WORDS} > {x}.words THEN 'punctuation'
+      WHEN {x}.words >= {UNPUNCTUATED_WORDS} AND NOT {x}.line RLIKE r'{PROSE_MARKS}' THEN 'punctuation'
+      WHEN {x}.words <= {BOILERPLATE_WORDS} AND lower({x}.line) RLIKE r'\\b({phrases})\\b' THEN 'boilerplate'
       END"""
 
 
@@ -96,8 +104,10 @@ def quality(docs: DataFrame, text_col: str = "text", max_loss_percent: int = MAX
                 lines=F.split("text", "\n", -1))
     d = barrier(d, "row", "text", "words", "lines",
                 pairs=F.expr(_PAIRS),
-                verdicts=F.expr(f"transform(lines, l -> {line_verdict('l')})"),
-                worded=F.expr(rf"filter(lines, l -> l RLIKE r'{_BLANKS}')"))
+                figures=F.expr(f"transform(lines, l -> {line_figures('l')})"))
+    d = barrier(d, "row", "text", "words", "lines", "pairs",
+                verdicts=F.expr(f"transform(figures, x -> {line_verdict('x')})"),
+                worded=F.expr("transform(filter(figures, x -> x.words > 0), x -> x.line)"))
     d = barrier(d, "row", "text", "words", "lines", "verdicts", "worded", win=F.expr(_SORTED))
     d = barrier(d, "row", "text", "words", "lines", "verdicts", "worded", hits=F.expr(_HITS),
                 failed=F.expr("filter(zip_with(lines, verdicts, (l, v) -> struct(l AS line, v AS rule)), x -> x.rule IS NOT NULL)"))
