@@ -312,6 +312,7 @@ def q_qa_paragraphs(spark, sf):
 # ---- classification -------------------------------------------------------------------
 
 from spantide.operators import classify as C  # noqa: E402
+from spantide.operators import linear as LR  # noqa: E402
 
 
 @query("clean_text")
@@ -479,17 +480,20 @@ def q_feed_batches(spark, sf):
 
 @query("classifier_lr")
 def q_classifier_lr(spark, sf):
-    """Clean (C1) -> drop empty (C3) -> stratified split (C4) -> class weights
-    (C6/C7) -> MLlib logistic regression (C9) -> predictions on the hold-out (C10)."""
-    d = (_docs(spark, sf).join(table(spark, sf, "labels"), "doc_id")
-         .select("doc_id", C.clean_text("text").alias("text"), F.col("quality").alias("label"))
-         .where(F.col("text") != ""))
-    d = C.stratified_split(d, "label", "doc_id")
-    d = C.sample_weights(d, "label")
-    model = C.train_linear(d.where(~F.col("is_val")), weight_col="weight", num_features=1 << 16, max_iter=10)
-    p = C.predict(model, d.where("is_val"))
-    return p.select("doc_id", F.col("label").cast("long").alias("label"), F.col("pred").cast("long").alias("pred"),
-                    F.col("proba")[1].alias("proba_1"))
+    """Clean (C1) -> drop empty (C3) -> stratified split (C4) -> positive weights
+    -> logistic regression (C9) -> predictions on the hold-out (C10)."""
+    d = C.stratified_split(_labelled_texts(spark, sf).where(F.col("text") != ""), "quality", "doc_id")
+    d = cut_lineage(d)
+    model = LR.train_texts(d.where(~F.col("is_val")), "doc_id", ["quality"])
+    val = d.where("is_val")
+    p = LR.predict_texts(val, model, "doc_id").select(F.col("doc_id").alias("id"), F.col("proba")[0].alias("proba_1"))
+    return val.join(p, F.col("doc_id") == F.col("id")).select(
+        "doc_id", F.col("quality").cast("long").alias("label"), (F.col("proba_1") >= 0.5).cast("long").alias("pred"), "proba_1")
+
+
+def _labelled_texts(spark, sf):
+    return (_docs(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+            .select("doc_id", C.clean_text("text").alias("text"), "quality", "toxic"))
 
 
 @query("top_terms_per_host")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from spantide.operators import choices as QC
 from spantide.operators import classify as C
 from spantide.operators import induction as I
+from spantide.operators import linear as LR
 from spantide.operators import sampling as S
 from spantide.operators import terms as T
 from spantide.plans import pipelines as L
-from spantide.plans.catalog import _conv_pairs, _docs, _pages, _tokens, entity_finder, query
+from spantide.plans.catalog import _conv_pairs, _docs, _labelled_texts, _pages, _tokens, entity_finder, query
+from spantide.session import cut_lineage
 from spantide.sources.tables import table
 
 
@@ -87,3 +89,25 @@ def q_spelled_terms(spark, sf):
 def q_induced_gazetteer(spark, sf):
     """Names of persons, organisations and places, from the contexts that they stand in."""
     return I.induce(I.name_runs(_tokens(spark, sf)), min_score=I.ONE // 50)
+
+
+@query("multilabel_predictions")
+def q_multilabel_predictions(spark, sf):
+    """C5 -> C8 -> C9 -> C11 -> C12: both labels of the hold-out, trained from one feature table; texts that are empty after
+    cleaning keep their place with label 0 and probability -1."""
+    d = cut_lineage(S.multilabel_split(_labelled_texts(spark, sf), ["quality", "toxic"], "doc_id"))
+    model = LR.train_texts(d.where(~F.col("is_val") & (F.col("text") != "")), "doc_id", ["quality", "toxic"])
+    val = d.where("is_val")
+    p = LR.predict_texts(val, model, "doc_id").withColumnRenamed("doc_id", "id")
+    x = val.join(p, F.col("doc_id") == F.col("id"))
+    for j, c in enumerate(("quality", "toxic")):
+        x = x.withColumn(f"proba_{c}", F.col("proba")[j]).withColumn(f"pred_{c}", (F.col("proba")[j] >= 0.5).cast("long"))
+        x = C.with_empty_defaults(x, "text", f"pred_{c}", [f"proba_{c}"])
+    exact = (F.col("pred_quality") == F.col("quality")) & (F.col("pred_toxic") == F.col("toxic"))
+    return x.select("doc_id", "quality", "toxic", "pred_quality", "pred_toxic", "proba_quality", "proba_toxic", exact.cast("long").alias("exact"))
+
+
+@query("training_rejects")
+def q_training_rejects(spark, sf):
+    """Labelled texts that are empty after cleaning, which training leaves out."""
+    return _labelled_texts(spark, sf).where(F.col("text") == "").select("doc_id", "quality", "toxic")

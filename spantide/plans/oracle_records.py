@@ -149,3 +149,9 @@ sc AS (SELECT lang, side, context, label, {_I.ONE} AS score FROM sd0 UNION ALL S
 r2 AS (SELECT ed.lang, ed.run, label, sum(n * score) // any_value(total) AS score, any_value(total) AS n FROM ed JOIN sc USING (lang, side, context) JOIN tot USING (lang, run) GROUP BY ed.lang, ed.run, label),
 bs AS (SELECT *, row_number() OVER (PARTITION BY lang, run ORDER BY score DESC, label) AS k FROM r2)
 SELECT lang, run, label, CAST(score AS BIGINT) AS score, CAST(n AS BIGINT) AS n FROM bs WHERE k = 1 AND n >= 2 AND score >= {_I.ONE // 50}"""
+
+
+# ---- C3 ---------------------------------------------------------------------------------------
+
+ORACLE["training_rejects"] = f"""
+SELECT doc_id, quality, toxic FROM labels JOIN documents USING (doc_id) WHERE {O._sql_clean('text')} = ''"""
