@@ -12,8 +12,10 @@ from spantide.operators import sampling as S
 from spantide.operators import terms as T
 from spantide.plans import pipelines as L
 from spantide.plans.catalog import _conv_pairs, _docs, _labelled_texts, _pages, _tokens, entity_finder, query
-from spantide.session import cut_lineage
+from spantide.session import cut_lineage, scratch_path
+from spantide.sources import files as FS
 from spantide.sources.tables import table
+from spantide.streaming import feed as L7
 
 
 def _listed(choices: str):
@@ -111,3 +113,20 @@ def q_multilabel_predictions(spark, sf):
 def q_training_rejects(spark, sf):
     """Labelled texts that are empty after cleaning, which training leaves out."""
     return _labelled_texts(spark, sf).where(F.col("text") == "").select("doc_id", "quality", "toxic")
+
+
+@query("page_feed")
+def q_page_feed(spark, sf):
+    """Pages written as crawl files and streamed through L1-L4; what the sinks hold afterwards."""
+    base = scratch_path(spark, "page-feed")
+    FS.write_crawl(_pages(spark, sf), f"{base}/in")
+    L7.run_page_feed(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", marker=",")
+    read = {k: spark.read.parquet(f"{base}/out/{k}") for k in ("records", "annotations", "contacts", "questions")}
+
+    def rows(sink, df, page, place, text):
+        return df.select(F.lit(sink).alias("sink"), F.col(page).alias("page_id"), F.col(place).cast("long").alias("place"), text.alias("text"))
+    out = rows("records", read["records"].withColumn("n", F.length("text")), "page_id", "n", F.col("title"))
+    for sink in ("contacts", "questions"):
+        out = out.unionByName(rows(sink, read[sink], "doc_id", "span_no", F.col("content_context")))
+    a = read["annotations"].withColumn("sink", F.col("type"))
+    return out.unionByName(a.select("sink", F.col("doc_id").alias("page_id"), F.col("begin").alias("place"), F.concat_ws("|", "value", "label").alias("text")))

@@ -155,3 +155,18 @@ SELECT lang, run, label, CAST(score AS BIGINT) AS score, CAST(n AS BIGINT) AS n
 
 ORACLE["training_rejects"] = f"""
 SELECT doc_id, quality, toxic FROM labels JOIN documents USING (doc_id) WHERE {O._sql_clean('text')} = ''"""
+
+
+# ---- L7 ---------------------------------------------------------------------------------------
+
+ORACLE["page_feed"] = f"""
+SELECT 'records' AS sink, page_id, CAST(length({P.sql_main_text_tags('html')}) AS BIGINT) AS place, {P.sql_title('html')} AS text FROM pages
+UNION ALL SELECT 'contacts', doc_id, span_no, content_context FROM ({O.ORACLE['contact_paragraphs']}) c
+UNION ALL SELECT 'questions', doc_id, span_no, content_context FROM ({O.ORACLE['qa_paragraphs']}) q
+UNION ALL SELECT * FROM ({_PAGE_TERMS},
+own AS (SELECT doc_id, lower(term) AS term, arg_min(lower(lemma), (sent_no, anchor, variant)) AS lemma FROM tm GROUP BY doc_id, lower(term)),
+{O.sql_matches('s', 'own', per_document=True)},
+{O.sql_rules('s')},{O.sql_leftmost('ru')}
+SELECT 'sentence' AS sink, doc_id AS page_id, "begin" AS place, '' AS text FROM s
+UNION ALL SELECT 'token', doc_id, "begin", term || '|' || lemma FROM ma
+UNION ALL SELECT 'entity', doc_id, "begin", text || '|' || label FROM en) a"""
