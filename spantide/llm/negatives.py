@@ -150,6 +150,36 @@ def _wide(q, qid, qlabel, x, xid, xlabel, windows, same):
     return tuple(np.concatenate(f) for f in zip(*out, strict=True))
 
 
+def _windows(data: bytes, anchors: int):
+    """Windows of a block of anchors as (anchors, windows, 2); without any given, one without ends."""
+    import numpy as np
+    if not data:
+        return np.broadcast_to(np.array([-np.inf, np.inf]), (anchors, 1, 2))
+    return V.unpacked(data).reshape(anchors, -1, 2).astype("float64")
+
+
+def _best(q, qid, qlabel, packed_tree, windows, least, k: int, same: bool):
+    """(anchor, window, id, score) of the ``k`` best rows of a packed tree in each window."""
+    x, xid, xlabel, ends = V.unpacked(packed_tree["x"]), *(V.unpacked(packed_tree[c])[:, 0] for c in ("xid", "xlabel", "ends"))
+    q, x = V.same_width(q, x)
+    if V.exact_in_doubles(q, x):
+        a, w, r, s = search_tree(q.astype("float64"), qid, qlabel, (x.astype("float64"), xid, xlabel, ends), windows, least, k, same)
+    else:
+        a, w, r, s = _wide(q, qid, qlabel, x, xid, xlabel, windows, same)
+    place, _ = V.best_of(a * windows.shape[1] + w, s, xid[r], k)
+    return a[place], w[place], xid[r[place]], s[place]
+
+
+def _tops(shape, a, w, s):
+    """Scores of ``_best`` by anchor and window, missing ones minus infinity."""
+    import numpy as np
+    top = np.full(shape, -np.inf)
+    group = a * shape[1] + w
+    _, rank = V.best_of(group, s, np.zeros(len(s)), shape[2])
+    top[a, w, rank] = s
+    return top
+
+
 def pack_trees(rows: DataFrame, name: str = "trees") -> DataFrame:
     """Written trees of ``rows`` (id, label, v): slabs by the first component, runs by the second."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -166,43 +196,41 @@ def best_in_windows(trees: DataFrame, anchors: DataFrame, k: int, same: bool, n_
         import numpy as np
         q, ids = V.matrix(run.column("v").combine_chunks()), run.column("id").to_numpy()
         w = V.matrix(run.column("windows").combine_chunks()) if "windows" in run.column_names else None
-        out = {"q": V.packed(q), "qid": V.packed(ids[:, None]), "qlabel": V.packed(run.column("label").to_numpy()[:, None]),
-               "anchor": V.packed(run.column("anchor").to_numpy()[:, None]), "windows": b""}
+        labels = run.column("label").to_numpy()
+        out = {"q": V.packed(q), "qid": V.packed(ids[:, None]), "qlabel": V.packed(labels[:, None]),
+               "anchor": V.packed(run.column("anchor").to_numpy()[:, None]), "windows": b"", "floor": b""}
         if w is not None:
             # no window: a lowest score above the highest
             sizes = run.column("windows").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
             gone = np.arange(w.shape[1])[None, :] >= sizes[:, None]
             w[gone] = np.broadcast_to(np.arange(w.shape[1])[None, :] % 2 == 0, w.shape)[gone]
             out["windows"] = V.packed(w)
+        # anchors are rows too: their k-th best among themselves is a first threshold
+        ends_w = _windows(out["windows"], len(q))
+        if ends_w.shape[1] and V.exact_in_doubles(q, q):
+            a, g, _, s = _best(q, ids, labels, _tree(run), ends_w, np.full((len(q), ends_w.shape[1]), -np.inf), k, same)
+            out["floor"] = _tops((len(q), ends_w.shape[1], k), a, g, s).min(axis=2).astype("<f8").tobytes()
         return out
-    ask.columns = ("q", "qid", "qlabel", "anchor", "windows")
+    ask.columns = ("q", "qid", "qlabel", "anchor", "windows", "floor")
 
     def step(row, state):
         import numpy as np
-        q, qid, qlabel, anchor = (V.unpacked(row[c]) if c == "q" else V.unpacked(row[c])[:, 0] for c in ("q", "qid", "qlabel", "anchor"))
-        x, xid, xlabel, ends = (V.unpacked(row[c]) if c == "x" else V.unpacked(row[c])[:, 0] for c in ("x", "xid", "xlabel", "ends"))
-        q, x = V.same_width(q, x)
-        windows = V.unpacked(row["windows"]).reshape(len(q), -1, 2).astype("float64") if row["windows"] else \
-            np.broadcast_to(np.array([-np.inf, np.inf]), (len(q), 1, 2))
+        q, qid, qlabel, anchor = V.unpacked(row["q"]), *(V.unpacked(row[c])[:, 0] for c in ("qid", "qlabel", "anchor"))
+        windows = _windows(row["windows"], len(q))
         if not windows.shape[1]:
             return None
         top = state.setdefault(row["block"], np.full((len(q), windows.shape[1], k), -np.inf))
-        if V.exact_in_doubles(q, x):
-            a, w, r, s = search_tree(q.astype("float64"), qid, qlabel, (x.astype("float64"), xid, xlabel, ends), windows, top.min(axis=2), k, same)
-        else:
-            a, w, r, s = _wide(q, qid, qlabel, x, xid, xlabel, windows, same)
-        group = a * windows.shape[1] + w
-        place, rank = V.best_of(group, s, xid[r], k)
-        a, w, r, s = a[place], w[place], r[place], s[place]
-        mine = np.full(top.shape, -np.inf)
-        mine[a, w, rank] = s
-        state[row["block"]] = np.sort(np.concatenate([top, mine], axis=2), axis=2)[..., -k:]
-        return {"anchor": anchor[a], "window": w, "id": xid[r], "score": s}
+        least = top.min(axis=2)
+        if row["floor"]:
+            least = np.maximum(least, np.frombuffer(row["floor"], "<f8").reshape(least.shape))
+        a, w, ids, s = _best(q, qid, qlabel, row, windows, least, k, same)
+        state[row["block"]] = np.sort(np.concatenate([top, _tops(top.shape, a, w, s)], axis=2), axis=2)[..., -k:]
+        return {"anchor": anchor[a], "window": w, "id": ids, "score": s}
 
     cols = ["id", "label", "v", "anchor"] + ["windows"] * ("windows" in anchors.columns)
     asked = materialise(V.query_blocks(anchors.select(*cols), n_anchors, ask), "anchors")
     return V.search(V.meet(trees, asked), "anchor long, window long, id long, score long", step,
-                    ("x", "xid", "xlabel", "ends", "q", "qid", "qlabel", "anchor", "windows", "block"))
+                    ("x", "xid", "xlabel", "ends", "q", "qid", "qlabel", "anchor", "windows", "floor", "block"))
 
 
 def hard_negatives(rows: DataFrame, is_anchor, positives: int, negatives: int, lowest: int, highest: int) -> DataFrame:
