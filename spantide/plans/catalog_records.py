@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from spantide.operators import choices as QC
 from spantide.operators import classify as C
+from spantide.operators import entities as N
 from spantide.operators import induction as I
 from spantide.operators import linear as LR
 from spantide.operators import sampling as S
+from spantide.operators import segment as G
 from spantide.operators import terms as T
 from spantide.plans import pipelines as L
-from spantide.plans.catalog import _conv_pairs, _docs, _labelled_texts, _pages, _tokens, entity_finder, query
+from spantide.plans.catalog import _bench_dictionary, _conv_pairs, _docs, _labelled_texts, _pages, _tokens, entity_finder, q_term_occurrences, query
 from spantide.session import cut_lineage, scratch_path
+from spantide.sources import annotations as S10
 from spantide.sources import files as FS
 from spantide.sources.tables import table
 from spantide.streaming import feed as L7
@@ -130,3 +133,21 @@ def q_page_feed(spark, sf):
         out = out.unionByName(rows(sink, read[sink], "doc_id", "span_no", F.col("content_context")))
     a = read["annotations"].withColumn("sink", F.col("type"))
     return out.unionByName(a.select("sink", F.col("doc_id").alias("page_id"), F.col("begin").alias("place"), F.concat_ws("|", "value", "label").alias("text")))
+
+
+@query("scored_occurrences")
+def q_scored_occurrences(spark, sf):
+    """T16 with T15: every occurrence of the dictionary's terms, scored by the term's idf in the corpus."""
+    idf = T.term_idf(_docs(spark, sf), _bench_dictionary(spark, sf), 2).select(F.col("term").alias("_t"), F.round("idf", 6).alias("idf"))
+    occ = q_term_occurrences(spark, sf).drop("score")
+    return occ.join(idf, F.col("term") == F.col("_t")).drop("_t").withColumnRenamed("idf", "score")
+
+
+@query("stored_annotations")
+def q_stored_annotations(spark, sf):
+    """The annotations of pages (L2), packed per document and type, written, and two of the types read back."""
+    path = scratch_path(spark, "annotations")
+    rec = cut_lineage(L.page_texts(_pages(spark, sf)))
+    a = L.term_annotations(G.sentences(rec, id_col="page_id", keep=("lang",)), N.rule_entities)
+    S10.write(S10.pack(a), path)
+    return S10.read(spark, path, "sentence").unionByName(S10.read(spark, path, "entity"))

@@ -170,3 +170,15 @@ own AS (SELECT doc_id, lower(term) AS term, arg_min(lower(lemma), (sent_no, anch
 SELECT 'sentence' AS sink, doc_id AS page_id, "begin" AS place, '' AS text FROM s
 UNION ALL SELECT 'token', doc_id, "begin", term || '|' || lemma FROM ma
 UNION ALL SELECT 'entity', doc_id, "begin", text || '|' || label FROM en) a"""
+
+
+# ---- T16, S10 ------------------------------------------------------------------------------------
+
+ORACLE["scored_occurrences"] = f"""
+SELECT o.* EXCLUDE (score), i.idf AS score FROM ({O.ORACLE['term_occurrences']}) o
+JOIN ({O.ORACLE['term_idf'].replace('SELECT DISTINCT gram AS term', 'SELECT DISTINCT lower(gram) AS term', 1).replace("range(1, 2 + 1)", "range(2, 2 + 1)", 1)}) i USING (term)"""
+ORACLE["stored_annotations"] = f"""
+WITH RECURSIVE {_PAGES}, sd AS (SELECT * FROM pg WHERE lang IN {O._SUPPORTED}),
+s AS ({O.sql_sentences('sd')}),{O.sql_rules('s')},{O.sql_leftmost('ru')}
+SELECT doc_id, 'sentence' AS type, "begin", "end", CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS label FROM s
+UNION ALL SELECT doc_id, 'entity', "begin", "end", text, label FROM en"""
