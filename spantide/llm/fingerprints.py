@@ -6,13 +6,14 @@ the term and the place; its weight w is cut to the step t = floor(ln w / r + b),
 with the smallest c / exp(r (t - b + 1)) gives the place its sample (term, t). Two texts agree in
 a place with a probability equal to the generalised Jaccard similarity of their weights, the sum
 of the smaller over the sum of the larger counts; ``likeness`` is the share of places in which
-they agree. A sample is stored as 64 bits: 40 of the logarithm, 23 of a hash of (term, t).
+they agree. A sample is found as the smallest of 64-bit numbers, 32 bits of a logarithm above 32 of a
+hash of (term, t), and kept as these lower 32 bits.
 
 Plan: the order of documents comes from ids alone, range-partitioned and written; only the first
 id of each range, a row per partition, is looked at across ranges. Texts are shuffled by document:
 one exchange serves the join that cuts the next document's beginning and the join that brings it
 to its document. Words are counted and samples taken behind that join, by the same partitioning,
-in hash aggregates that need no further exchange. Rows equal in id and text are not made distinct
+in hash aggregates that need no further exchange; a word is counted in both versions at once. Rows equal in id and text are not made distinct
 (that would sort texts); their number divides the counts instead.
 
 Defined results: a null text is empty; a text without words has empty samples, and two such texts
@@ -23,31 +24,34 @@ a hash of the text; null ids come last; a single document is its own next docume
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spantide.llm.common import materialise
 
-SAMPLES = 64
+SAMPLES, GROUP = 64, 32
 PARTS = 4       # times the session's shuffle partitions
-_BITS = 25
-_MARK = "\x00 "      # no word holds a space
+_BITS = 14      # of the four uniform numbers of a draw; what is left of 64 bits is the fifth
 
 
 def _uniform(bits: Column, at: int, n: int = _BITS) -> Column:
     return (F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(0.5)) * F.lit(2.0 ** -n)
 
 
-def sample_key(term: Column, weight: Column, place: int) -> Column:
-    """The place's value for one weighted term; the smallest over the terms is the sample."""
-    one, two = F.xxhash64(term, F.lit(2 * place)), F.xxhash64(term, F.lit(2 * place + 1))
-    r = -F.ln(_uniform(one, 0) * _uniform(one, _BITS))
-    c = -F.ln(_uniform(two, 0) * _uniform(two, _BITS))
-    b = _uniform(one, 2 * _BITS, 14) + (_uniform(two, 2 * _BITS, 14) - F.lit(0.5)) * F.lit(2.0 ** -14)
-    t = F.floor(F.ln(weight) / r + b)
-    log_a = F.ln(c) - r * (t - b + F.lit(1.0))
-    return (F.floor((log_a + F.lit(100.0)) * F.lit(2.0 ** 33)) * F.lit(1 << 23)
-            + F.xxhash64(term, t).bitwiseAND(F.lit((1 << 23) - 1)))
+def sample_key(term: Column, log_weight: Column, place: Column) -> Column:
+    """The place's value for one weighted term, null for a null weight; the smallest over the terms gives the
+    sample, its lower 32 bits. What does not depend on the weight is the same expression for every
+    version of a text, and so is evaluated once."""
+    bits = F.xxhash64(term, place)
+    r = -F.ln(_uniform(bits, 0) * _uniform(bits, _BITS))
+    log_c = F.ln(-F.ln(_uniform(bits, 2 * _BITS) * _uniform(bits, 3 * _BITS)))
+    b = _uniform(bits, 4 * _BITS, 64 - 4 * _BITS)
+    t = F.floor(log_weight / r + b)
+    log_a = log_c - r * (t - b + F.lit(1.0))
+    low = F.lit((1 << 32) - 1)         # the term is a hash already, so that (term, t) needs no further one
+    return F.floor((log_a + F.lit(100.0)) * F.lit(2.0 ** 24)) * F.lit(1 << 32) + (term.bitwiseAND(low) + t * F.lit(0x9E3779B1)).bitwiseAND(low)
 
 
 def next_documents(ids: DataFrame) -> DataFrame:
@@ -97,26 +101,33 @@ def sampled(docs: DataFrame, id_col: str, text_col: str, samples: int) -> tuple[
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
     order = materialise(next_documents(d.select("id", "tk", F.char_length("text").cast("long").alias("n_chars"))), "next")
     e = edited_texts(d, order)
-    both = F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("t")),
-                             F.struct(F.lit(1).alias("version"), F.col("edited").alias("t"))))
-    # the last word of each edited text is a mark with the text's digest, in four numbers, which go along as maxima
-    words = F.split("v.t", r"[\x20\x09-\x0D]+", -1)
-    v = e.select("k", "copies", both.alias("v")).select(
-        "k", "copies", "v.version", F.explode(F.when(F.col("v.version") == 0, words).otherwise(
-            F.concat(words, F.array(F.concat(F.lit(_MARK), F.sha2("v.t", 256)))))).alias("word"))
-    mark = F.col("word").startswith(_MARK) & (F.col("version") == 1)
-    v = v.select("k", "copies", "version", F.when((F.col("word") != "") & ~mark, F.xxhash64("word")).alias("term"), *[
-        F.when(mark, F.conv(F.substring("word", 1 + len(_MARK) + 16 * k, 16), 16, -10).cast("long")).alias(f"d{k}") for k in range(4)])
-    digest = [F.max(f"d{k}").alias(f"d{k}") for k in range(4)]
-    terms = v.groupBy("k", "copies", "version", "term").agg(F.count(F.lit(1)).alias("n"), *digest)
-    terms = terms.withColumn("w", F.col("n") / F.col("copies"))
-    s = terms.groupBy("k", "version").agg(*[
-        F.min(F.when(F.col("term").isNotNull(), sample_key(F.col("term"), F.col("w"), k))).alias(f"s{k}") for k in range(samples)], *digest)
-    sample = F.when(F.col("s0").isNull(), F.array().cast("array<bigint>")).otherwise(F.array(*[f"s{k}" for k in range(samples)]))
-    sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{k}"), 16, "0") for k in range(4)]))
-    s = s.select("k", F.when(F.col("version") == 0, sample).alias("sample"), F.when(F.col("version") == 1, sample).alias("edited_sample"),
-                 F.when(F.col("version") == 1, sha).alias("sha"))
-    s = s.groupBy("k").agg(F.max("sample").alias("sample"), F.max("edited_sample").alias("edited_sample"), F.max("sha").alias("edited_sha256"))
+    # words of both versions one after the other, so that a word's draws serve both, and behind them the digest in four parts
+    split = lambda c: F.split(c, r"[\x20\x09-\x0D]+", -1)
+    e = e.select("k", "copies", split("text").alias("a"), split("edited").alias("b"), F.sha2("edited", 256).alias("sha"))
+    parts = F.array(*[F.substring("sha", 1 + 16 * n, 16) for n in range(4)])
+    v = e.select("k", "copies", F.size("a").alias("at"), F.size("b").alias("more"), F.posexplode(F.concat("a", "b", parts)).alias("i", "word"))
+    kind = F.when(F.col("i") < F.col("at"), 0).when(F.col("i") < F.col("at") + F.col("more"), 1).otherwise(2 + F.col("i") - F.col("at") - F.col("more"))
+    v = v.select("k", "copies", "word", kind.alias("kind")).where((F.col("kind") > 1) | (F.col("word") != ""))
+    v = v.select("k", "copies", "kind", F.when(F.col("kind") < 2, F.xxhash64("word")).otherwise(F.conv("word", 16, -10).cast("long")).alias("x"))
+    part = F.greatest(F.lit(0), F.col("kind") - 1)              # 0: a word; 1 to 4: a quarter of the digest
+    terms = v.groupBy("k", "copies", part.alias("part"), F.col("x").alias("term")).agg(
+        F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("n1"))
+    weight = lambda n: F.when((F.col("part") == 0) & (F.col(n) > 0), F.ln(F.col(n) / F.col("copies")))
+    # places in groups, as an aggregate of more columns is not compiled as one
+    many = math.gcd(samples, GROUP)
+    terms = terms.select("k", "part", "term", weight("n0").alias("w0"), weight("n1").alias("w1"),
+                         F.explode(F.sequence(F.lit(0), F.lit(samples - many), F.lit(many))).alias("base"))
+    s = terms.groupBy("k", "base").agg(*[F.min(sample_key(F.col("term"), F.col(f"w{y}"), F.col("base") + n)).alias(f"s{y}_{n}")
+                                         for n in range(many) for y in (0, 1)],
+                                       *[F.max(F.when(F.col("part") == n + 1, F.col("term"))).alias(f"d{n}") for n in range(4)])
+
+    def lower(y):
+        bits = [(F.col(f"s{y}_{n}").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int") for n in range(many)]
+        return F.when(F.col(f"s{y}_0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*bits)).alias(f"a{y}")
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{n}"), 16, "0") for n in range(4)]))
+    s = s.select("k", "base", lower(0), lower(1), sha.alias("sha"))
+    s = s.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("base", "a0", "a1"))).alias("g"), F.max("sha").alias("edited_sha256"))
+    s = s.select("k", F.flatten("g.a0").alias("sample"), F.flatten("g.a1").alias("edited_sample"), "edited_sha256")
     return order, materialise(s, "samples")
 
 
@@ -136,7 +147,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def as_text(sample: str) -> Column:
-    return F.array_join(F.transform(sample, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    return F.array_join(F.transform(sample, lambda x: F.lpad(F.hex(x.cast("long") + F.lit(1 << 31)), 8, "0")), "")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

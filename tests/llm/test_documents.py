@@ -124,7 +124,7 @@ def test_mixing_comes_near_its_targets(sf_docs, odd):
     m = mixing.mix(sf_docs).groupBy("row.source", "target").agg(
         F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("size").alias("largest"), F.max("copies").alias("copies")).collect()
     for r in m:
-        assert abs(r.taken - r.target) <= 2 * r.largest and r.copies <= 3
+        assert abs(r.taken - r.target) <= max(0.5 * r.largest, 1e-6) and r.copies <= 3
     assert mixing.mix(odd).count() == odd.count()
     assert spark_rows(mixing.mix(odd).select("row.doc_id", "copies")) == spark_rows(mixing.mix(odd.repartition(3)).select("row.doc_id", "copies"))
 
@@ -322,7 +322,7 @@ def test_fingerprint_rate_is_weighted_jaccard(spark):
     b = {w: a[w] if k % 2 and w in a else rng.randint(1, 9) for k, w in enumerate(words)}
     rows = [(k, w, float(x[w])) for k, x in enumerate((a, b)) for w in words if x.get(w)]
     df = spark.createDataFrame(rows, "id int, w string, n double").withColumn("term", F.xxhash64("w"))
-    s = df.groupBy("id").agg(*[F.min(fingerprints.sample_key(F.col("term"), F.col("n"), k)).alias(f"s{k}") for k in range(60)])
+    s = df.groupBy("id").agg(*[F.min(fingerprints.sample_key(F.col("term"), F.ln("n"), F.lit(k))).alias(f"s{k}") for k in range(60)])
     hits, x, y = 0, *[list(r)[1:] for r in s.orderBy("id").collect()]
     hits = sum(p == q for p, q in zip(x, y)) / len(x)
     true = sum(min(a.get(w, 0), b.get(w, 0)) for w in words) / sum(max(a.get(w, 0), b.get(w, 0)) for w in words)
