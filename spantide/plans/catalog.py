@@ -254,8 +254,8 @@ from spantide.operators import qa as Q  # noqa: E402
 
 
 def _titles(spark, sf):
-    """Gazetteer of works: the first two words of every sentence of the benchmark passages."""
-    b = table(spark, sf, "benchmark").select(F.explode(Q.split_sentences("text")).alias("text"))
+    """Gazetteer of works: the first two words of every sentence of the benchmark passages, whole passages."""
+    b = table(spark, sf, "benchmark").select(F.explode(F.split("text", r"[\n.!?]+", -1)).alias("text"))
     t = F.regexp_extract_all("text", F.lit(T.SK_TOKEN_RE), F.lit(0))
     return b.select(t.alias("t")).where(F.size("t") >= 2).select(F.lower(F.array_join(F.slice("t", 1, 2), " ")).alias("term")).distinct()
 

@@ -402,7 +402,7 @@ def _SPLIT(e):
 
 # the gazetteer: the first two words of each sentence of the benchmark passages
 TITLES = f"""
-bs AS (SELECT unnest({_SPLIT('text')}) AS sentence FROM benchmark),
+bs AS (SELECT unnest(regexp_split_to_array(text, '[\\n.!?]+')) AS sentence FROM benchmark),
 bt AS (SELECT regexp_extract_all(sentence, {_ql(T.SK_TOKEN_RE)}) AS t FROM bs),
 ti AS (SELECT DISTINCT lower(array_to_string(t[1:2], ' ')) AS term FROM bt WHERE len(t) >= 2)"""
 
