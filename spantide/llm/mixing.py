@@ -3,7 +3,10 @@
 Each source is a queue of its documents in a fixed shuffled order, repeated for up to
 ``max_epochs`` epochs. A document's virtual finish time is the cumulative size of its
 source up to and with it, divided by the source's target. All queues are merged in order
-of finish time and the merged stream is cut at the total budget.
+of finish time and the merged stream is cut at the total budget. Queues are served fairly, so each has
+about its target by then; but documents are whole, and one that is large for its source's target holds back its queue
+while others run on. So each source then ends at that place of its queue, before or behind the cut, at which it
+is nearest to its target (the earlier of two).
 
 Targets share the budget by weight; a source is limited to ``max_epochs`` times its own
 size, and the excess is shared again by weight until none is above (a water level over the
@@ -84,12 +87,13 @@ def queue(measured: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bi
                  F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"))
     finish = F.when(F.col("target") == 0, F.col("epoch").cast("double")).otherwise(
         (F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target"))
+    # no source ends behind twice its target: without any document it would be nearer
     return m.withColumn("finish", finish).where((F.col("finish") <= 2.0) & ((F.col("target") > 0) | (F.col("epoch") == 0)))
 
 
 def cut(q: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(source, epoch, last_key): up to which key the merged stream takes each epoch of a
-    source before the total budget runs out."""
+    """(source, epoch, last_key): up to which key the mix takes each epoch of a source, once the total
+    budget has cut the merged stream and each source has come as near to its target as its documents allow."""
     q = materialise(q.select("source", "key", "size", "epoch", "finish", "total",
                              F.floor(F.col("finish") * slots).alias("slot")), "mix-queue")
     per_slot = q.groupBy("slot").agg(F.sum("size").alias("n"), F.max("total").alias("total"))
@@ -105,8 +109,14 @@ def cut(q: DataFrame, slots: int = SLOTS) -> DataFrame:
                     F.min("s").alias("s")).select("in_slot", "s")
     slot, in_slot = edge.select("s").scalar(), edge.select("in_slot").scalar()       # one row
     q = q.select("source", "epoch", "key", "slot", "finish", slot.alias("last_slot"), in_slot.alias("last_finish"))
-    taken = q.where(F.col("last_slot").isNull() | (F.col("slot") < F.col("last_slot")) | (F.col("finish") <= F.col("last_finish")))
-    return taken.groupBy("source", "epoch").agg(F.max("key").alias("last_key"))
+    taken = F.col("last_slot").isNull() | (F.col("slot") < F.col("last_slot")) | (F.col("finish") <= F.col("last_finish"))
+    q = q.select("source", "epoch", "key", "finish", taken.alias("taken"))
+    # of the places in the stream and the next one, the nearest to time 1, at which a source has its target
+    before = F.max(F.when(F.col("taken") & (F.col("finish") <= 1.0), F.col("finish")))
+    per = q.groupBy(F.col("source").alias("s")).agg(before.alias("upto"), F.min(F.when(F.col("finish") > 1.0, F.col("finish"))).alias("beyond"))
+    ends = per.select("s", F.when(F.col("beyond") - 1.0 < 1.0 - F.coalesce("upto", F.lit(0.0)), F.col("beyond")).otherwise(F.col("upto")).alias("end"))
+    j = q.join(ends, q.source.eqNullSafe(ends.s)).where(F.col("finish") <= F.col("end"))
+    return j.groupBy("source", "epoch").agg(F.max("key").alias("last_key"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -158,8 +168,9 @@ q AS (SELECT d.doc_id, d.size, d.source, d.key, tt.source_size, tt.target, tt.to
                (e.e * tt.source_size + sum(d.size) OVER (PARTITION BY d.source, e.e ORDER BY d.key)) / tt.target END AS finish
       FROM d JOIN tt ON tt.source IS NOT DISTINCT FROM d.source, (SELECT unnest(range({MAX_EPOCHS})) AS e) e),
 q2 AS (SELECT *, finish <= 2.0 AND (target > 0 OR e = 0) AS there FROM q),
-m AS (SELECT *, sum(CASE WHEN there THEN size ELSE 0 END) OVER (ORDER BY finish) AS upto FROM q2)
+near AS (SELECT source, max(finish) FILTER (there AND finish <= 1) AS upto, min(finish) FILTER (there AND finish > 1) AS beyond FROM q2 GROUP BY source),
+ends AS (SELECT source, CASE WHEN beyond - 1 < 1 - coalesce(upto, 0) THEN beyond ELSE upto END AS fin FROM near)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(sum(CASE WHEN there AND upto <= total THEN size ELSE 0 END) AS BIGINT) AS taken
-FROM m GROUP BY doc_id, size, source_size, target
+       CAST(sum(CASE WHEN there AND finish <= fin THEN size ELSE 0 END) AS BIGINT) AS taken
+FROM q2 JOIN ends ON ends.source IS NOT DISTINCT FROM q2.source GROUP BY doc_id, size, source_size, target
 """
