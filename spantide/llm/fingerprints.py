@@ -147,7 +147,8 @@ def likeness(a: str, b: str) -> Column:
 
 
 def as_text(sample: str) -> Column:
-    return F.array_join(F.transform(sample, lambda x: F.lpad(F.hex(x.cast("long") + F.lit(1 << 31)), 8, "0")), "")
+    """Samples as text, 16 hex digits each."""
+    return F.array_join(F.transform(sample, lambda x: F.lpad(F.hex(x.cast("long") + F.lit(1 << 31)), 16, "0")), "")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
