@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             live = materialise(live.join(pivots.select("bucket").distinct(), "bucket", "left_semi")
                                .join(pivots.select("bucket", F.col("pivot").alias("vid")), ["bucket", "vid"], "left_anti"), "members")
-            width *= 64
+            width = min(width * 64, 1 << 40)       # beyond the labels of any bucket; rounds go on until no bucket is mixed
 
     v = vertex.join(label.select(F.col("vid").alias("lvid"), "label"), F.col("vid") == F.col("lvid"), "left")
     v = v.select("vid", "key", "rep", F.coalesce("label", "vid").alias("label"))
