@@ -9,9 +9,11 @@ Scores are whole numbers, so that sums do not depend on their order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spantide.functions.text import part
+from spantide.operators.terms import listed
 from spantide.session import cut_lineage
 
 ONE = 1_000_000        # the score of a seed
@@ -33,19 +35,22 @@ EDGE = "^"             # the context of a run at its sentence's end
 
 
 def name_runs(toks: DataFrame) -> DataFrame:
-    """``(lang, doc_id, run, side, context)``: the maximal runs of PROPN tokens of T1 and the lower-cased tokens left and
-    right of them."""
-    w = Window.partitionBy("doc_id", "sent_no").orderBy("tok_no")
-    x = toks.select("lang", "doc_id", "sent_no", "tok_no", "text", "ws_after", (F.col("pos") == "PROPN").alias("p"))
-    x = x.withColumn("before", F.lag("text").over(w)).withColumn("after", F.lead("text").over(w))
-    x = x.withColumn("island", F.sum((~F.col("p")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("p")
-    piece = F.struct("tok_no", "text", "ws_after", "before", "after")
-    r = x.groupBy("lang", "doc_id", "sent_no", "island").agg(F.sort_array(F.collect_list(piece)).alias("ts"))
-    joined = F.rtrim(F.array_join(F.transform("ts", lambda t: F.concat(t["text"], t["ws_after"])), ""))
-    sides = F.array(F.struct(F.lit("left").alias("side"), F.get("ts", F.lit(0))["before"].alias("context")),
-                    F.struct(F.lit("right").alias("side"), F.element_at("ts", -1)["after"].alias("context")))
-    r = r.select("lang", "doc_id", joined.alias("run"), F.explode(sides).alias("s"))
-    return r.select("lang", "doc_id", "run", "s.side", F.lower(F.coalesce("s.context", F.lit(EDGE))).alias("context"))
+    """``(lang, doc_id, run, side, context)``: the maximal runs of PROPN tokens of T1, as rows or as ``token_lists``, and the
+    lower-cased tokens left and right of them. Runs are cut out of the arrays of their sentence, so no token is sorted."""
+    x = listed(toks).withColumn("_p", F.transform("_pos", lambda p: p == "PROPN"))
+    x = x.where(F.array_contains("_p", True))
+
+    def edges(step):
+        """Places of the tokens of runs whose neighbour ``step`` further belongs to none."""
+        at = F.transform("_p", lambda p, i: F.when(p & ~F.coalesce(F.get(F.col("_p"), i + step), F.lit(False)), i))
+        return F.filter(at, lambda i: i.isNotNull())
+
+    def run(a, b):
+        text = F.rtrim(F.array_join(part("_units", a, b + 1), ""))
+        side = lambda name, i: F.struct(F.lit(name).alias("side"), F.lower(F.coalesce(F.get(F.col("_texts"), i), F.lit(EDGE))).alias("context"))
+        return F.struct(text.alias("run"), F.array(side("left", a - 1), side("right", b + 1)).alias("sides"))
+    r = x.select("lang", "doc_id", F.inline(F.zip_with(edges(-1), edges(1), run)))
+    return r.select("lang", "doc_id", "run", F.inline("sides"))
 
 
 def induce(runs: DataFrame, seeds=SEEDS, rounds: int = 2, min_places: int = 2, min_score: int = ONE // 10) -> DataFrame:

@@ -98,7 +98,7 @@ def token_rows(lists: DataFrame) -> DataFrame:
                     F.substr(F.col("_t._units"), F.length(text) + 1).alias("ws_after"), F.col("_t._lemmas").alias("lemma"), F.col("_t._pos").alias("pos"), "lang")
 
 
-def _listed(toks: DataFrame) -> DataFrame:
+def listed(toks: DataFrame) -> DataFrame:
     """Rows of ``tokens`` as ``token_lists``; lists stay as they are."""
     if "_units" in toks.columns:
         return toks
@@ -141,7 +141,7 @@ def candidate_runs(toks: DataFrame, max_ngram: int = 10) -> DataFrame:
     Output ``(doc_id, sent_no, anchor, variant, lang, term, lemma, n_tokens)``: a span's text, the lemmas
     joined by blanks and the number of its tokens.
     """
-    x = _listed(toks)
+    x = listed(toks)
     breaks = F.filter(F.transform("_pos", lambda p, i: F.when(p.isin(*RUN_BREAK), i)), lambda i: i.isNotNull())
     x = x.withColumn("_b", F.concat(F.array(F.lit(-1)), breaks, F.array(F.size("_pos"))))
     pairs = F.zip_with("_b", F.slice("_b", F.lit(2), F.size("_b")), lambda a, b: F.struct((a + 1).alias("l"), (b - 1).alias("r")))

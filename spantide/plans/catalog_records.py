@@ -13,7 +13,7 @@ from spantide.operators import sampling as S
 from spantide.operators import segment as G
 from spantide.operators import terms as T
 from spantide.plans import pipelines as L
-from spantide.plans.catalog import _bench_dictionary, _conv_pairs, _docs, _labelled_texts, _pages, _token_lists, _tokens, entity_finder, q_term_occurrences, query
+from spantide.plans.catalog import _bench_dictionary, _conv_pairs, _docs, _labelled_texts, _pages, _token_lists, entity_finder, q_term_occurrences, query
 from spantide.session import cut_lineage, scratch_path
 from spantide.sources import annotations as S10
 from spantide.sources import files as FS
@@ -93,7 +93,7 @@ def q_spelled_terms(spark, sf):
 @query("induced_gazetteer")
 def q_induced_gazetteer(spark, sf):
     """Names of persons, organisations and places, from the contexts that they stand in."""
-    return I.induce(I.name_runs(_tokens(spark, sf)), min_score=I.ONE // 50)
+    return I.induce(I.name_runs(_token_lists(spark, sf)), min_score=I.ONE // 50)
 
 
 @query("multilabel_predictions")
