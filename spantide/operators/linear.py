@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spantide.functions.text import part
 from spantide.session import cut_lineage
 
 NUM_FEATURES = 1 << 16
@@ -23,13 +24,15 @@ def text_features(texts: DataFrame, id_col: str, text_col: str = "text", num_fea
                   idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(id_col, fs array<int>, xs array<double>)`` of every text, of length 1 or, without words, empty; and the
     inverse document frequencies ``(f, idf)``, which are taken from the texts unless they are given."""
-    t = texts.select(F.col(id_col).alias("_id"), F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD_RE), F.lit(0)).alias("t"))
-    starts = t.select("_id", F.explode(F.transform("t", lambda _, i: F.slice("t", i + 1, F.lit(max_n)))).alias("a"))
-    grams = starts.select("_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("a")), lambda n: F.array_join(F.slice("a", F.lit(1), n), " "))).alias("g"))
+    t = texts.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartition("_id")      # the n-grams of a text stay where it is
+    t = t.select("_id", F.regexp_extract_all(F.lower("t"), F.lit(WORD_RE), F.lit(0)).alias("t"))
+    starts = t.select("_id", F.explode(F.transform("t", lambda _, i: part("t", i, F.least(i + max_n, F.size("t"))))).alias("a"))
+    upto = [F.when(F.size("a") >= n, F.concat_ws(" ", *[F.get("a", F.lit(k)) for k in range(n)])) for n in range(1, max_n + 1)]
+    grams = starts.select("_id", F.explode(F.array(*upto)).alias("g")).where(F.col("g").isNotNull())
     counts = grams.groupBy("_id", F.pmod(F.xxhash64("g"), F.lit(num_features)).cast("int").alias("f")).agg(F.count("*").alias("tf"))
     if idf is None:
         counts = cut_lineage(counts)
-        n = t.agg(F.count("*")).scalar()
+        n = texts.agg(F.count("*")).scalar()
         idf = cut_lineage(counts.groupBy("f").agg(F.count("*").alias("df")).select("f", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf")))
     x = counts.join(F.broadcast(idf), "f").select("_id", "f", (F.col("tf") * F.col("idf")).alias("x"))      # num_features rows at most
     x = x.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
@@ -44,8 +47,7 @@ def _margins(block, weights):
     fs = block.column("fs")
     rows = np.repeat(np.arange(block.num_rows), fs.value_lengths().to_numpy(zero_copy_only=False).astype("int64"))
     f, x = fs.flatten().to_numpy(zero_copy_only=False), block.column("xs").flatten().to_numpy(zero_copy_only=False)
-    m = np.tile(weights[-1], (block.num_rows, 1))
-    np.add.at(m, rows, x[:, None] * weights[f])
+    m = np.stack([np.bincount(rows, x * w[f], block.num_rows) + w[-1] for w in weights.T], axis=1)
     return rows, f, x, m
 
 
@@ -64,7 +66,8 @@ def gradient(rows: DataFrame, weights, pos_weights) -> DataFrame:
             y = np.stack(b.column("ys").to_numpy(zero_copy_only=False)).astype("float64") if b.num_rows else np.zeros((0, w.shape[1]))
             p = 1.0 / (1.0 + np.exp(-m))
             d = np.where(y > 0, (p - 1.0) * pos_weights, p)
-            np.add.at(total, f, x[:, None] * d[r])
+            for j in range(w.shape[1]):
+                total[:, j] += np.bincount(f, x * d[r, j], len(w))
             total[-1] += d.sum(axis=0)
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["f", "g"])

@@ -485,7 +485,7 @@ def q_feed_batches(spark, sf):
 def q_classifier_lr(spark, sf):
     """Clean (C1) -> drop empty (C3) -> stratified split (C4) -> positive weights
     -> logistic regression (C9) -> predictions on the hold-out (C10)."""
-    d = C.stratified_split(_labelled_texts(spark, sf).where(F.col("text") != ""), "quality", "doc_id")
+    d = C.stratified_split(cut_lineage(_labelled_texts(spark, sf)).where(F.col("text") != ""), "quality", "doc_id")
     d = cut_lineage(d)
     model = LR.train_texts(d.where(~F.col("is_val")), "doc_id", ["quality"])
     val = d.where("is_val")
@@ -495,8 +495,8 @@ def q_classifier_lr(spark, sf):
 
 
 def _labelled_texts(spark, sf):
-    return (_docs(spark, sf).join(table(spark, sf, "labels"), "doc_id")
-            .select("doc_id", C.clean_text("text").alias("text"), "quality", "toxic"))
+    d = _docs(spark, sf).join(table(spark, sf, "labels"), "doc_id").select("doc_id", "text", "quality", "toxic")
+    return d.repartition("doc_id").withColumn("text", C.clean_text("text"))      # dealt out before cleaning
 
 
 @query("top_terms_per_host")

@@ -100,7 +100,7 @@ def q_induced_gazetteer(spark, sf):
 def q_multilabel_predictions(spark, sf):
     """C5 -> C8 -> C9 -> C11 -> C12: both labels of the hold-out, trained from one feature table; texts that are empty after
     cleaning keep their place with label 0 and probability -1."""
-    d = cut_lineage(S.multilabel_split(_labelled_texts(spark, sf), ["quality", "toxic"], "doc_id"))
+    d = cut_lineage(S.multilabel_split(cut_lineage(_labelled_texts(spark, sf)), ["quality", "toxic"], "doc_id"))
     model = LR.train_texts(d.where(~F.col("is_val") & (F.col("text") != "")), "doc_id", ["quality", "toxic"])
     val = d.where("is_val")
     p = LR.predict_texts(val, model, "doc_id").withColumnRenamed("doc_id", "id")
