@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spantide.functions.lexicon import (INVALID_POS, TERM_FORBIDDEN, lexicon_keys_by_pos,
                                         stopword_rows)
-from spantide.functions.text import WORD, WS, WS_CHARS, strip, with_places
+from spantide.functions.text import WORD, WS, WS_CHARS, part, strip, with_places
 from spantide.session import cut_lineage
 
 PIECE_RE = rf"(?s){WORD}+(?:['\-]{WORD}+)*|{WS}+|."
@@ -348,11 +348,12 @@ def vocabulary_hits(docs: DataFrame, vocab: DataFrame, max_n: int, lowercase: bo
 
     Places whose token begins no term go first; the others make only the n-grams of as many tokens as terms
     with this first token have, and these meet the vocabulary. So what is aggregated afterwards are
-    occurrences of terms, not the n-grams of the corpus.
+    occurrences of terms, not the n-grams of the corpus. Texts are dealt out before they are cut into tokens, since
+    a table of few files would keep that in few tasks.
     """
     text = F.lower("text") if lowercase else F.col("text")
-    d = docs.select("doc_id", F.regexp_extract_all(text, F.lit(SK_TOKEN_RE), F.lit(0)).alias("t"))
-    ahead = F.transform("t", lambda _, i: F.slice("t", i + 1, F.lit(max_n)))
+    d = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.regexp_extract_all(text, F.lit(SK_TOKEN_RE), F.lit(0)).alias("t"))
+    ahead = F.transform("t", lambda _, i: part("t", i, F.least(i + max_n, F.size("t"))))
     x = d.select("doc_id", F.explode(ahead).alias("a")).select("doc_id", "a", F.get("a", F.lit(0)).alias("w"))
     v = vocab.select("term").distinct().withColumn("n", F.size(F.split("term", " "))).where(F.col("n") <= max_n)
     heads = v.groupBy(F.substring_index("term", " ", 1).alias("first")).agg(F.collect_set("n").alias("ns"))
