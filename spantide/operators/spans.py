@@ -78,21 +78,19 @@ def add_context(merged: DataFrame, units: DataFrame, prepend: bool = True, appen
     ``merged``: ``(doc_id, span_no, begin, end, content, ...)``;
     ``units``: ``(doc_id, <unit_no>, begin, end, text)`` numbered consecutively.
     Spans covering no unit get a null context; with neither flag the context is
-    the content itself. Neighbours come from lag/lead over the units, never a scan.
+    the content itself. Neighbours come by number, so both tables had best be written once before.
     """
-    # neighbour texts ride along with each unit (lag/lead over the doc_id partitioning),
-    # so one coverage join replaces separate joins for the previous and next unit
-    w = Window.partitionBy("doc_id").orderBy(unit_no)
-    u = units.select("doc_id", unit_no, "begin", "end",
-                     F.lag("text").over(w).alias("_pt"), F.lead("text").over(w).alias("_nt"))
-    cov = (covered(u, merged, outer_key=span_key)
-           .groupBy("doc_id", span_key)
-           .agg(F.min(unit_no).alias("_first"), F.min_by("_pt", unit_no).alias("_prev"),
-                F.max_by("_nt", unit_no).alias("_next")))
+    # coverage is joined on places alone; the texts of the two neighbours are fetched by their numbers
+    cov = (covered(units.select("doc_id", unit_no, "begin", "end"), merged, outer_key=span_key)
+           .groupBy("doc_id", span_key).agg(F.min(unit_no).alias("_first"), F.max(unit_no).alias("_last")))
     x = merged.join(cov, ["doc_id", span_key], "left")
+    for wanted, name, no in ((prepend, "_prev", F.col("_first") - 1), (append, "_next", F.col("_last") + 1)):
+        if wanted:
+            t = units.select(F.col("doc_id").alias("_d"), F.col(unit_no).alias("_no"), F.col("text").alias(name))
+            x = x.join(t, (F.col("doc_id") == F.col("_d")) & (no == F.col("_no")), "left").drop("_d", "_no")
     parts = ([F.col("_prev")] if prepend else []) + [F.col("content")] + ([F.col("_next")] if append else [])
     ctx = F.when(F.col("_first").isNotNull(), normalise_lines(F.concat_ws("\n", *parts)))
-    return x.withColumn("content_context", ctx).drop("_first", "_prev", "_next")
+    return x.withColumn("content_context", ctx).drop("_first", "_last", "_prev", "_next")
 
 
 def shift_offsets(rel: DataFrame, sentences: DataFrame, key: str = "sent_no") -> DataFrame:
