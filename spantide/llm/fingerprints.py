@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from spantide.llm.common import materialise
 
-SAMPLES, GROUP = 64, 32
+SAMPLES = 64
+GROUP = 4       # places of one aggregate row: with more its update runs much slower, with fewer a term is looked up more often
 PARTS = 4       # times the session's shuffle partitions
 _BITS = 14      # of the four uniform numbers of a draw; what is left of 64 bits is the fifth
 
@@ -94,6 +95,26 @@ def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
         F.expr("substring(text, 1, cast(char_length(text) - half AS int))"), "begin").alias("edited"), "copies")
 
 
+def samples_of(terms: DataFrame, samples: int) -> DataFrame:
+    """(k, sample, edited_sample, edited_sha256) from terms (k, part, term, w0, w1): part 0 has the words with the
+    logarithms of their weights in both versions, null where a version lacks the word, parts 1 to 4 the digest's quarters."""
+    # places in groups, as one aggregate of all their columns is slow; the digest's rows go with the first group only
+    many = math.gcd(samples, GROUP)
+    last = F.when(F.col("part") == 0, samples - many).otherwise(0)
+    terms = terms.select("k", "part", "term", "w0", "w1", F.explode(F.sequence(F.lit(0), last, F.lit(many))).alias("base"))
+    s = terms.groupBy("k", "base").agg(*[F.min(sample_key(F.col("term"), F.col(f"w{y}"), F.col("base") + n)).alias(f"s{y}_{n}")
+                                         for n in range(many) for y in (0, 1)],
+                                       *[F.max(F.when(F.col("part") == n + 1, F.col("term"))).alias(f"d{n}") for n in range(4)])
+
+    def lower(y):
+        bits = [(F.col(f"s{y}_{n}").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int") for n in range(many)]
+        return F.when(F.col(f"s{y}_0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*bits)).alias(f"a{y}")
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{n}"), 16, "0") for n in range(4)]))
+    s = s.select("k", "base", lower(0), lower(1), sha.alias("sha"))
+    s = s.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("base", "a0", "a1"))).alias("g"), F.max("sha").alias("edited_sha256"))
+    return s.select("k", F.flatten("g.a0").alias("sample"), F.flatten("g.a1").alias("edited_sample"), "edited_sha256")
+
+
 def sampled(docs: DataFrame, id_col: str, text_col: str, samples: int) -> tuple[DataFrame, DataFrame]:
     """The written order of the documents (``next_documents``), and their written samples:
     (k, sample, edited_sample, edited_sha256), with k naming id and tk."""
@@ -113,22 +134,8 @@ def sampled(docs: DataFrame, id_col: str, text_col: str, samples: int) -> tuple[
     terms = v.groupBy("k", "copies", part.alias("part"), F.col("x").alias("term")).agg(
         F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("n1"))
     weight = lambda n: F.when((F.col("part") == 0) & (F.col(n) > 0), F.ln(F.col(n) / F.col("copies")))
-    # places in groups, as an aggregate of more columns is not compiled as one
-    many = math.gcd(samples, GROUP)
-    terms = terms.select("k", "part", "term", weight("n0").alias("w0"), weight("n1").alias("w1"),
-                         F.explode(F.sequence(F.lit(0), F.lit(samples - many), F.lit(many))).alias("base"))
-    s = terms.groupBy("k", "base").agg(*[F.min(sample_key(F.col("term"), F.col(f"w{y}"), F.col("base") + n)).alias(f"s{y}_{n}")
-                                         for n in range(many) for y in (0, 1)],
-                                       *[F.max(F.when(F.col("part") == n + 1, F.col("term"))).alias(f"d{n}") for n in range(4)])
-
-    def lower(y):
-        bits = [(F.col(f"s{y}_{n}").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int") for n in range(many)]
-        return F.when(F.col(f"s{y}_0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*bits)).alias(f"a{y}")
-    sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{n}"), 16, "0") for n in range(4)]))
-    s = s.select("k", "base", lower(0), lower(1), sha.alias("sha"))
-    s = s.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("base", "a0", "a1"))).alias("g"), F.max("sha").alias("edited_sha256"))
-    s = s.select("k", F.flatten("g.a0").alias("sample"), F.flatten("g.a1").alias("edited_sample"), "edited_sha256")
-    return order, materialise(s, "samples")
+    terms = terms.select("k", "part", "term", weight("n0").alias("w0"), weight("n1").alias("w1"))
+    return order, materialise(samples_of(terms, samples), "samples")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
