@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from spantide.llm.common import materialise
 
 SAMPLES = 64
-GROUP = 4       # places of one aggregate row: with more its update runs much slower, with fewer a term is looked up more often
+GROUP = 4       # places of one aggregate row: with more its update runs slower, with fewer a term is looked up more often
 PARTS = 4       # times the session's shuffle partitions
 _BITS = 14      # of the four uniform numbers of a draw; what is left of 64 bits is the fifth
 
