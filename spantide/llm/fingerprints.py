@@ -13,7 +13,9 @@ Plan: the order of documents comes from ids alone, range-partitioned and written
 id of each range, a row per partition, is looked at across ranges. Texts are shuffled by document:
 one exchange serves the join that cuts the next document's beginning and the join that brings it
 to its document. Words are counted and samples taken behind that join, by the same partitioning,
-in hash aggregates that need no further exchange; a word is counted in both versions at once. Rows equal in id and text are not made distinct
+in hash aggregates that need no further exchange; a word is counted in both versions at once. Logarithms
+are taken only of words of a weight other than 1 and of those that a bound without logarithms does not show to be above a
+cut, about ``EXPECTED`` a place; the few texts for which the cut proves too low are done again without it. Rows equal in id and text are not made distinct
 (that would sort texts); their number divides the counts instead.
 
 Defined results: a null text is empty; a text without words has empty samples, and two such texts
@@ -24,6 +26,7 @@ a hash of the text; null ids come last; a single document is its own next docume
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +37,7 @@ from spantide.llm.common import materialise
 SAMPLES = 64
 GROUP = 4       # places of one aggregate row: with more its update runs slower, with fewer a term is looked up more often
 PARTS = 4       # times the session's shuffle partitions
+EXPECTED = 24   # words of one version that a cut is expected to let through to their logarithms, of each place
 _BITS = 14      # of the four uniform numbers of a draw; what is left of 64 bits is the fifth
 
 
@@ -41,18 +45,39 @@ def _uniform(bits: Column, at: int, n: int = _BITS) -> Column:
     return (F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(0.5)) * F.lit(2.0 ** -n)
 
 
+def _draw(term: Column, place: Column) -> tuple[Column, Column, Column]:
+    """(x, y, b) of a term in a place: r = -ln x, c = -ln y, and b."""
+    bits = F.xxhash64(term, place)
+    return (_uniform(bits, 0) * _uniform(bits, _BITS), _uniform(bits, 2 * _BITS) * _uniform(bits, 3 * _BITS),
+            _uniform(bits, 4 * _BITS, 64 - 4 * _BITS))
+
+
+def _upper(log_a: Column) -> Column:
+    return F.floor((log_a + F.lit(100.0)) * F.lit(2.0 ** 24)) * F.lit(1 << 32)
+
+
 def sample_key(term: Column, log_weight: Column, place: Column) -> Column:
     """The place's value for one weighted term, null for a null weight; the smallest over the terms gives the
     sample, its lower 32 bits. What does not depend on the weight is the same expression for every
     version of a text, and so is evaluated once."""
-    bits = F.xxhash64(term, place)
-    r = -F.ln(_uniform(bits, 0) * _uniform(bits, _BITS))
-    log_c = F.ln(-F.ln(_uniform(bits, 2 * _BITS) * _uniform(bits, 3 * _BITS)))
-    b = _uniform(bits, 4 * _BITS, 64 - 4 * _BITS)
+    x, y, b = _draw(term, place)
+    r, log_c = -F.ln(x), F.ln(-F.ln(y))
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + F.lit(1.0))
     low = F.lit((1 << 32) - 1)         # the term is a hash already, so that (term, t) needs no further one
-    return F.floor((log_a + F.lit(100.0)) * F.lit(2.0 ** 24)) * F.lit(1 << 32) + (term.bitwiseAND(low) + t * F.lit(0x9E3779B1)).bitwiseAND(low)
+    return _upper(log_a) + (term.bitwiseAND(low) + t * F.lit(0x9E3779B1)).bitwiseAND(low)
+
+
+def may_reach(term: Column, place: Column, cut: Column) -> Column:
+    """False only where the value c / exp(r (1 - b)) of a term of weight 1 is above ``cut``, without a logarithm:
+    -ln y >= 2 (1 - y) / (1 + y), and x ** (1 - b) >= x / (1 - b + b x), the harmonic mean of x and 1."""
+    x, y, b = _draw(term, place)
+    return F.lit(2.0) * (F.lit(1.0) - y) * x <= cut * ((F.lit(1.0) + y) * (F.lit(1.0) - b + b * x))
+
+
+def cut_key(term: Column, log_weight: Column, place: Column, cut: Column) -> Column:
+    """``sample_key``, or null for a weight of 1 whose value is above ``cut``."""
+    return F.when((log_weight != 0) | may_reach(term, place, cut), sample_key(term, log_weight, place))
 
 
 def next_documents(ids: DataFrame) -> DataFrame:
@@ -96,46 +121,73 @@ def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def samples_of(terms: DataFrame, samples: int) -> DataFrame:
-    """(k, sample, edited_sample, edited_sha256) from terms (k, part, term, w0, w1): part 0 has the words with the
-    logarithms of their weights in both versions, null where a version lacks the word, parts 1 to 4 the digest's quarters."""
+    """(k, sample, edited_sample, edited_sha256, whole) from terms (k, part, term, w0, w1): part 0 has the words with the
+    logarithms of their weights in both versions, null where a version lacks the word, parts 1 to 4 the digest's quarters.
+
+    A further column ``cut`` (one value per k; 2 or more, which cuts nothing, unless both versions have words) leaves out
+    values above it. ``whole`` is true if every place of both versions has a value below the cut: nothing left out
+    could have been smaller, so the samples are those of all the words."""
     # places in groups, as one aggregate of all their columns is slow; the digest's rows go with the first group only
     many = math.gcd(samples, GROUP)
     last = F.when(F.col("part") == 0, samples - many).otherwise(0)
-    terms = terms.select("k", "part", "term", "w0", "w1", F.explode(F.sequence(F.lit(0), last, F.lit(many))).alias("base"))
-    s = terms.groupBy("k", "base").agg(*[F.min(sample_key(F.col("term"), F.col(f"w{y}"), F.col("base") + n)).alias(f"s{y}_{n}")
-                                         for n in range(many) for y in (0, 1)],
-                                       *[F.max(F.when(F.col("part") == n + 1, F.col("term"))).alias(f"d{n}") for n in range(4)])
+    cut = ["cut"] if "cut" in terms.columns else []
+    terms = terms.select("k", "part", "term", "w0", "w1", *cut, F.explode(F.sequence(F.lit(0), last, F.lit(many))).alias("base"))
+
+    def key(y, n):
+        args = F.col("term"), F.col(f"w{y}"), F.col("base") + n
+        return cut_key(*args, F.col("cut")) if cut else sample_key(*args)
+    s = terms.groupBy("k", *cut, "base").agg(*[F.min(key(y, n)).alias(f"s{y}_{n}") for n in range(many) for y in (0, 1)],
+                                             *[F.max(F.when(F.col("part") == n + 1, F.col("term"))).alias(f"d{n}") for n in range(4)])
 
     def lower(y):
         bits = [(F.col(f"s{y}_{n}").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int") for n in range(many)]
         return F.when(F.col(f"s{y}_0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*bits)).alias(f"a{y}")
+    whole = F.lit(True)
+    if cut:        # 1e-6 is far above the error of the bound and of the logarithms
+        below = [F.coalesce(F.col(f"s{y}_{n}") < _upper(F.ln("cut") - F.lit(1e-6)), F.lit(False)) for n in range(many) for y in (0, 1)]
+        whole = (F.col("cut") >= 2) | functools.reduce(Column.__and__, below)
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{n}"), 16, "0") for n in range(4)]))
-    s = s.select("k", "base", lower(0), lower(1), sha.alias("sha"))
-    s = s.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("base", "a0", "a1"))).alias("g"), F.max("sha").alias("edited_sha256"))
-    return s.select("k", F.flatten("g.a0").alias("sample"), F.flatten("g.a1").alias("edited_sample"), "edited_sha256")
+    s = s.select("k", "base", lower(0), lower(1), sha.alias("sha"), whole.alias("whole"))
+    s = s.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("base", "a0", "a1"))).alias("g"), F.max("sha").alias("edited_sha256"),
+                           F.min("whole").alias("whole"))
+    return s.select("k", F.flatten("g.a0").alias("sample"), F.flatten("g.a1").alias("edited_sample"), "edited_sha256", "whole")
 
 
-def sampled(docs: DataFrame, id_col: str, text_col: str, samples: int) -> tuple[DataFrame, DataFrame]:
-    """The written order of the documents (``next_documents``), and their written samples:
-    (k, sample, edited_sample, edited_sha256), with k naming id and tk."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    order = materialise(next_documents(d.select("id", "tk", F.char_length("text").cast("long").alias("n_chars"))), "next")
-    e = edited_texts(d, order)
+def terms_of(e: DataFrame) -> DataFrame:
+    """(k, part, term, w0, w1, cut), as ``samples_of`` takes them, of ``edited_texts``. The smallest value of words of
+    the weights w is exponential with the rate sum(w), so that a place has none below the cut with a probability of exp(-EXPECTED)."""
     # words of both versions one after the other, so that a word's draws serve both, and behind them the digest in four parts
     split = lambda c: F.split(c, r"[\x20\x09-\x0D]+", -1)
     e = e.select("k", "copies", split("text").alias("a"), split("edited").alias("b"), F.sha2("edited", 256).alias("sha"))
     parts = F.array(*[F.substring("sha", 1 + 16 * n, 16) for n in range(4)])
     v = e.select("k", "copies", F.size("a").alias("at"), F.size("b").alias("more"), F.posexplode(F.concat("a", "b", parts)).alias("i", "word"))
     kind = F.when(F.col("i") < F.col("at"), 0).when(F.col("i") < F.col("at") + F.col("more"), 1).otherwise(2 + F.col("i") - F.col("at") - F.col("more"))
-    v = v.select("k", "copies", "word", kind.alias("kind")).where((F.col("kind") > 1) | (F.col("word") != ""))
-    v = v.select("k", "copies", "kind", F.when(F.col("kind") < 2, F.xxhash64("word")).otherwise(F.conv("word", 16, -10).cast("long")).alias("x"))
+    v = v.select("k", "copies", F.least("at", "more").alias("size"), "word", kind.alias("kind")).where((F.col("kind") > 1) | (F.col("word") != ""))
+    v = v.select("k", "copies", "size", "kind", F.when(F.col("kind") < 2, F.xxhash64("word")).otherwise(F.conv("word", 16, -10).cast("long")).alias("x"))
     part = F.greatest(F.lit(0), F.col("kind") - 1)              # 0: a word; 1 to 4: a quarter of the digest
-    terms = v.groupBy("k", "copies", part.alias("part"), F.col("x").alias("term")).agg(
+    terms = v.groupBy("k", "copies", "size", part.alias("part"), F.col("x").alias("term")).agg(
         F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("n1"))
     weight = lambda n: F.when((F.col("part") == 0) & (F.col(n) > 0), F.ln(F.col(n) / F.col("copies")))
-    terms = terms.select("k", "part", "term", weight("n0").alias("w0"), weight("n1").alias("w1"))
-    return order, materialise(samples_of(terms, samples), "samples")
+    cut = F.greatest(F.lit(float(EXPECTED)) / F.col("size"), F.lit(2.0 ** -8))       # draws are too coarse for much smaller ones
+    return terms.select("k", "part", "term", weight("n0").alias("w0"), weight("n1").alias("w1"), cut.alias("cut"))
+
+
+def sampled(docs: DataFrame, id_col: str, text_col: str, samples: int) -> tuple[DataFrame, DataFrame]:
+    """The written order of the documents (``next_documents``), and their written samples:
+    (k, sample, edited_sample, edited_sha256), with k naming id and tk."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
+    order = materialise(next_documents(d.select("id", "tk", F.char_length("text").cast("long").alias("n_chars"))), "next")
+    s = materialise(samples_of(terms_of(edited_texts(d, order)), samples), "samples")
+    done, left = s.where("whole").drop("whole"), s.where("NOT whole").select("k")
+    if left.isEmpty():
+        return order, done
+    # texts with a place without a value below their cut: once more, with all their words
+    order_left = order.join(left, _key("id", "tk") == F.col("k"), "semi")
+    both = order_left.select(F.explode(F.array(_key("id", "tk"), _key("next_id", "next_tk"))).alias("k"))
+    e = edited_texts(d.join(both, _key("id", "tk") == F.col("k"), "semi"), order_left)
+    again = materialise(samples_of(terms_of(e).drop("cut"), samples).drop("whole"), "samples-left")
+    return order, done.unionByName(again)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
