@@ -46,9 +46,11 @@ FORBIDDEN_RE = _esc_class(TERM_FORBIDDEN)
 ASCII_RE = r"^[\x{00}-\x{7F}]+$"
 
 
-def pos_expr(piece: Column, lang: Column, tok_no: Column) -> Column:
-    """Dictionary part of speech of one token (T1 filler; ``piece`` is a word or one other character, as the words of the lexicon are)."""
-    key = F.concat(lang, F.lit("|"), F.lower(piece))
+def pos_expr(piece: Column, key: Column, tok_no: Column) -> Column:
+    """Dictionary part of speech of one token (T1 filler; ``piece`` is a word or one other character, as the words of the lexicon are).
+
+    ``key`` is ``lang|lower(piece)``: a column or a lambda's variable, since it is read once for every class.
+    """
     by_pos = lexicon_keys_by_pos()
     listed = F.lit(None).cast("string")
     for pos, keys in reversed(by_pos.items()):
@@ -70,7 +72,8 @@ def token_lists(sents: DataFrame, lang_col: str = "lang") -> DataFrame:
     x = sents.select("doc_id", "sent_no", F.col(lang_col).alias("lang"), (F.col("begin") + F.length("text") - F.length(text)).alias("_sb"),
                      F.regexp_extract_all(text, F.lit(UNIT_RE), F.lit(0)).alias("_units"))
     x = x.withColumn("_texts", F.transform("_units", lambda u: F.rtrim(u, F.lit(WS_CHARS))))
-    x = x.withColumn("_pos", F.transform("_texts", lambda t, i: pos_expr(t, F.col("lang"), i)))
+    x = x.withColumn("_keys", F.transform("_texts", lambda t: F.concat(F.col("lang"), F.lit("|"), F.lower(t))))
+    x = x.withColumn("_pos", F.transform("_texts", lambda t, i: pos_expr(t, F.get(F.col("_keys"), i), i))).drop("_keys")
     return x.withColumn("_lemmas", F.zip_with("_texts", "_pos", lambda t, p: F.when(p.isin(*FUNCTION_POS), F.lower(t)).otherwise(t)))
 
 
@@ -141,41 +144,35 @@ def candidate_runs(toks: DataFrame, max_ngram: int = 10) -> DataFrame:
     Output ``(doc_id, sent_no, anchor, variant, lang, term, lemma, n_tokens)``: a span's text, the lemmas
     joined by blanks and the number of its tokens.
     """
-    x = listed(toks)
+    # a function word ends a run, so the lemmas in a run of own lists are the tokens themselves
+    lemmas = "_texts" if "_units" in toks.columns else "_lemmas"
+    x = listed(toks).select("doc_id", "sent_no", "lang", "_units", F.col(lemmas).alias("_lemmas"), "_pos")
     breaks = F.filter(F.transform("_pos", lambda p, i: F.when(p.isin(*RUN_BREAK), i)), lambda i: i.isNotNull())
     x = x.withColumn("_b", F.concat(F.array(F.lit(-1)), breaks, F.array(F.size("_pos"))))
     pairs = F.zip_with("_b", F.slice("_b", F.lit(2), F.size("_b")), lambda a, b: F.struct((a + 1).alias("l"), (b - 1).alias("r")))
-    x = x.withColumn("_runs", F.filter(pairs, lambda g: g["l"] <= g["r"]))
+    runs = F.filter(pairs, lambda g: g["l"] <= g["r"])
 
     def nouns(g):
-        """The nouns of a run, each with the tokens from the run's first one to it and from it to the run's last one;
-        where these are too many for a span, the noun alone."""
         at = F.filter(F.sequence(g["l"], g["r"]), lambda i: F.get(F.col("_pos"), i).isin("NOUN", "PROPN"))
-
-        def upto(array, i):
-            far = i - g["l"] >= max_ngram
-            return F.slice(F.col(array), F.when(far, i).otherwise(g["l"]) + 1, F.when(far, 1).otherwise(i - g["l"] + 1))
-
-        def onward(array, i):
-            return F.slice(F.col(array), i + 1, F.when(g["r"] - i >= max_ngram, 1).otherwise(g["r"] - i + 1))
-        return F.transform(at, lambda i, k: F.struct(i.alias("i"), (i - g["l"]).alias("left"), (g["r"] - i).alias("right"), (k == 0).alias("first"), upto("_units", i).alias("hu"),
-                                                     onward("_units", i).alias("tu"), upto("_lemmas", i).alias("hm"), onward("_lemmas", i).alias("tm")))
-    x = x.select("doc_id", "sent_no", "lang", F.inline(F.flatten(F.transform("_runs", nouns))))
-    left, right = F.col("left"), F.col("right")
-
-    def span(variant, where, n, units, lemmas):
-        term = F.rtrim(F.array_join(units, ""), F.lit(WS_CHARS))       # tokens do not end with whitespace
-        return F.when(where & (n <= max_ngram), F.struct(F.lit(variant).alias("variant"), n.cast("long").alias("n_tokens"), term.alias("term"),
-                                                         F.array_join(lemmas, " ").alias("lemma")))
-
-    def rest(array):
-        return F.slice(array, F.lit(2), F.size(array))
-    spans = F.array(span(0, F.lit(max_ngram > 0), F.lit(1), F.slice("tu", 1, 1), F.slice("tm", 1, 1)), span(1, right > 0, right + 1, F.col("tu"), F.col("tm")),
-                    span(2, F.col("first") & (left > 0), left + right + 1, F.concat("hu", rest("tu")), F.concat("hm", rest("tm"))),
-                    span(3, (left > 0) & (right > 0), left + 1, F.col("hu"), F.col("hm")))
-    x = x.select("doc_id", "sent_no", "lang", "i", F.explode(spans).alias("c")).where(F.col("c").isNotNull())
-    return x.select("doc_id", "sent_no", F.col("i").cast("long").alias("anchor"), F.col("c.variant").alias("variant"), "lang", F.col("c.term").alias("term"),
-                    F.col("c.lemma").alias("lemma"), F.col("c.n_tokens").alias("n_tokens"))
+        return F.transform(at, lambda i, k: F.struct(i.alias("i"), (i - g["l"]).alias("left"), (g["r"] - i).alias("right"), (k == 0).alias("first")))
+    # only places are made with lambdas; what follows is generated code, in which a slice takes as long as the span, not the sentence
+    x = x.select("doc_id", "sent_no", "lang", "_units", "_lemmas", F.flatten(F.transform(runs, nouns)).alias("_nouns"))
+    x = x.select("doc_id", "sent_no", "lang", "_units", "_lemmas", F.inline(F.slice("_nouns", F.lit(1), F.size("_nouns"))))
+    i, left, right = F.col("i"), F.col("left"), F.col("right")
+
+    def span(variant, where, begin, n):
+        return F.when(where & (n <= max_ngram), F.struct(F.lit(variant).alias("variant"), (begin + 1).alias("at"), n.alias("n")))
+    spans = F.array(span(0, F.lit(True), i, F.lit(1)), span(1, right > 0, i, right + 1), span(2, F.col("first") & (left > 0), i - left, left + right + 1),
+                    span(3, (left > 0) & (right > 0), i - left, left + 1))
+    x = x.select("doc_id", "sent_no", "lang", "i", "_units", "_lemmas", F.explode(spans).alias("c")).where(F.col("c").isNotNull())
+
+    def joined(array, by):
+        return F.array_join(F.slice(array, F.col("c.at"), F.col("c.n")), by)
+    # tokens do not end with whitespace; a generator's output is not made again for each condition that is put on it
+    term = F.struct(F.rtrim(joined("_units", ""), F.lit(WS_CHARS)).alias("term"), joined("_lemmas", " ").alias("lemma"))
+    x = x.select("doc_id", "sent_no", "lang", "i", "c", F.explode(F.array(term)).alias("t"))
+    return x.select("doc_id", "sent_no", F.col("i").cast("long").alias("anchor"), F.col("c.variant").alias("variant"), "lang",
+                    F.col("t.term").alias("term"), F.col("t.lemma").alias("lemma"), F.col("c.n").cast("long").alias("n_tokens"))
 
 
 def candidate_subtrees(parsed: DataFrame) -> DataFrame:
