@@ -87,7 +87,7 @@ def q_spelled_terms(spark, sf):
     """T13 with T11: the terms of documents that hold no misspelling."""
     toks = _token_lists(spark, sf)
     terms = T.filter_terms(T.candidate_runs(toks), trim=False)
-    return T.spelled_terms(terms, T.misspellings(toks)).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+    return T.spelled_terms(terms, T.misspellings(toks), toks).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
 
 
 @query("induced_gazetteer")
